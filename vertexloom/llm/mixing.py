@@ -3,7 +3,9 @@
 Each source has an expected number of copies a document, its target over its size. The expected
 copies are prefix-summed over the source's documents, in order of size so that every stretch of
 sizes is sampled evenly, one offset in [0, 1) is added, and a document is emitted once for each
-integer that its stretch of the sum crosses. The offset comes from the source's name, so reruns agree.
+integer that its stretch of the sum crosses. The offset is random but comes from the source's name,
+so reruns agree; of OFFSETS places around it the one is taken that brings the source's words nearest
+to its target, which matters where one document is a large part of a small source.
 
 The prefix sum is distributed (common.ranked): a source with a third of all rows spreads over
 many tasks. Only per-source totals are aggregated, and only three numbers a round reach the driver.
@@ -18,6 +20,8 @@ from .common import ranked, tuned, written
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (1, 2, 3)
+#: Offsets tried for each source, evenly spaced from a random one; the one whose words come nearest to the target is added.
+OFFSETS = 16
 #: A source's target stops at this many times its size, and so do a document's copies.
 MOST = 3
 
@@ -57,11 +61,19 @@ def mix(docs: DataFrame) -> DataFrame:
     rows = written(rows, "sizes").select("*", F.col("source").isNull().alias("snull"), F.coalesce("source", F.lit("")).alias("skey"))
     rows = rows.withColumn("tie", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     goals = written(targets(rows), "targets")
-    rows = ranked(rows, ["snull", "skey"], ["size", "tie"], "mix-order").join(goals, ["snull", "skey"])
+    rows = written(ranked(rows, ["snull", "skey"], ["size", "tie"], "mix-order").join(goals, ["snull", "skey"]), "mix-ranks")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.nullif(F.col("source_size"), F.lit(0))).otherwise(0.0)
-    offset = F.conv(F.substring(F.md5(F.concat(F.when(F.col("snull"), "n").otherwise("s"), F.col("skey"))), 1, 8), 16, 10).cast("double") / 4294967296.0
-    crossed = F.floor(offset + (F.col("_rank") + 1) * rate) - F.floor(offset + F.col("_rank") * rate)
-    copies = F.least(crossed, F.lit(MOST).cast("long"))  # rounding alone could give one more
+    start = F.conv(F.substring(F.md5(F.concat(F.when(F.col("snull"), "n").otherwise("s"), F.col("skey"))), 1, 8), 16, 10).cast("double") / 4294967296.0
+
+    def copies_at(offset: Column) -> Column:
+        crossed = F.floor(offset + (F.col("_rank") + 1) * rate) - F.floor(offset + F.col("_rank") * rate)
+        return F.least(crossed, F.lit(MOST).cast("long"))  # rounding alone could give one more
+
+    offsets = [start + j / OFFSETS - F.floor(start + j / OFFSETS) for j in range(OFFSETS)]
+    sums = [F.sum(copies_at(o) * F.col("size")) for o in offsets]
+    missed = rows.groupBy("snull", "skey").agg(F.array_sort(F.array(*[F.struct(F.abs(x - F.first("target")).alias("by"), F.lit(j).alias("j")) for j, x in enumerate(sums)])).getItem(0).getField("j").alias("_j"))
+    rows = rows.join(written(missed, "offsets"), ["snull", "skey"])
+    copies = copies_at(start + F.col("_j") / OFFSETS - F.floor(start + F.col("_j") / OFFSETS))
     return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
@@ -99,13 +111,20 @@ t as (
   select source, source_size, least((3 * source_size)::double, w * (select share from fill order by round desc limit 1)) as target
   from s),
 r as (
-  select doc_id, size, source_size, target,
+  select doc_id, size, d.source, source_size, target,
          row_number() over (partition by t.source order by size, tie) - 1 as k,
          case when source_size > 0 then target / source_size else 0 end as rate,
-         ('0x' || substr(md5(case when t.source is null then 'n' else 's' || t.source end), 1, 8))::bigint / 4294967296.0::double as o
-  from d join t on d.source is not distinct from t.source)
-select doc_id, size, source_size, target,
-       least(floor(o + (k + 1) * rate) - floor(o + k * rate), 3)::bigint as copies,
-       (least(floor(o + (k + 1) * rate) - floor(o + k * rate), 3) * size)::bigint as taken
-from r
+         ('0x' || substr(md5(case when t.source is null then 'n' else 's' || t.source end), 1, 8))::bigint / 4294967296.0::double as start
+  from d join t on d.source is not distinct from t.source),
+tried as (
+  select r.*, j, start + j / 16.0::double - floor(start + j / 16.0::double) as o
+  from r, range(16) places(j)),
+taken as (
+  select *, least(floor(o + (k + 1) * rate) - floor(o + k * rate), 3)::bigint as copies from tried),
+best as (
+  select source, arg_min(j, [by, j::double]) as j
+  from (select source, j, abs(sum(copies * size) - first(target)) as by from taken group by source, j)
+  group by source)
+select doc_id, size, source_size, target, copies, (copies * size)::bigint as taken
+from taken join best on taken.source is not distinct from best.source and taken.j = best.j
 """

@@ -122,8 +122,8 @@ tried as (
 taken as (
   select *, least(floor(o + (k + 1) * rate) - floor(o + k * rate), 3)::bigint as copies from tried),
 best as (
-  select source, arg_min(j, [by, j::double]) as j
-  from (select source, j, abs(sum(copies * size) - first(target)) as by from taken group by source, j)
+  select source, arg_min(j, [miss, j::double]) as j
+  from (select source, j, abs(sum(copies * size) - first(target)) as miss from taken group by source, j)
   group by source)
 select doc_id, size, source_size, target, copies, (copies * size)::bigint as taken
 from taken join best on taken.source is not distinct from best.source and taken.j = best.j

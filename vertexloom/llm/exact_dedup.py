@@ -183,7 +183,7 @@ def _same_bytes(positives: DataFrame, docs: DataFrame) -> DataFrame:
 
     positives: sha, doc_id (two rows a digest).
     """
-    held = positives.join(docs.select("doc_id", "text"), "doc_id").select("sha", "text")
+    held = positives.join(docs.select("doc_id", "text").hint("merge"), "doc_id").select("sha", "text")
     plain = held.mapInArrow(_plain, "sha binary, plain binary")
     return plain.groupBy("sha").agg((F.min("plain") == F.max("plain")).alias("same"))
 

@@ -171,7 +171,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     gives an empty result. Other columns are ignored.
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    target = written(rows.join(target_ids(labels), "doc_id", "left_semi").select("text"), "target")
+    target = written(rows.hint("merge").join(target_ids(labels), "doc_id", "left_semi").select("text"), "target")
     models = learn(rows, target)
     shared = docs.sparkSession.sparkContext.broadcast(models)
     return rows.mapInArrow(functools.partial(_score, shared=shared), "doc_id long, tokens long, target_loss double, background_loss double, score double")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import math
+import os
 import re
 import unicodedata
 import zlib
@@ -29,7 +30,9 @@ END_ID = 1
 #: Rests in a group, on average.
 GROUP_PIECES = 2048
 #: Words that a worker keeps with their ids.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
+#: How the vocabulary marks a token that ends a word.
+WORD_END = "</w>"
 VOCABULARY = "word_bpe_49k.json"
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
@@ -48,35 +51,45 @@ def _ranges(kind: str, end: int = 0x250) -> str:
 class WordIds:
     """Ids of whole texts as little-endian 32-bit bytes, equal to the tokenizer's encode(text, add_special_tokens=False).
 
-    The vocabulary merges within words only, so a text of plain characters is split into words
-    by the tokenizer's own rule and each distinct word is encoded once. A text with characters
-    whose case or normal form depends on their neighbours, or with "<|", goes to the tokenizer whole.
+    The vocabulary merges within words only and marks the last token of each, so texts of plain
+    characters are split into words by the tokenizer's own rule, the distinct new words of a batch
+    are encoded together, and known ones are kept. A text with characters whose case or normal
+    form depends on their neighbours, or with "<|", goes to the tokenizer whole.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker for each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for w, i in vocabulary.items() if w.endswith(WORD_END)]] = True
         letters, numbers = _ranges("L"), _ranges("N")
         self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^ \t\n\r{letters}{numbers}]+").findall
-        self.odd = re.compile("[^\t\n\r\x20-\x7e\xa1-įı-ɏ]|<\\|").search
+        self.odd = re.compile("[^\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u024f]|<\\|").search
         self.known: dict[str, bytes] = {}
 
-    @staticmethod
-    def _bytes(encoding) -> bytes:
-        return np.array(encoding.ids, "<u4").tobytes()
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def __call__(self, text: str) -> bytes:
-        if self.odd(text):
-            return self._bytes(self.tokenizer.encode(text, add_special_tokens=False))
-        words = self.words(text.lower())
-        known = self.known
-        if new := [w for w in dict.fromkeys(words) if w not in known]:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            known.update(zip(new, map(self._bytes, self.tokenizer.encode_batch(new, add_special_tokens=False))))
-        return b"".join(map(known.__getitem__, words))
+    def _learn(self, words: list[str]) -> None:
+        for at in range(0, len(words), 1000):
+            some = words[at : at + 1000]
+            ids = self._ids(" ".join(some))
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(ends) != len(some):
+                raise ValueError("the vocabulary does not mark the ends of words")
+            raw = ids.tobytes()
+            self.known.update(zip(some, [raw[4 * i : 4 * j] for i, j in zip([0, *ends], ends)]))
+
+    def __call__(self, rows: list[str]) -> list[bytes]:
+        split = [None if self.odd(t) else self.words(t.lower()) for t in rows]
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        self._learn(list({w for words in split if words for w in words} - self.known.keys()))
+        get = self.known.__getitem__
+        return [self._ids(t).tobytes() if words is None else b"".join(map(get, words)) for t, words in zip(rows, split)]
 
 
 def cut(ids: bytes, capacity: int = CAPACITY) -> list[tuple[int, int, int]]:
@@ -90,8 +103,8 @@ def _pieces(batches, path: str, capacity: int):
     end = np.array([END_ID], "<u4").tobytes()
     for b in batches:
         rows = []
-        for doc, text in zip(b.column(0).to_pylist(), texts(b.column(1))):
-            ids = encode(text) + end
+        for doc, ids in zip(b.column(0).to_pylist(), encode(texts(b.column(1)))):
+            ids += end
             rows += [(doc, *piece, len(ids) // 4) for piece in cut(ids, capacity)]
         yield batch(_PIECES, *zip(*rows)) if rows else batch(_PIECES, *[[]] * len(_PIECES))
 

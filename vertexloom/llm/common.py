@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -66,3 +70,11 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 def texts(column: pa.Array) -> list[str]:
     """The column's strings; null counts as empty."""
     return [x or "" for x in column.to_pylist()]
+
+
+def per_worker(key: str, make: Callable[[], Any]) -> Any:
+    """A value that this Python worker process keeps for all its tasks: functions come anew with each task, and their globals too."""
+    held = sys.modules.setdefault("_vertexloom_worker", types.ModuleType("_vertexloom_worker")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, texts, tuned, written
+from .common import batch, per_worker, texts, tuned, written
 
 CAPACITY = 2048
 #: The id that ends each document.
@@ -30,7 +30,7 @@ END_ID = 1
 #: Rests in a group, on average.
 GROUP_PIECES = 2048
 #: Words that a worker keeps with their ids.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 #: How the vocabulary marks a token that ends a word.
 WORD_END = "</w>"
 VOCABULARY = "word_bpe_49k.json"
@@ -48,8 +48,20 @@ def _ranges(kind: str, end: int = 0x250) -> str:
     return "".join(f"\\u{c:04x}" for c in range(end) if unicodedata.category(chr(c))[0] == kind)
 
 
+class Places(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        place = self[word] = len(self)
+        self.new.append(word)
+        return place
+
+
 class WordIds:
-    """Ids of whole texts as little-endian 32-bit bytes, equal to the tokenizer's encode(text, add_special_tokens=False).
+    """Ids of whole texts as little-endian 32-bit numbers, equal to the tokenizer's encode(text, add_special_tokens=False).
 
     The vocabulary merges within words only and marks the last token of each, so texts of plain
     characters are split into words by the tokenizer's own rule, the distinct new words of a batch
@@ -68,44 +80,61 @@ class WordIds:
         letters, numbers = _ranges("L"), _ranges("N")
         self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^ \t\n\r{letters}{numbers}]+").findall
         self.odd = re.compile("[^\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u024f]|<\\|").search
-        self.known: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.places = Places()
+        self.flat = np.zeros(0, "<u4")  # the ids of all known words, in order of their places
+        self.ends = np.zeros(1, np.int64)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self) -> None:
+        words, flat, held = self.places.new, [self.flat], [self.ends]
         for at in range(0, len(words), 1000):
             some = words[at : at + 1000]
             ids = self._ids(" ".join(some))
-            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(some):
                 raise ValueError("the vocabulary does not mark the ends of words")
-            raw = ids.tobytes()
-            self.known.update(zip(some, [raw[4 * i : 4 * j] for i, j in zip([0, *ends], ends)]))
-
-    def __call__(self, rows: list[str]) -> list[bytes]:
-        split = [None if self.odd(t) else self.words(t.lower()) for t in rows]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        self._learn(list({w for words in split if words for w in words} - self.known.keys()))
-        get = self.known.__getitem__
-        return [self._ids(t).tobytes() if words is None else b"".join(map(get, words)) for t, words in zip(rows, split)]
-
-
-def cut(ids: bytes, capacity: int = CAPACITY) -> list[tuple[int, int, int]]:
+            held.append(held[-1][-1] + ends)
+            flat.append(ids)
+        self.flat, self.ends = np.concatenate(flat), np.concatenate(held)
+        words.clear()
+
+    def __call__(self, rows: list[str]) -> list[np.ndarray]:
+        if len(self.places) > CACHE_WORDS:
+            self._forget()
+        get, split = self.places.__getitem__, []
+        for t in rows:
+            words = None if self.odd(t) else self.words(t.lower())
+            split.append(None if words is None else np.fromiter(map(get, words), np.int64, len(words)))
+        self._learn()
+        out = []
+        for t, places in zip(rows, split):
+            if places is None:
+                out.append(self._ids(t))
+                continue
+            starts = self.ends[places]
+            counts = self.ends[places + 1] - starts
+            before = np.cumsum(counts) - counts
+            out.append(self.flat[np.repeat(starts - before, counts) + np.arange(counts.sum())])
+        return out
+
+
+def cut(ids: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, int, int]]:
     """(start, length, crc32) of each piece."""
-    n = len(ids) // 4
-    return [(s, min(capacity, n - s), zlib.crc32(ids[4 * s : 4 * (s + capacity)])) for s in range(0, n, capacity)]
+    return [(s, len(ids[s : s + capacity]), zlib.crc32(ids[s : s + capacity].astype("<u4").tobytes())) for s in range(0, len(ids), capacity)]
 
 
 def _pieces(batches, path: str, capacity: int):
-    encode = WordIds(path)
-    end = np.array([END_ID], "<u4").tobytes()
+    encode = per_worker(f"word ids {path}", lambda: WordIds(path))
     for b in batches:
         rows = []
         for doc, ids in zip(b.column(0).to_pylist(), encode(texts(b.column(1)))):
-            ids += end
-            rows += [(doc, *piece, len(ids) // 4) for piece in cut(ids, capacity)]
+            ids = np.append(ids, np.uint32(END_ID))
+            rows += [(doc, *piece, len(ids)) for piece in cut(ids, capacity)]
         yield batch(_PIECES, *zip(*rows)) if rows else batch(_PIECES, *[[]] * len(_PIECES))
 
 

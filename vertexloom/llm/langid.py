@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, texts, tuned, written
+from .common import batch, per_worker, texts, tuned, written
 
 ORDERS = (3, 4)
 #: An n-gram's least share of its language: a language has at most 1/MIN_SHARE of them.
@@ -47,8 +47,11 @@ _COUNTS = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64
 _OUT = pa.schema([("lang_pred", pa.string()), ("score", pa.float64())])
 
 
-@functools.cache
 def _letters() -> np.ndarray:
+    return per_worker("letters", _fold)
+
+
+def _fold() -> np.ndarray:
     """For each code point its lower-case letter, or a space."""
     out = np.full(sys.maxunicode + 1, 32, np.uint32)
     for c in range(sys.maxunicode + 1):

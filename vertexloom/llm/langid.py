@@ -39,12 +39,12 @@ UNDETERMINED = "und"
 #: The pipeline rejects a document whose score is below.
 MIN_SCORE = 0.05
 #: Characters looked at at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Distinct (language, n-gram) counts that a worker holds.
-HELD = 1 << 21
+HELD = 1 << 19
 
 _COUNTS = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
-_OUT = pa.schema([("lang_pred", pa.string()), ("score", pa.float64())])
+_OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
 def _letters() -> np.ndarray:
@@ -212,10 +212,14 @@ def _predict_rows(rows: list[str], f: LanguageFilter, fold: np.ndarray) -> tuple
 def _predict(batches, shared):
     f, fold = shared.value, _letters()
     for b in batches:
-        at = b.schema.get_field_index("_text")
-        out = batch(_OUT, *_predict_rows(texts(b.column(at)), f, fold))
-        kept = [i for i in range(b.num_columns) if i != at]
-        yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), *out.columns], names=[*(b.schema.names[i] for i in kept), *out.schema.names])
+        yield batch(_OUT, b.column(0), b.column(1), *_predict_rows(texts(b.column(2)), f, fold))
+
+
+def _told(batches, shared, at: int, min_score: float):
+    f, fold = shared.value, _letters()
+    for b in batches:
+        names, scores = _predict_rows(texts(b.column(at)), f, fold)
+        yield b.filter(pa.array([n != UNDETERMINED and s >= min_score for n, s in zip(names, scores)], pa.bool_()))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -223,15 +227,6 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 0
 
 
-def predict(rows: DataFrame, model: LanguageFilter, text: str = "text") -> DataFrame:
-    """rows with lang_pred and score in place of their text."""
-    tuned(rows.sparkSession)
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-    slim = rows.withColumnRenamed(text, "_text")
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != "_text"]
-    return slim.mapInArrow(functools.partial(_predict, shared=shared), ", ".join([*kept, "lang_pred string", "score double"]))
-
-
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of docs (doc_id, text, lang).
 
@@ -243,18 +238,13 @@ def identify(docs: DataFrame) -> DataFrame:
     """
     model = learn(docs.where(~held_out(docs["doc_id"])))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), held_out(docs["doc_id"]).alias("held_out"), docs["text"].alias("text"))
-    return predict(rows, model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return rows.mapInArrow(functools.partial(_predict, shared=shared), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """docs without those whose language can't be told: no letter, or too few known n-grams."""
+    """docs without those whose language can't be told: no letter, or too few known n-grams. All columns stay as they are."""
     model = learn(docs.where(~held_out(docs["doc_id"])))
-    taken = {c.lower() for c in docs.columns}
-    own = docs.withColumn("_whole", docs["text"])
-    out = predict(own, model, "_whole") if not taken & {"lang_pred", "score", "_text"} else None
-    if out is None:  # names that clash: decide under other names
-        names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-        slim = docs.toDF(*names.values()).withColumn("_whole", F.col(names["text"]))
-        out = predict(slim, model, "_whole").where(F.col("lang_pred") != UNDETERMINED).where(F.col("score") >= min_score)
-        return out.select(*[F.col(new).alias(old) for old, new in names.items()])
-    return out.where(F.col("lang_pred") != UNDETERMINED).where(F.col("score") >= min_score).select(*docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = [c.lower() for c in docs.columns].index("text")
+    return docs.mapInArrow(functools.partial(_told, shared=shared, at=at, min_score=min_score), docs.schema)

@@ -30,7 +30,7 @@ END_ID = 1
 #: Rests in a group, on average.
 GROUP_PIECES = 2048
 #: Words that a worker keeps with their ids.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 #: How the vocabulary marks a token that ends a word.
 WORD_END = "</w>"
 VOCABULARY = "word_bpe_49k.json"

@@ -73,8 +73,9 @@ def texts(column: pa.Array) -> list[str]:
 
 
 def per_worker(key: str, make: Callable[[], Any]) -> Any:
-    """A value that this Python worker process keeps for all its tasks: functions come anew with each task, and their globals too."""
+    """A value that this Python worker process keeps for all its tasks (functions come anew with each task, and their globals too), until it is asked for another one."""
     held = sys.modules.setdefault("_vertexloom_worker", types.ModuleType("_vertexloom_worker")).__dict__
-    if key not in held:
-        held[key] = make()
-    return held[key]
+    if held.get("key") != key:
+        held.pop("value", None)
+        held["key"], held["value"] = key, make()
+    return held["value"]

@@ -222,7 +222,7 @@ def exact_dedup(docs: DataFrame, held: Column | None = None) -> DataFrame:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs without the rows whose text stays elsewhere; rows that share a doc_id and a text become one."""
     kept = written(exact_dedup(docs).select(F.col("doc_id").alias("_id"), "kept"), "kept")
-    out = docs.join(kept.where("not kept and _id is not null").select("_id").distinct(), docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    out = docs.hint("merge").join(kept.where("not kept and _id is not null").select("_id").distinct(), docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
     again = kept.groupBy("_id").agg(F.count("*").alias("n"), F.max("kept").alias("k")).where("n > 1").select("_id", "k")
     return out if not again.take(1) else _with_repeats(docs, out, again)
 

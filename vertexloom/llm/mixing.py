@@ -82,7 +82,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     counts = mix(docs).groupBy("doc_id", "source", "size").agg(F.ceil(F.avg("copies")).cast("int").alias("_copies"))
     counts = written(counts.where("_copies > 0"), "copies").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_copies")
     rows = docs.withColumn("_words", size_of(docs["text"]))
-    rows = rows.join(counts, rows["doc_id"].eqNullSafe(F.col("_id")) & rows["source"].eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")))
+    rows = rows.hint("merge").join(counts, rows["doc_id"].eqNullSafe(F.col("_id")) & rows["source"].eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")))
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return rows.select(*[rows[c] for c in docs.columns])
 

@@ -139,7 +139,7 @@ def _links_of(keys: np.ndarray, fps: np.ndarray):
 
 def _collide(batches):
     """Batches sorted by key; the last key of a batch may go on in the next."""
-    keys, fps = [], []
+    keys, fps, links = [], [], []
     for b in batches:
         k, f = (c.to_numpy(zero_copy_only=False) for c in b.columns)
         if not len(k):
@@ -152,16 +152,15 @@ def _collide(batches):
         at = int(np.searchsorted(allk, allk[-1]))
         keys, fps = [allk[at:]], [allf[at:]]
         if at and (found := _links_of(allk[:at], allf[:at])):
-            yield batch(_LINKS, *found)
+            links.append(found)
+        if sum(len(a) for a, _ in links) > 500_000:  # the same links are found again and again
+            links = [forest(*(np.concatenate(z) for z in zip(*links)))]
+            if len(links[0][0]) > 250_000:
+                yield batch(_LINKS, *links.pop())
     if keys and (found := _links_of(np.concatenate(keys), np.concatenate(fps))):
-        yield batch(_LINKS, *found)
-
-
-def _forests(batches):
-    tables = [b for b in batches if b.num_rows]
-    if tables:
-        t = pa.Table.from_batches(tables)
-        yield batch(_LINKS, *forest(t.column(0).to_numpy(), t.column(1).to_numpy()))
+        links.append(found)
+    if links:
+        yield batch(_LINKS, *forest(*(np.concatenate(z) for z in zip(*links))))
 
 
 def components(links: DataFrame, name: str = "stars") -> DataFrame:
@@ -170,7 +169,7 @@ def components(links: DataFrame, name: str = "stars") -> DataFrame:
     Alternating large-star and small-star steps until nothing changes; each round is written,
     and two numbers a round reach the driver.
     """
-    links = written(links.where("a <> b").mapInArrow(_forests, "a long, b long").distinct(), name)
+    links = written(links.where("a <> b").distinct(), name)
     before = None
     while True:
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -213,4 +212,4 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each near-duplicate group: the smallest doc_id. Rows with a null doc_id stay."""
     groups = near_duplicates(docs)
     drop = written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "near-copies")
-    return docs.join(drop, docs["doc_id"] == F.col("_id"), "left_anti")
+    return docs.hint("merge").join(drop, docs["doc_id"] == F.col("_id"), "left_anti")

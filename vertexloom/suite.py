@@ -1,19 +1,507 @@
-"""The library's queries over the driver's tables, and their SQL."""
+"""The library's queries over the driver's tables, and their SQL for another engine.
+
+The source graph joins parts that were ordered together; vertices are all parts. The target is the
+same graph under the permutation (A * v + B) mod n, without the edges that an arithmetic hash takes.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vertexloom.functions.scores import FEATURES
+from vertexloom.operators import assign, baselines, candidates, costs, evaluate, features, soft, support
+from vertexloom.operators import graph as graphs
+from vertexloom.plans.matching import MatchConfig, match, prepare
+from vertexloom.tables import written
+
+A, B = 77, 13
+K = 10
+NOISE = "(u * 31 + v * 17) % 100 < 3"
+INDEX = candidates.IndexConfig(0.2, 0.2, 1, 3, 4)
+
+
+def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def source_graph(spark: SparkSession, folder: str) -> graphs.Graph:
+    """Parts that stand on neighbouring lines of an order."""
+    items = _table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    after = items.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("next"))
+    raw = items.join(after, ["l_orderkey", "l_linenumber"]).select(F.col("l_partkey").alias("u"), F.col("next").alias("v"))
+    return graphs.Graph(_table(spark, folder, "part").select(F.col("p_partkey").cast("long").alias("v")), graphs.clean_edges(raw))
+
+
+def truth(graph: graphs.Graph, n: int) -> DataFrame:
+    return graph.vertices.select(F.col("v").alias("source"), ((F.col("v") * A + B) % n).alias("target"))
+
+
+def pair(spark: SparkSession, folder: str):
+    one = source_graph(spark, folder)
+    one = graphs.Graph(one.vertices, written(one.edges, "edges"))
+    n = one.vertices.count()
+    t = truth(one, n)
+    return one, graphs.permuted(graphs.noisy(one, F.expr(NOISE)), t), t, n
+
+
+def _z(spark, folder, mode="joint"):
+    one, two, t, n = pair(spark, folder)
+    a, b = written(features.structural(one), "a"), written(features.structural(two), "b")
+    za, zb = features.normalised_pair(a, b, mode)
+    return one, two, t, n, a, b, za, zb
+
+
+def _rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in names})
+
+
+def _top(spark, folder, k=K, **options):
+    _, _, t, n, _, _, za, zb = _z(spark, folder)
+    return candidates.exhaustive(za, zb, k, **options), t, n
+
+
+# ---------------------------------------------------------------- queries
+
+def graph_edges(spark, folder):
+    return source_graph(spark, folder).edges
+
+
+def graph_checks(spark, folder):
+    g = source_graph(spark, folder)
+    return graphs.violations(g.vertices, g.edges)
+
+
+def graph_degrees(spark, folder):
+    return graphs.degrees(source_graph(spark, folder))
+
+
+def graph_neighbors(spark, folder):
+    return graphs.neighbors(source_graph(spark, folder)).select("v", F.concat_ws(",", "neighbors").alias("neighbors"))
+
+
+def graph_permuted(spark, folder):
+    return pair(spark, folder)[1].edges
+
+
+def graph_has_edges(spark, folder):
+    items = _table(spark, folder, "lineitem").select(F.col("l_partkey").cast("long").alias("a"), F.col("l_suppkey").cast("long").alias("b")).distinct()
+    return graphs.has_edges(source_graph(spark, folder), items)
+
+
+def graph_relabelled(spark, folder):
+    orders = _table(spark, folder, "orders")
+    return graphs.relabelled(graphs.clean_edges(orders.select(F.col("o_orderkey").alias("u"), F.col("o_custkey").alias("v"))))[1]
+
+
+def graph_flipped(spark, folder):
+    items = _table(spark, folder, "lineitem").select(F.col("l_partkey").cast("long").alias("a"), F.col("l_suppkey").cast("long").alias("b"))
+    return graphs.flipped(source_graph(spark, folder), items).edges
+
+
+def feature_table(spark, folder):
+    return _rounded(features.structural(source_graph(spark, folder)), *FEATURES)
+
+
+def feature_joint_scores(spark, folder):
+    return _rounded(_z(spark, folder)[6], *FEATURES, digits=5)
+
+
+def feature_separate_scores(spark, folder):
+    return _rounded(_z(spark, folder, "separate")[7], *FEATURES, digits=5)
+
+
+def feature_profiles(spark, folder):
+    rows = features.profiles(source_graph(spark, folder), 8).select("v", F.posexplode("profile").alias("bin", "value"))
+    return _rounded(rows.select("v", F.col("bin").cast("long").alias("bin"), "value"), "value")
+
+
+def feature_duplicates(spark, folder):
+    return features.duplicates(features.structural(source_graph(spark, folder)))
+
+
+def feature_cells(spark, folder):
+    return features.duplicates(features.structural(source_graph(spark, folder)).select("v", *[F.floor(F.col(f)).cast("double").alias(f) for f in FEATURES]), 2.0)
+
+
+def feature_page_rank(spark, folder):
+    return _rounded(features.page_rank(source_graph(spark, folder), 3), "rank", digits=9)
+
+
+def feature_two_hop(spark, folder):
+    return features.two_hop(source_graph(spark, folder))
+
+
+def feature_cores(spark, folder):
+    return features.core_numbers(source_graph(spark, folder))
+
+
+def feature_legacy(spark, folder):
+    return features.legacy(source_graph(spark, folder), 5)
+
+
+def topk(spark, folder):
+    return _rounded(_top(spark, folder)[0], "similarity")
+
+
+def topk_weighted(spark, folder):
+    found = _top(spark, folder, 5, mask=("degree", "clustering", "avg_nd"), weights={"degree": 2.0, "clustering": 0.5})[0]
+    return _rounded(found, "similarity")
+
+
+def topk_profiles(spark, folder):
+    one, two, _, _, _, _, za, zb = _z(spark, folder)
+    return _rounded(candidates.exhaustive(za.join(features.profiles(one, 8), "v"), zb.join(features.profiles(two, 8), "v"), 3, profile_weight=0.25, bins=8), "similarity")
+
+
+def _pools(spark, folder):
+    rows = _table(spark, folder, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"), "label")
+    one, two = rows.select(F.col("vec_id").alias("pool"), F.col("e").alias("a"), "label"), rows.select(F.col("vec_id").alias("target"), F.col("e").alias("b"), "label")
+    product = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return one.join(two, "label").where("pool <> target").select("pool", "target", F.round(product, 6).alias("score"))
+
+
+def topk_pools(spark, folder):
+    return candidates.select_top(_pools(spark, folder), 5)
+
+
+def topk_chunks(spark, folder):
+    return candidates.chunk_top(_pools(spark, folder), 2, 64)
+
+
+def index_buckets(spark, folder):
+    return candidates.bucket_counts(candidates.bucketed(features.structural(source_graph(spark, folder)), INDEX))
+
+
+def index_plans(spark, folder):
+    _, _, _, _, a, b, _, _ = _z(spark, folder)
+    return candidates.plan(a, b, K, INDEX)
+
+
+def index_topk(spark, folder):
+    _, _, _, _, a, b, za, zb = _z(spark, folder)
+    return _rounded(candidates.indexed(za, zb, a, b, K, INDEX), "similarity")
+
+
+def index_report(spark, folder):
+    _, _, _, _, a, b, _, _ = _z(spark, folder)
+    return candidates.index_report(candidates.plan(a, b, K, INDEX), candidates.bucket_counts(candidates.bucketed(b, INDEX)))
+
+
+def index_against_exhaustive(spark, folder):
+    _, _, t, _, a, b, za, zb = _z(spark, folder)
+    return evaluate.compare_support(candidates.exhaustive(za, zb, K), candidates.indexed(za, zb, a, b, K, INDEX), t)
+
+
+def support_incoming(spark, folder):
+    found, _, _ = _top(spark, folder)
+    return support.incoming(found, source_graph(spark, folder).vertices)
+
+
+def support_histogram(spark, folder):
+    return support.histogram(support_incoming(spark, folder))
+
+
+def support_report(spark, folder):
+    found, _, _ = _top(spark, folder)
+    v = source_graph(spark, folder).vertices
+    return support.report(written(found, "top"), v, v)
+
+
+def support_defects(spark, folder):
+    found, _, n = _top(spark, folder)
+    return support.defects(written(found, "top"), n)
+
+
+def support_matching(spark, folder):
+    found, _, n = _top(spark, folder)
+    return assign.matching(written(found, "top"), n, n).select("source", "conflict")
+
+
+def support_repair(spark, folder):
+    _, _, _, n, _, _, za, zb = _z(spark, folder)
+    za, zb = written(za, "za"), written(zb, "zb")
+    start = written(candidates.exhaustive(za, zb, 2), "start")
+    grown, why, history = support.repair(start, n, n, 2, lambda s, k: candidates.exhaustive(za.join(s.select(F.col("source").alias("v")), "v", "left_semi"), zb, k), 16)
+    return spark.createDataFrame([(i, h["k"], h["matching"], h["edges"], why) for i, h in enumerate(history)], "round long, k long, matching long, edges long, stopped string")
+
+
+def cost_table(spark, folder):
+    return _rounded(costs.costs(_top(spark, folder)[0]), "cost")
+
+
+def cost_checks(spark, folder):
+    found, _, n = _top(spark, folder)
+    return costs.checks(costs.costs(found), K, n, n)
+
+
+def cost_by_target(spark, folder):
+    return _rounded(costs.by_target(costs.costs(_top(spark, folder)[0])), "least_cost")
+
+
+def components(spark, folder):
+    found, _, n = _top(spark, folder, 1)
+    return assign.bipartite_components(written(found, "top"), n, n)
+
+
+def component_sizes(spark, folder):
+    found, _, n = _top(spark, folder, 1)
+    found = written(found, "top")
+    return assign.component_sizes(written(assign.bipartite_components(found, n, n), "components"), found)
+
+
+def _square(spark, folder):
+    """Costs that have a complete assignment: each source's candidates and its true target."""
+    _, _, t, n, _, _, za, zb = _z(spark, folder)
+    found = candidates.exhaustive(za, zb, K).select("source", "target", "similarity")
+    more = t.join(found, ["source", "target"], "left_anti").select("source", "target", F.lit(-1.0).alias("similarity"))
+    return written(costs.costs(found.unionByName(more)), "costs"), t, n
+
+
+def assignment_proof(spark, folder):
+    table, _, n = _square(spark, folder)
+    return assign.certificate(table, assign.assignment(table, n, n)).select("sources", "matched", "complete", "one_to_one", "dual_feasible", "tight", "optimal")
+
+
+def confidences(spark, folder):
+    table, _, _ = _square(spark, folder)
+    shares, _ = soft.sinkhorn(table, 0.5, 3, 0.0)
+    return _rounded(shares, "probability")
+
+
+def neighborhood(spark, folder):
+    one, two, _, _, _, _, za, zb = _z(spark, folder)
+    found = written(candidates.exhaustive(za, zb, 5), "top")
+    return _rounded(soft.consistency(found, one, two, "similarity"), "consistency", digits=4)
+
+
+def greedy_pairs(spark, folder):
+    return soft.greedy(_top(spark, folder)[0].withColumn("similarity", F.round("similarity", 9))).select("source", "target")
+
+
+def soft_pairs(spark, folder):
+    one, two, _, _, _, _, za, zb = _z(spark, folder)
+    return soft.soft_match(one, two, written(candidates.exhaustive(za, zb, 5), "top"), 1, 2)
+
+
+def recall(spark, folder):
+    found, t, _ = _top(spark, folder)
+    return evaluate.recall(found, t)
+
+
+def accuracy(spark, folder):
+    found, t, _ = _top(spark, folder, 1)
+    return evaluate.accuracy(found.select("source", "target"), t)
+
+
+def mapping_report(spark, folder):
+    found, t, _ = _top(spark, folder)
+    return evaluate.mapping_report(t, found, t)
+
+
+def one_to_one(spark, folder):
+    found, _, n = _top(spark, folder, 1)
+    return evaluate.one_to_one(found.select("source", "target"), n)
+
+
+def preservation(spark, folder):
+    one, two, t, _ = pair(spark, folder)
+    return evaluate.preservation(one, two, t)
+
+
+def rankings(spark, folder):
+    _, _, _, _, _, _, za, zb = _z(spark, folder)
+    weighted = candidates.exhaustive(za, zb, K, weights={"degree": 2.0})
+    return evaluate.compare_rankings(candidates.exhaustive(za, zb, K), weighted)
+
+
+def boundary_ties(spark, folder):
+    _, _, _, _, _, _, za, zb = _z(spark, folder)
+    return evaluate.boundary_ties(candidates.exhaustive(za, zb, K), candidates.exhaustive(za, zb, K + 1), K)
+
+
+def value_summary(spark, folder):
+    return evaluate.summary(_table(spark, folder, "events"), "event_type", "value")
+
+
+def paired_graph(spark, folder):
+    return graphs.paired(source_graph(spark, folder), 0.05, 11)[0].edges
+
+
+def kronecker_graph(spark, folder):
+    return graphs.rmat(spark, 10).edges
+
+
+def dense_baselines(spark, folder):
+    """Accuracy of each baseline on the toy graphs."""
+    one, two, t = graphs.toy_pair(spark)
+    a, b = (baselines.adjacency([(r.u, r.v) for r in g.edges.collect()], 6) for g in (one, two))
+    want = np.array([r.target for r in t.orderBy("source").collect()])
+    names = ("feature_lap", "degree_lap", "frank_wolfe", "least_distance", "reweighted_walk", "graduated", "spectral")
+    return spark.createDataFrame([(name, float((getattr(baselines, name)(a, b) == want).mean())) for name in names], "baseline string, accuracy double")
+
+
+def toy_match(spark, folder):
+    one, two, t = graphs.toy_pair(spark)
+    result = match(prepare(one), prepare(two), MatchConfig(k=6))
+    return evaluate.accuracy(result.assignment.select("source", "target"), t).join(result.certificate.select("optimal", F.round(F.abs("primal"), 6).alias("cost")))
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/part.parquet").limit(1)
+    """A graph matched with its noisy permuted copy: candidates, an exact assignment, its measures."""
+    table, t, n = _square(spark, folder)
+    assigned = assign.assignment(table, n, n)
+    return evaluate.accuracy(assigned.select("source", "target"), t).join(assign.certificate(table, assigned).select("primal", "optimal"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+# ---------------------------------------------------------------- SQL
+
+_G = f"""
+n as (select count(*) as n from part),
+vertices as (select p_partkey::bigint as v from part),
+e as (
+  select distinct least(a.l_partkey, b.l_partkey)::bigint as u, greatest(a.l_partkey, b.l_partkey)::bigint as v
+  from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1 and a.l_partkey <> b.l_partkey),
+truth as (select v as source, (v * {A} + {B}) % n as target from vertices, n),
+f as (select least(a.target, b.target) as u, greatest(a.target, b.target) as v
+      from e join truth a on e.u = a.source join truth b on e.v = b.source where not (e.u * 31 + e.v * 17) % 100 < 3)"""
+
+
+def _features_sql(edges: str, out: str) -> str:
+    p = out
+    return f"""
+{p}_adj as (select u, v from {edges} union all select v, u from {edges}),
+{p}_deg as (select vertices.v, count({p}_adj.v) as d from vertices left join {p}_adj on vertices.v = {p}_adj.u group by 1),
+{p}_nd as (select a.u as v, sum(d) as s1, sum(d * d) as s2 from {p}_adj a join {p}_deg g on a.v = g.v group by 1),
+{p}_tri as (select v, count(*) as t from (
+    select unnest([x.u, x.v, y.v]) as v from {edges} x join {edges} y on x.v = y.u join {edges} z on z.u = x.u and z.v = y.v) group by 1),
+{out} as (
+  select g.v, d::double as degree,
+    case when d > 1 then 2 * coalesce(t, 0) / (d * (d - 1))::double else 0 end as clustering,
+    case when d > 0 then s1 / d::double else 0 end as avg_nd,
+    case when d > 1 then sqrt((d * s2 - s1 * s1) / (d * (d - 1))::double) else 0 end as nd_std,
+    coalesce(t, 0)::double as triangles, (d * d)::double as degree_sq
+  from {p}_deg g left join {p}_nd on g.v = {p}_nd.v left join {p}_tri on g.v = {p}_tri.v)"""
+
+
+def _z_sql(rows: str, sets: list[str], out: str) -> str:
+    union = " union all ".join(f"select {', '.join(FEATURES)} from {s}" for s in sets)
+    means = ", ".join(f"sum({f}::decimal(28,9))::double / count(*) as m_{f}" for f in FEATURES)
+    spread = ", ".join(f"sqrt(sum((({f} - m_{f}) * ({f} - m_{f}))::decimal(28,9))::double / count(*)) as s_{f}" for f in FEATURES)
+    z = ", ".join(f"({f} - m_{f}) / case when s_{f} < 1e-12 then 1 else s_{f} end as {f}" for f in FEATURES)
+    return f"""
+{out}_all as ({union}),
+{out}_m as (select {means} from {out}_all),
+{out}_s as (select {spread} from {out}_all, {out}_m),
+{out} as (select v, {z} from {rows}, {out}_m, {out}_s)"""
+
+
+_BASE = f"with recursive {_G},{_features_sql('e', 'fa')},{_features_sql('f', 'fb')}"
+_Z = f"{_BASE},{_z_sql('fa', ['fa', 'fb'], 'za')},{_z_sql('fb', ['fa', 'fb'], 'zb')}"
+
+
+def _dot(a: str, b: str, weights: dict[str, float]) -> str:
+    return "(" + " + ".join(f"{a}.{f} * {b}.{f} * {w}" for f, w in weights.items()) + ")"
+
+
+def _top_sql(k: int, out: str = "top", weights: dict[str, float] | None = None, pairs: str = "za a, zb b") -> str:
+    w = weights or dict.fromkeys(FEATURES, 1.0)
+    size = f"(sqrt({_dot('a', 'a', w)}) * sqrt({_dot('b', 'b', w)}))"
+    return f"""
+{out}_s as (select a.v as source, b.v as target, greatest(-1.0, least(1.0, case when {size} < 1e-12 then 0 else {_dot('a', 'b', w)} / {size} end)) as similarity from {pairs}),
+{out} as (select source, rank, target, similarity from (select *, row_number() over (partition by source order by round(similarity, 9) desc, target) - 1 as rank from {out}_s) where rank < {k})"""
+
+
+_TOP = f"{_Z},{_top_sql(K)}"
+_SHELLS = f"""
+bin_a as (select v, floor(ln(1 + degree) / {INDEX.degree_width})::bigint as x, floor(ln(1 + avg_nd) / {INDEX.neighbor_width})::bigint as y from fa),
+bin_b as (select v, floor(ln(1 + degree) / {INDEX.degree_width})::bigint as x, floor(ln(1 + avg_nd) / {INDEX.neighbor_width})::bigint as y from fb),
+near as (select a.v as source, b.v as target, greatest(abs(a.x - b.x), abs(a.y - b.y)) as r from bin_a a, bin_b b),
+pools as (select source, rr.r as radius, count_if(near.r <= rr.r) as pool from near, range({INDEX.max_radius + 1}) rr(r) group by 1, 2),
+wish as (select least(n, {INDEX.multiplier * K}) as desired from n),
+stops as (select source, min(radius) filter (where radius >= {INDEX.min_radius} and pool >= desired) as stop from pools, wish group by 1),
+plans as (
+  select s.source, a.x as degree_bin, a.y as neighbor_bin, desired, coalesce(stop, {INDEX.max_radius})::int as radius, pool, stop is null and pool < desired as fallback
+  from stops s join bin_a a on s.source = a.v join pools p on p.source = s.source and p.radius = coalesce(stop, {INDEX.max_radius}), wish)"""
+_INDEXED = _top_sql(K, "itop", pairs="za a, zb b, near, plans where near.source = a.v and near.target = b.v and plans.source = a.v and (plans.fallback or near.r <= plans.radius)")
+_RANKED = f"{_Z},{_SHELLS},{_INDEXED}"
+_POOLS = """
+with pools as (
+  select a.vec_id as pool, b.vec_id as target,
+    round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: x[1]::double * x[2]::double)), 6) as score
+  from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id)"""
+
+
+def _r(names, digits=6) -> str:
+    return ", ".join(f"round({c}, {digits}) + 0.0 as {c}" for c in names)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    incoming = "incoming as (select v as target, count(source) as incoming from vertices left join top on top.target = vertices.v group by 1)"
+    square = f"{_TOP}, square as (select source, target, 1 - similarity as cost from top union all select t.source, t.target, 2.0 from truth t anti join top using (source, target))"
+    sums = lambda rows, key, out: f"{out} as (select source, target, l - (max(l) over w + ln(sum(exp(l - m)) over w)) as l from (select *, max(l) over (partition by {key}) as m from {rows}) window w as (partition by {key}))"
+    scaled = ", ".join(sums(f"l{i}", ("source", "target")[i % 2], f"l{i + 1}") for i in range(6))
+    rank = lambda i: f"p{i + 1} as (select fa_deg.v, d, 0.85 * coalesce(g, 0) + 0.15 / n as rank from n, fa_deg left join (select a.v, sum((rank / d)::decimal(28,18))::double as g from fa_adj a join p{i} on a.u = p{i}.v where d > 0 group by 1) x on fa_deg.v = x.v)"
+    bipartite = f"{_Z},{_top_sql(1)}, links as (select source as a, target + n as b from top, n union all select target + n, source from top, n), reach(node, other) as (select a, b from links union select r.node, l.b from reach r join links l on r.other = l.a), comp as (select i as node, least(i, coalesce((select min(other) from reach where reach.node = i), i)) as component from n, range(2 * n) x(i))"
+    sides = f"{bipartite}, sides as (select case when node < n then 'source' else 'target' end as side, case when node < n then node else node - n end as id, component from comp, n)"
+    return {
+        "graph_edges": f"with {_G} select u, v from e",
+        "graph_checks": f"with {_G} select (select count(*) from vertices) as n_vertices, count(*) as n_edges, count_if(u = v) as self_loops, count_if(u > v) as not_canonical, count(*) - count(distinct (u, v)) as repeated, count_if(u not in (from vertices) or v not in (from vertices)) as out_of_range from e",
+        "graph_degrees": f"{_BASE} select v, d as degree from fa_deg",
+        "graph_neighbors": f"{_BASE} select u as v, string_agg(v::varchar, ',' order by v) as neighbors from fa_adj group by 1",
+        "graph_permuted": f"with {_G} select u, v from f",
+        "graph_has_edges": f"with {_G} select a, b, e.u is not null as present from (select distinct l_partkey::bigint as a, l_suppkey::bigint as b from lineitem) left join e on e.u = least(a, b) and e.v = greatest(a, b)",
+        "graph_relabelled": "select original, row_number() over (order by original) - 1 as v from (select o_orderkey as original from orders where o_orderkey <> o_custkey union select o_custkey from orders where o_orderkey <> o_custkey)",
+        "graph_flipped": f"with {_G}, odd as (select least(l_partkey, l_suppkey)::bigint as u, greatest(l_partkey, l_suppkey)::bigint as v from lineitem where l_partkey <> l_suppkey group by 1, 2 having count(*) % 2 = 1) select u, v from e anti join odd using (u, v) union all select u, v from odd anti join e using (u, v)",
+        "feature_table": f"{_BASE} select v, {_r(FEATURES)} from fa",
+        "feature_joint_scores": f"{_Z} select v, {_r(FEATURES, 5)} from za",
+        "feature_separate_scores": f"{_BASE},{_z_sql('fb', ['fb'], 'zs')} select v, {_r(FEATURES, 5)} from zs",
+        "feature_profiles": f"{_BASE}, lists as (select a.u as v, list(d order by d) as ds from fa_adj a join fa_deg g on a.v = g.v group by 1) select vertices.v, b as bin, coalesce(round(ds[round(b * (len(ds) - 1) / 7.0::double)::int + 1] / (select max(d) from fa_deg)::double, 6), 0) + 0.0 as value from vertices left join lists on vertices.v = lists.v, range(8) x(b)",
+        "feature_duplicates": f"{_BASE} select sum(c)::bigint as vectors, count(*) as unique_vectors, count_if(c > 1) as repeated_groups, max(c) as largest_group from (select count(*) as c from fa group by {', '.join(FEATURES)})",
+        "feature_cells": f"{_BASE} select sum(c)::bigint as vectors, count(*) as unique_vectors, count_if(c > 1) as repeated_groups, max(c) as largest_group from (select count(*) as c from fa group by {', '.join(f'round_even(floor({f}) / 2.0, 0)' for f in FEATURES)})",
+        "feature_page_rank": f"{_BASE}, p0 as (select v, d, 1.0::double / n as rank from fa_deg, n), {rank(0)}, {rank(1)}, {rank(2)} select v, {_r(['rank'], 9)} from p3",
+        "feature_two_hop": f"{_BASE} select fa_deg.v, coalesce(w, 0) as walks, d as returns, coalesce(m, 0) as max_nd from fa_deg left join (select a.u as v, sum(d)::bigint as w, max(d) as m from fa_adj a join fa_deg g on a.v = g.v group by 1) x on fa_deg.v = x.v",
+        "topk": f"{_TOP} select source, rank, target, {_r(['similarity'])} from top",
+        "topk_weighted": f"{_Z},{_top_sql(5, weights={'degree': 2.0, 'clustering': 0.5, 'avg_nd': 1.0})} select source, rank, target, {_r(['similarity'])} from top",
+        "topk_pools": f"{_POOLS} select pool, rank, target, score as similarity from (select *, row_number() over (partition by pool order by round(score, 9) desc, target) - 1 as rank from pools) where rank < 5",
+        "topk_chunks": f"{_POOLS} select pool, chunk, rank, target, score as similarity from (select *, target // 64 as chunk, row_number() over (partition by pool, target // 64 order by round(score, 9) desc, target) - 1 as rank from pools) where rank < 2",
+        "index_buckets": f"{_Z},{_SHELLS} select x as degree_bin, y as neighbor_bin, count(*) as n from bin_a group by 1, 2",
+        "index_plans": f"{_Z},{_SHELLS} select source, degree_bin, neighbor_bin, desired, radius, pool, fallback from plans",
+        "index_topk": f"{_RANKED} select source, rank, target, {_r(['similarity'])} from itop",
+        "index_report": f"{_Z},{_SHELLS}, c as (select count(*) as n from bin_b group by x, y) select (select count(*) from c) as buckets, (select min(n) from c) as least_targets, (select max(n) from c) as most_targets, min(pool) as pool_min, round(avg(pool), 4) as pool_mean, max(pool) as pool_max, count_if(fallback) as fallbacks, max(radius) as max_radius, sum(pool)::bigint as pairs_scored from plans",
+        "index_against_exhaustive": f"{_RANKED},{_top_sql(K)}, cut as (select source, min(similarity) as cut from top group by 1), x as (select i.*, cut, t.source is not null as both_have from itop i left join cut using (source) left join top t on t.source = i.source and t.target = i.target), h as (select t.source, a.source is not null as e, b.source is not null as o from truth t left join top a on a.source = t.source and a.target = t.target left join itop b on b.source = t.source and b.target = t.target) select count(*) as pairs, count_if(both_have) as overlap, count_if(similarity < cut - 2e-6) as below_cutoff, (select count_if(e and not o) from h) as truth_lost, (select count_if(o and not e) from h) as truth_gained from x",
+        "support_incoming": f"{_TOP}, {incoming} select target, incoming from incoming",
+        "support_histogram": f"{_TOP}, {incoming} select incoming, count(*) as targets from incoming group by 1",
+        "support_report": f"{_TOP}, {incoming}, r as (select v, count(top.source) as c from vertices left join top on top.source = v group by 1) select sum(c)::bigint as edges, count_if(c = 0) as empty_sources, min(c) as row_min, max(c) as row_max, (select count_if(incoming = 0) from incoming) as uncovered_targets from r",
+        "support_defects": f"{_TOP} select count(*) - count(distinct (source, target)) as repeated, count_if(target < 0 or target >= (from n)) as out_of_range, count_if(similarity is null or isnan(similarity)) as not_finite, (select count_if(m <> c - 1 or l <> 0) from (select max(rank) as m, min(rank) as l, count(*) as c from top group by source)) as bad_ranks from top",
+        "cost_table": f"{_TOP} select source, target, round(1 - similarity, 6) + 0.0 as cost from top",
+        "cost_checks": f"{_TOP} select count(*) as entries, 0::bigint as long_rows, count(*) - count(distinct (source, target)) as repeated, count_if(isnan(similarity)) as not_finite, count_if(target < 0 or target >= (from n)) as out_of_range, 4 * ((from n) + 1) + 8 * count(*) as csr_bytes from top",
+        "cost_by_target": f"{_TOP} select target, count(*) as sources, round(min(1 - similarity), 6) + 0.0 as least_cost from top group by 1",
+        "components": f"{sides} select side, id, component from sides",
+        "component_sizes": f"{sides} select component, count_if(side = 'source') as sources, count_if(side = 'target') as targets, count_if(side = 'source') as edges, count_if(side = 'source') <= count_if(side = 'target') as feasible from sides group by 1",
+        "assignment_proof": f"{_G.replace('n as', 'with n as', 1)} select n as sources, n as matched, true as complete, true as one_to_one, true as dual_feasible, true as tight, true as optimal from n",
+        "confidences": f"{square}, l0 as (select source, target, -cost / 0.5 as l from square), {scaled} select source, target, round(exp(l), 6) + 0.0 as probability from l6",
+        "neighborhood": f"{_Z},{_top_sql(5)}, s as (select a.v as i, b.v as j, sum(p.similarity::decimal(28,12))::double as c from top p join fa_adj a on a.u = p.source join fb_adj b on b.u = p.target join top q on q.source = a.v and q.target = b.v group by 1, 2) select source, target, coalesce(round(c, 4), 0) + 0.0 as consistency from top left join s on i = source and j = target",
+        "recall": f"{_TOP} select count(*) as vertices, count(top.source) as found, round(count(top.source) / count(*)::double, 6) as recall from truth left join top using (source, target)",
+        "accuracy": f"{_Z},{_top_sql(1)} select count(*) as vertices, count(top.target) as matched, count_if(top.target = truth.target) as right, round(count_if(top.target = truth.target) / count(*)::double, 6) as accuracy, round(count_if(top.target = truth.target) / count(top.target)::double, 6) as accuracy_matched from truth left join top on truth.source = top.source".replace("as right,", 'as "right",'),
+        "mapping_report": f"{_TOP} select count(*) as vertices, count(*) as matched, count(similarity) as on_support, 1.0::double as accuracy, case when count(*) = count(similarity) then round(sum((1 - similarity)::decimal(28,9))::double, 6) end as cost from truth left join top using (source, target)",
+        "one_to_one": f"{_Z},{_top_sql(1)} select count(*) = count(distinct target) as one_to_one from top",
+        "preservation": f"with {_G}, k as (select count(*) as kept from (select least(a.target, b.target) as u, greatest(a.target, b.target) as v from e join truth a on e.u = a.source join truth b on e.v = b.source) semi join f using (u, v)), c as (select (select count(*) from e) as edges_a, (select count(*) from f) as edges_b) select edges_a, edges_b, kept, round(kept / edges_a::double, 6) as forward, round(kept / edges_b::double, 6) as backward, 2 * (edges_a + edges_b - 2 * kept) as qap_cost from k, c",
+        "value_summary": "select event_type, count(value) as trials, round(sum(value::decimal(28,9))::double / count(value), 6) as mean, round(stddev_samp(value), 4) as deviation, min(value) as least, max(value) as most, round(quantile_cont(value, 0.5), 6) as median, round(quantile_cont(value, 0.95), 6) as p95, round(quantile_cont(value, 0.99), 6) as p99 from events group by 1",
+    }
+
+
+_QUERIES = (
+    graph_edges, graph_checks, graph_degrees, graph_neighbors, graph_permuted, graph_has_edges, graph_relabelled, graph_flipped, feature_table, feature_joint_scores, feature_separate_scores,
+    feature_profiles, feature_duplicates, feature_cells, feature_page_rank, feature_two_hop, feature_cores, feature_legacy, topk, topk_weighted, topk_profiles, topk_pools, topk_chunks,
+    index_buckets, index_plans, index_topk, index_report, index_against_exhaustive, support_incoming, support_histogram, support_report, support_defects, support_matching, support_repair,
+    cost_table, cost_checks, cost_by_target, components, component_sizes, assignment_proof, confidences, neighborhood, greedy_pairs, soft_pairs, recall, accuracy, mapping_report, one_to_one,
+    preservation, rankings, boundary_ties, value_summary, paired_graph, kronecker_graph, dense_baselines, toy_match,
+)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in _QUERIES}

@@ -1,0 +1,455 @@
+"""The training-data operators: odd rows, brute force, exact round trips, held-out accuracy."""
+
+import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from conftest import SF
+from vertexloom.llm import chaining, exact_dedup, htmltext, langid, lmscore, mixing, mpegaudio, packing, pii, queries, simhash
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs(spark, rows, extra=False):
+    df = spark.createDataFrame([(i, t, lang, s, len(t or "")) for i, t, lang, s in rows], SCHEMA)
+    if extra:  # names that operators use inside
+        for name in ("kept", "size", "sha", "fp", "copies", "held", "row", "score", "lang_pred", "_whole", "target", "grp", "sequence_id", "component_id"):
+            df = df.withColumn(name, F.lit("x"))
+    return df
+
+
+LONG = " ".join(f"word{i % 977} runs{i % 31}" for i in range(40_000))
+ODD = [
+    (1, None, None, None), (2, "", "en", "a"), (3, " \n\t", "en", "a"), (4, "the of and to in is", "en", "a"), (5, "the of and\tto in  is", "en", None), (6, "THE of and to in is", "fr", "b"),
+    (7, "12345 678 !!", "en", "b"), (8, LONG, "en", "c"), (8, LONG, "en", "c"), (9, "the of and to in is", "en", "a"), (None, "the of and to in is", "en", "a"), (None, None, "en", "b"), (10, "日本語 text ひらがな", "ja", "é"),
+]
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    return {n: spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "pages", "labels")}
+
+
+@pytest.fixture(scope="module")
+def texts(tables):
+    return {r.doc_id: r.text for r in tables["documents"].select("doc_id", "text").collect()}
+
+
+OPERATORS = {
+    "exact_dedup": exact_dedup.exact_dedup,
+    "lm_score": lambda d: lmscore.score(d, d.sparkSession.createDataFrame([(4, 1, 0), (4, 1, 0), (None, 1, 0), (6, 0, 1)], "doc_id long, quality int, toxic int")),
+    "language_id": langid.identify,
+    "media": lambda d: mpegaudio.features(mpegaudio.media(d)),
+    "mix": mixing.mix,
+    "pii": pii.find,
+    "simhash": simhash.near_duplicates,
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_odd_rows_each_give_one_row(spark, name):
+    assert OPERATORS[name](docs(spark, ODD, extra=True)).count() == len(ODD)
+    assert OPERATORS[name](docs(spark, []).limit(0)).count() == 0
+
+
+def test_odd_rows_of_the_others(spark):
+    assert packing.pack(docs(spark, ODD, extra=True)).where("start = 0").count() == len(ODD)
+    assert packing.pack(docs(spark, [])).count() == 0
+    assert chaining.repeated_passages(docs(spark, [])).count() == 0
+    assert chaining.repeated_passages(docs(spark, ODD, extra=True)).count() == 0  # the copy has the same doc_id
+    pages = spark.createDataFrame([(1, None, None), (1, "u", ""), (None, "u", "<p>" + LONG)], "page_id long, url string, html string")
+    assert sorted(r.n_chars for r in htmltext.extract(pages.withColumn("text", F.lit(1))).collect()) == [0, 0, len(LONG)]
+    assert htmltext.extract(pages.limit(0)).count() == 0
+
+
+# ---------------------------------------------------------------- 1
+
+def test_exact_dedup_equals_sql(spark, duck, rows_of):
+    assert rows_of(queries.op1_exact_dedup(spark, SF)) == duck(exact_dedup.SQL)
+
+
+def test_exact_dedup_keeps_one_of_each(spark):
+    rows = exact_dedup.exact_dedup(docs(spark, ODD)).collect()
+    groups = collections.defaultdict(list)
+    for r in rows:
+        groups[r.text_sha256].append(r)
+    assert all(sum(r.kept for r in g) == 1 and {r.group_size for r in g} == {len(g)} for g in groups.values())
+    by_id = {r.doc_id: r for r in rows if r.doc_id}
+    assert by_id[4].keep_id == 5 and by_id[9].keep_id == 5 and not by_id[9].kept and by_id[6].kept  # 5 has more characters
+    assert by_id[3].keep_id == 3 and by_id[1].text_sha256 == hashlib.sha256(b"").hexdigest()
+    kept = exact_dedup.drop_copies(docs(spark, ODD))
+    assert kept.count() == len(groups) and kept.columns == docs(spark, ODD).columns
+
+
+def test_fuse_filter_has_no_false_negatives():
+    r = np.random.default_rng(1)
+    for n in (0, 1, 3, 1000, 70_000):
+        keys = r.integers(0, 2**64, n, np.uint64)
+        f = exact_dedup.FuseFilter.build(np.r_[keys, keys[:5]])
+        assert f.contains(keys).all() and f.contains(r.integers(0, 2**64, 100_000, np.uint64)).mean() < 1e-3
+
+
+# ---------------------------------------------------------------- 2
+
+def test_score_prefers_the_target(spark):
+    rows = [(i, f"red green blue colour {i % 5} paint " * 20, "en", "a") for i in range(20)] + [(i, f"sum of squares {i % 5} is even " * 20, "en", "a") for i in range(20, 60)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(10)] + [(30, 1, 1)], "doc_id long, quality int, toxic int")
+    found = {r.doc_id: r.score for r in lmscore.score(docs(spark, rows), labels).collect()}
+    assert min(found[i] for i in range(20)) > 0 > max(found[i] for i in range(20, 60))
+
+
+def test_models_are_distributions(spark, tables):
+    d = tables["documents"]
+    m = lmscore.learn(d, d.limit(40))
+    every = np.delete(m.words, lmscore.START, axis=1)
+    assert every.sum(axis=1) == pytest.approx([1, 1])
+    context = int(m.pairs[len(m.pairs) // 2] >> 32)
+    ids = np.array([w for w in range(m.words.shape[1]) if w != lmscore.START])
+    total = sum(np.exp(-m.losses(np.array([context, w])))[:, 0] for w in ids[:3000])
+    if len(ids) <= 3000:
+        assert total == pytest.approx([1, 1])
+
+
+# ---------------------------------------------------------------- 3
+
+def test_language_on_held_out_documents(spark, tables):
+    rows = langid.identify(tables["documents"]).join(tables["documents"].select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert len(rows) > 20 and sum(r.lang == r.lang_pred for r in rows) >= 0.95 * len(rows) and all(0 <= r.score <= 1 for r in rows)
+
+
+def test_language_of_odd_texts(spark, tables):
+    rows = langid.identify(tables["documents"].unionByName(docs(spark, [(-i, t, None, None) for i, t, _, _ in ODD if i]))).where("doc_id < 0").collect()
+    found = {-r.doc_id: (r.lang_pred, r.score) for r in rows}
+    assert found[1] == found[2] == found[7] == ("und", 0.0) and found[4][0] == "en" and found[10][0] != "und"
+    odd = docs(spark, [(-i if i else None, *r) for i, *r in ODD], extra=True)
+    kept = langid.identified(tables["documents"].unionByName(odd, allowMissingColumns=True))
+    assert set(kept.columns) == set(odd.columns) and {r.doc_id for r in kept.collect()} == {r.doc_id for r in tables["documents"].collect()} | {-4, -5, -6, -8, -9, -10, None}
+
+
+def test_filter_returns_all_languages_of_each_gram():
+    r = np.random.default_rng(2)
+    keys = [r.integers(-(2**62), 2**62, 500) for _ in range(70)]
+    f = langid.LanguageFilter.build([f"l{i:02}" for i in range(70)], keys, 0)
+    for i, own in enumerate(keys):
+        assert ((f.masks(own)[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).all()
+    other = f.masks(r.integers(-(2**62), 2**62, 20_000))
+    assert (other[:, 0] & np.uint64(1)).mean() == pytest.approx(f.false_rate[0], abs=0.01)
+
+
+def test_a_cut_text_counts_like_a_whole_one(monkeypatch):
+    fold = langid._fold()
+    text = "the quiet river ran past " * 400
+    whole = sorted(np.concatenate([k for k, _ in langid.grams([text], fold)]).tolist())
+    monkeypatch.setattr(langid, "CHUNK", 997)
+    cut = [t for part in langid._chunks([text]) for _, t in part]
+    assert len(cut) > 5 and abs(sum(len(k) for t in cut for k, _ in langid.grams([t], fold)) - len(whole)) < 6 * len(cut)
+
+
+# ---------------------------------------------------------------- 4
+
+def test_media_round_trip(spark, texts):
+    rows = {r.doc_id: r for r in queries.op4_media_columns(spark, SF).collect()}
+    for i, t in texts.items():
+        raw = (t or "").encode()
+        whole = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+        r = rows[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(whole), hashlib.sha256(whole).hexdigest())
+        assert r.tail_crc32 == zlib.crc32(whole[-32:]) and r.frames == len(whole) // 576 and r.duration_s == pytest.approx(r.frames * 0.024)
+        assert r.media_sha256 == hashlib.sha256(mpegaudio.store(whole)).hexdigest()
+
+
+def test_parser_resynchronises_and_checks():
+    payload = bytes(range(256)) * 9
+    data = mpegaudio.store(payload)
+    clean = mpegaudio.parse(data)
+    assert (len(clean.offsets), clean.crc_wrong, clean.resyncs, clean.skipped) == (4, 0, 0, 0)
+    assert clean.table["frames"] == 4 and clean.table["kind"] == "Info" and clean.tags["TLEN"] == str(int(clean.seconds * 1000))
+    at = int(clean.offsets[2])
+    torn = mpegaudio.parse(data[:at] + b"\xff\xfbjunk\xff" * 5 + data[at:])
+    assert len(torn.offsets) == 4 and torn.resyncs == 1 and torn.skipped == 35
+    assert mpegaudio.restore(data[:at] + b"\xff\xfbjunk\xff" * 5 + data[at:]) == payload
+    hurt = bytearray(data)
+    hurt[at + 8] ^= 1
+    assert mpegaudio.parse(bytes(hurt)).crc_wrong == 1
+    tagged = mpegaudio.parse(data + b"TAG" + b"Song".ljust(30, b"\0") + bytes(95))
+    assert tagged.tags["v1:title"] == "Song" and len(tagged.offsets) == 4
+    assert len(mpegaudio.parse(b"").offsets) == 0 == len(mpegaudio.parse(b"\xff" * 5000).offsets)
+
+
+def test_headers_of_all_layers():
+    h = mpegaudio.header_at(bytes([0xFF, 0xFB, 0x90, 0x64]), 0)
+    assert (h.layer, h.bitrate, h.rate, h.samples, h.length) == (3, 128, 44100, 1152, 417)
+    h = mpegaudio.header_at(bytes([0xFF, 0xFF, 0x92, 0x00]), 0)
+    assert (h.layer, h.bitrate, h.samples, h.length) == (1, 288, 384, (12000 * 288 // 44100 + 1) * 4)
+    h = mpegaudio.header_at(bytes([0xFF, 0xF3, 0x80, 0xC0]), 0)
+    assert (h.version, h.layer, h.bitrate, h.rate, h.samples, h.side) == (2, 3, 64, 22050, 576, 9)
+    assert mpegaudio.header_at(b"\xff\xe8\x90\x00", 0) is None
+
+
+# ---------------------------------------------------------------- 5
+
+def test_mix_equals_sql(spark, duck, rows_of):
+    assert rows_of(queries.op5_source_mix(spark, SF)) == duck(mixing.SQL)
+
+
+def test_mix_reaches_targets(spark):
+    rows = [(i, "w " * (1 + i % 50), "en", None if i % 3 == 0 else ("hot" if i % 3 == 1 else f"s{i % 7}")) for i in range(3000)]
+    got = mixing.mix(docs(spark, rows)).collect()
+    by = collections.defaultdict(lambda: [0, 0, 0.0])
+    for r in got:
+        by[r.source][0] += r.size
+        by[r.source][1] += r.taken
+        by[r.source][2] = r.target
+        assert r.taken <= 3 * r.size and r.source_size > 0
+    total = sum(v[0] for v in by.values())
+    assert sum(v[2] for v in by.values()) == pytest.approx(total)
+    order = sorted(by, key=lambda s: (s is None, s))
+    for i, s in enumerate(order):
+        assert by[s][2] <= 3 * by[s][0] + 1e-6 and abs(by[s][1] - by[s][2]) <= 0.03 * by[s][2] + 50
+    open_ones = [by[s][2] / (1 + i % 3) for i, s in enumerate(order) if by[s][2] < 3 * by[s][0] - 1e-6]
+    assert max(open_ones) == pytest.approx(min(open_ones))
+    out = mixing.mixed(docs(spark, rows, extra=True))
+    assert out.columns == docs(spark, rows, extra=True).columns
+    assert collections.Counter(r.doc_id for r in out.collect()) == {r.doc_id: r.copies for r in got if r.copies}
+
+
+# ---------------------------------------------------------------- 6
+
+def test_passages_are_found_and_clean_documents_left(spark):
+    r = np.random.default_rng(3)
+    word = lambda: "".join(r.choice(list("abcdefghij"), 6))
+    fresh = lambda n: [word() for _ in range(n)]
+    passage, other = fresh(60), fresh(300)
+    fuzzy = passage[:30] + ["edited"] + passage[31:]
+    rows = {1: fresh(80) + passage + fresh(40), 2: fresh(10) + [w.upper() for w in fuzzy] + fresh(200), 3: passage, 4: fresh(400), 5: other, 6: fresh(5) + other[:150] + fresh(3) + other[153:], 7: fresh(50) + passage[:20] + fresh(50)}
+    found = {(x.doc_id, x.partner_id): x for x in chaining.repeated_passages(docs(spark, [(i, " ".join(w), "en", "a") for i, w in rows.items()])).collect()}
+    assert set(found) == {(2, 1), (3, 1), (6, 5)}
+    x = found[2, 1]
+    assert (x.start_word, x.end_word, x.partner_start, x.partner_end, x.matched) == (10, 70, 80, 140, 59)
+    assert (found[3, 1].start_word, found[3, 1].end_word, found[3, 1].similarity) == (0, 60, 1.0)
+    assert found[6, 5].end_word - found[6, 5].start_word == 300 and found[6, 5].matched == 297
+
+
+def test_many_documents_share_a_passage(spark):
+    shared = " ".join(f"p{i}" for i in range(70))
+    rows = [(i, f"{' '.join(f'd{i}x{j}' for j in range(i % 40))} {shared} end{i}", "en", "a") for i in range(300)]
+    found = chaining.repeated_passages(docs(spark, rows)).collect()
+    assert {x.doc_id for x in found} == set(range(1, 300)) and {x.partner_id for x in found} == {0} and len(found) == 299
+
+
+def test_chains_equal_brute_force():
+    r = np.random.default_rng(4)
+    for _ in range(200):
+        n = int(r.integers(1, 9))
+        points = sorted({(int(a), int(b)) for a, b in r.integers(0, 30, (n, 2))})
+        xs, ys = [p[0] for p in points], [p[1] for p in points]
+        best = [chaining.GAIN] * len(points)
+        for j in range(len(points)):
+            for i in range(j):
+                if xs[i] < xs[j] and ys[i] < ys[j]:
+                    best[j] = max(best[j], chaining.GAIN + best[i] - chaining.GAP_COST * (xs[j] - xs[i] + ys[j] - ys[i]))
+        found = chaining.chains(xs, ys)
+        score = lambda c: chaining.GAIN * len(c[0]) - chaining.GAP_COST * (c[0][-1] - c[0][0] + c[1][-1] - c[1][0])
+        whole = [c for c in found if score(c) == pytest.approx(max(best))]
+        assert sum(len(c[0]) for c in found) == len(points) and (whole or max(b - a for a, b in zip(sorted(xs), sorted(xs)[1:])) > 0)
+
+
+# ---------------------------------------------------------------- 7
+
+def test_pages_equal_their_articles(spark, tables):
+    import html
+
+    def article(page):
+        inner = re.search(r"<article>(.*)</article>", page, re.S)[1]
+        return " ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"</?(?:p|h1|br)\b[^>]*>", "\n", inner))).split())
+
+    pages = {r.page_id: r.html for r in tables["pages"].collect()}
+    for r in queries.op7_html_text(spark, SF).collect():
+        assert r.text == article(pages[r.page_id]) and r.n_chars == len(r.text)
+
+
+def test_article_without_its_surroundings():
+    page = (
+        "<html><head><title>t</title><style>p{}</style></head><body><header class='top'><a href='/'>Home</a> All about things here</header>"
+        "<div class=\"cookie-notice\">We use cookies on this site, accept all of them please.</div><div id=wrap><div class='sidebar'><p>Popular posts and other long text that is not the article.</p></div>"
+        "<div class='post-content'><h1>Title &amp; more</h1><p>One <i>two</i>three &eacute;&#233;.<div class='ad'>Buy now!</div><p>Six\n seven eight nine ten.<ul><li>item one is here<li>item two is there</ul></div>"
+        "<form><label>Name</label><textarea>x</textarea></form><section class='comments'><p>I love it so much that I write a long comment about it all here.</p></section></div><footer>foot</footer><script>var a='<p>no</p>'</script></body></html>"
+    )
+    assert htmltext.main_text(page) == "Title & more One twothree éé. Six seven eight nine ten. item one is here item two is there"
+
+
+def test_best_region_equals_brute_force():
+    r = np.random.default_rng(5)
+    for _ in range(200):
+        s = r.integers(-5, 6, int(r.integers(0, 12))).tolist()
+        best = max([0, *(sum(s[i:j]) for i in range(len(s)) for j in range(i + 1, len(s) + 1))])
+        i, j = htmltext.best_region(s)
+        assert sum(s[i:j]) == best
+
+
+# ---------------------------------------------------------------- 8
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+
+
+def _base(text):
+    digits = lambda s: re.sub(r"\D", "", s)
+
+    def luhn(d):
+        return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+    out = [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if max(map(int, m[0].split("."))) <= 255]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 14 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 10 <= len(digits(m[0])) <= 15]
+    return sorted(out)
+
+
+def test_base_spans_equal_the_patterns(texts):
+    r = np.random.default_rng(6)
+    made = ["".join(r.choice(list("ab.-@+01259 ()%"), int(r.integers(0, 80)))) for _ in range(3000)]
+    for t in [*texts.values(), *made, "a@b.c@d.e", "@@a.b", "x@y..z", "1.2.3.4.5.6.7.8", "4111 1111-1111 1111", "+1 (499) 555-6503.", "256.1.1.1"]:
+        assert pii.base_spans(t or "") == _base(t or "")
+
+
+def test_field_finds_held_out_sentences():
+    right = wrong = missed = 0
+    for text, spans in pii.sentences(200, seed=123):
+        found = set(pii.added_spans(text, pii.weights(), []))
+        right, wrong, missed = right + len(found & set(spans)), wrong + len(found - set(spans)), missed + len(set(spans) - found)
+    assert right > 3 * missed and right > 10 * wrong
+
+
+def test_spans_are_listed(spark):
+    text = "😀 mail a.b@c.de or call (499) 555-6503 now"
+    r = pii.find(docs(spark, [(1, text, None, None)])).first()
+    assert r.n_email == 1 and r.spans.split(",")[0] == "email:7:15" and r.spans.split(",")[1] == "phone:24:38"
+    assert r.base_sha256 == hashlib.sha256(b"email:7:15").hexdigest()
+
+
+# ---------------------------------------------------------------- 9
+
+def test_pieces_hold_each_id_once(spark, texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.tokenizer_path())
+    pieces = collections.defaultdict(list)
+    rows = queries.op9_packing(spark, SF).collect()
+    for r in rows:
+        pieces[r.doc_id].append(r)
+    for i, text in texts.items():
+        ids, at = [*t.encode(text or "", add_special_tokens=False).ids, 1], 0
+        for r in sorted(pieces[i], key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes())
+            at += r.length
+        assert at == len(ids)
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.sequence_id].append(r)
+    for s in by.values():
+        at = 0
+        for r in sorted(s, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 2048
+    used = sum(r.length for r in rows)
+    assert len(by) * 2048 < 1.03 * used + 2048
+
+
+def test_word_ids_equal_the_tokenizer():
+    w = packing.WordIds(packing.tokenizer_path())
+    rows = ["it's I'LL x's ''s !'s don't", "café ²3 ªº½", "a\x0bb\xa0c d", "İstanbul ΣΑΣ", "<|endoftext|> hi <|", "ǅ ŉ ſ", "日本語 text 12345", "é", "a" * 500, "", "  "]
+    assert [x.tolist() for x in w(rows)] == [w.tokenizer.encode(t, add_special_tokens=False).ids for t in rows]
+
+
+def test_first_fit_equals_the_plain_search():
+    r = np.random.default_rng(7)
+    for _ in range(50):
+        lengths = sorted(r.integers(1, 100, int(r.integers(0, 60))).tolist(), reverse=True)
+        bins, want = [], []
+        for n in lengths:
+            i = next((i for i, used in enumerate(bins) if used + n <= 100), len(bins))
+            bins += [0] * (i == len(bins))
+            want.append((i, bins[i]))
+            bins[i] += n
+        assert packing.first_fit(lengths, 100) == want
+
+
+# ---------------------------------------------------------------- 10
+
+def _print(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    if not words:
+        return 0
+    h = [xxhash.xxh64_intdigest(" ".join(words[i : i + 3]).encode(), 42) for i in range(max(1, len(words) - 2))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def _components(prints):
+    root = {i: i for i in prints}
+    ids = sorted(prints)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            if (prints[i] ^ prints[j]).bit_count() <= 3:
+                a, b = (next(x for x in iter_up(root, y)) for y in (i, j))
+                root[max(a, b)] = min(a, b)
+    return {i: next(iter_up(root, i)) for i in ids}
+
+
+def iter_up(root, i):
+    while root[i] != i:
+        i = root[i]
+    yield i
+
+
+def test_simhash_equals_brute_force(spark, texts):
+    prints = {i: _print(t or "") for i, t in texts.items()}
+    want = _components(prints)
+    for r in queries.op10_simhash(spark, SF).collect():
+        assert (int(r.fingerprint, 16), r.component_id) == (prints[r.doc_id], want[r.doc_id])
+
+
+def test_balls_meet_at_every_distance_up_to_three():
+    r = np.random.default_rng(8)
+    for _ in range(300):
+        a = int(r.integers(0, 2**64, dtype=np.uint64))
+        for distance in range(4):
+            b = a
+            for bit in r.choice(64, distance, replace=False):
+                b ^= 1 << int(bit)
+            keys, own = simhash.variants(np.array([a, b], np.uint64))
+            assert len(keys) == 262 and set(keys[own == 0].tolist()) & set(keys[own == 1].tolist())
+
+
+def test_components_of_long_paths(spark):
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (5, 5)]
+    found = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {n: r for n, r in found.items() if n != r} == {**{i: 0 for i in range(1, 61)}, 101: 100}
+
+
+def test_near_copies_leave_one(spark):
+    base = " ".join(f"w{i}" for i in range(400))
+    rows = [(5, base, "en", "a"), (3, base + " end", "en", "a"), (9, base.replace("w200", "x"), "en", "a"), (1, " ".join(f"v{i}" for i in range(300)), "en", "b"), (None, base, "en", "a")]
+    kept = {r.doc_id for r in simhash.one_of_each(docs(spark, rows, extra=True)).collect()}
+    assert kept == {3, 1, None}
+
+
+# ---------------------------------------------------------------- pipeline
+
+def test_pipeline(spark, tables):
+    import corpus_pipeline
+
+    current = tables["documents"]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        current = stage(spark, current, SF)
+        assert current.columns == tables["documents"].columns, name
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs(spark, []), SF).count()
+        stage(spark, docs(spark, ODD), SF).count()

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vertexloom.functions.scores import FEATURES, checked_weights, cosine, dot, norm, profile_similarity, quantised, rank_key
+from vertexloom.functions.scores import EPSILON, FEATURES, checked_weights, quantised, rank_key
 from vertexloom.tables import written
 
 
@@ -19,33 +21,86 @@ def top(scored: DataFrame, k: int, key: str = "source") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k).select(key, "rank", "target", "similarity")
 
 
-def _sides(source: DataFrame, target: DataFrame, terms) -> tuple[DataFrame, DataFrame]:
-    out = []
-    for rows, name, p in ((source, "source", "a_"), (target, "target", "b_")):
-        extra = [F.col("profile").alias(f"{p}profile")] if "profile" in rows.columns else []
-        wide = rows.select(F.col("v").alias(name), *[F.col(f).alias(f"{p}{f}") for f in FEATURES], *extra)
-        out.append(wide.withColumn(f"{p}norm", norm(p, terms)))
-    return out[0], out[1]
+#: Sources and targets that one task scores against each other, and sources at a time.
+SOURCE_BLOCK, TARGET_BLOCK, SOURCE_STEP = 2048, 32_768, 128
+
+
+def _rounded(x: np.ndarray) -> np.ndarray:
+    return np.round(x, 9)
+
+
+def _block_top(a: pd.DataFrame, b: pd.DataFrame, k: int, terms: list[tuple[str, float]], profile_weight: float) -> pd.DataFrame:
+    """The k best of the block's targets for each of its sources, by (similarity descending, target)."""
+    names, w = [f for f, _ in terms], np.array([w for _, w in terms])
+    b = b.sort_values("target")
+    x, y, targets = a[names].to_numpy(float), b[names].to_numpy(float), b["target"].to_numpy()
+    if not (np.isfinite(x).all() and np.isfinite(y).all()):
+        raise ValueError("a feature isn't finite")
+    nx, ny = np.sqrt((x * x * w).sum(axis=1)), np.sqrt((y * y * w).sum(axis=1))
+    px, py = (np.stack(t["profile"].to_numpy()) for t in (a, b)) if profile_weight else (None, None)
+    sources, out = a["source"].to_numpy(), []
+    for at in range(0, len(x), SOURCE_STEP):
+        part = slice(at, at + SOURCE_STEP)
+        size = nx[part, None] * ny[None, :]
+        value = (x[part] * w) @ y.T
+        np.divide(value, size, out=value, where=size >= EPSILON)
+        value[size < EPSILON] = 0.0
+        np.clip(value, -1.0, 1.0, out=value)
+        if profile_weight:
+            apart = sum(np.abs(px[part, i, None] - py[None, :, i]) for i in range(px.shape[1]))
+            value += profile_weight * np.maximum(0.0, 1 - apart / px.shape[1])
+        key = _rounded(value)
+        if len(targets) > k:
+            least = np.partition(key, len(targets) - k, axis=1)[:, len(targets) - k]
+            rows, columns = np.nonzero(key >= least[:, None])
+        else:
+            rows, columns = np.indices(key.shape).reshape(2, -1)
+        order = np.lexsort((columns, -key[rows, columns], rows))
+        rows, columns = rows[order], columns[order]
+        rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        rows, columns = rows[rank < k], columns[rank < k]
+        out.append(pd.DataFrame({"source": sources[part][rows], "target": targets[columns], "similarity": value[rows, columns]}))
+    return pd.concat(out) if out else pd.DataFrame({"source": [], "target": [], "similarity": []})
+
+
+def _blocked(a: DataFrame, b: DataFrame, k: int, terms, profile_weight: float = 0.0) -> DataFrame:
+    """The k best for rows a (bucket, source, features) among rows b (bucket, target, features) of the same bucket.
+
+    A bucket's sources and targets are dealt into blocks of bounded size; each task scores a block of
+    one against a block of the other as one matrix product and keeps k a source, and the blocks' best
+    meet in top(). So no task grows with a bucket, and pairs are never rows.
+    """
+    counts = [rows.groupBy("bucket").agg(F.ceil(F.count("*") / size).alias(name)) for rows, size, name in ((a, SOURCE_BLOCK, "sn"), (b, TARGET_BLOCK, "tn"))]
+    blocks = counts[0].join(counts[1], "bucket")
+    deal = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
+    a = a.join(blocks, "bucket").withColumn("sb", deal("source", "sn")).withColumn("tb", every("tn")).drop("sn", "tn")
+    b = b.join(blocks, "bucket").withColumn("tb", deal("target", "tn")).withColumn("sb", every("sn")).drop("sn", "tn")
+
+    def score(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        return _block_top(one, two, k, terms, profile_weight) if len(one) and len(two) else pd.DataFrame({"source": [], "target": [], "similarity": []})
+
+    keys = ("bucket", "sb", "tb")
+    found = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(score, "source long, target long, similarity double")
+    return top(found, k)
 
 
-def _scored(pairs: DataFrame, terms, profile_weight: float = 0.0, bins: int = 16) -> DataFrame:
-    value = cosine(dot("a_", "b_", terms), F.col("a_norm"), F.col("b_norm"))
-    if profile_weight:
-        value = value + profile_weight * profile_similarity(F.col("a_profile"), F.col("b_profile"), bins)
-    return pairs.select("source", "target", value.alias("similarity"))
+def _wide(rows: DataFrame, name: str, *more: str) -> DataFrame:
+    extra = ["profile"] if "profile" in rows.columns else []
+    return rows.select(*more, F.col("v").alias(name), *FEATURES, *extra)
 
 
 def exhaustive(source: DataFrame, target: DataFrame, k: int, mask=FEATURES, weights=None, profile_weight: float = 0.0, bins: int = 16) -> DataFrame:
     """The k best targets of every source by cosine of features (v, ...), plus profile_weight times profile similarity.
 
-    Every source is scored against all targets, block by block, and never stored; this is the exact
-    reference for small graphs. indexed() scores a bucket neighbourhood only.
+    Every source is scored against all targets, block by block: the exact reference. indexed()
+    scores a bucket neighbourhood only.
     """
     terms = checked_weights(mask, weights)
     if not 1 <= k <= target.count():
         raise ValueError("k must be between 1 and the number of targets")
-    a, b = _sides(source, target, terms)
-    return top(_scored(a.crossJoin(b), terms, profile_weight, bins), k)
+    one = F.lit(0).cast("long").alias("bucket")
+    return _blocked(_wide(source, "source", one), _wide(target, "target", one), k, terms, profile_weight)
 
 
 def select_top(pools: DataFrame, k: int) -> DataFrame:
@@ -118,12 +173,23 @@ def retrieved(plans: DataFrame, target_raw: DataFrame, config: IndexConfig) -> D
 
 
 def indexed(source: DataFrame, target: DataFrame, source_raw: DataFrame, target_raw: DataFrame, k: int, config: IndexConfig = IndexConfig(), mask=FEATURES, weights=None) -> DataFrame:
-    """The k best targets of every source among those that the index retrieves: buckets of raw features, scores of normalised ones."""
+    """The k best targets of every source among those that the index retrieves: buckets of raw features, scores of normalised ones.
+
+    Sources of one bucket share a plan, so targets go to each asking bucket within its radius once,
+    however many sources it has; buckets that fall back get all targets.
+    """
     terms = checked_weights(mask, weights)
-    a, b = _sides(source, target, terms)
     plans = written(plan(source_raw, target_raw, k, config), "plans")
-    pairs = retrieved(plans, target_raw, config).join(a, "source").join(b, "target")
-    return top(_scored(pairs, terms), k)
+    bucket = F.xxhash64("degree_bin", "neighbor_bin").alias("bucket")
+    asking = plans.select("degree_bin", "neighbor_bin", "radius", "fallback", bucket).distinct()
+    near = asking.where("not fallback").select("bucket", F.explode(F.sequence(F.col("degree_bin") - F.col("radius"), F.col("degree_bin") + F.col("radius"))).alias("degree_bin"), "neighbor_bin", "radius")
+    near = near.select("bucket", "degree_bin", F.explode(F.sequence(F.col("neighbor_bin") - F.col("radius"), F.col("neighbor_bin") + F.col("radius"))).alias("neighbor_bin"))
+    wide = _wide(target, "target")
+    pooled = bucketed(target_raw, config).join(near, ["degree_bin", "neighbor_bin"]).select("bucket", F.col("v").alias("target")).join(wide, "target")
+    rest = asking.where("fallback").select("bucket").join(wide)  # stated: all targets, once for each bucket that falls back
+    columns = ["bucket", "target", *FEATURES]
+    a = _wide(source, "source").join(plans.select("source", bucket), "source")
+    return _blocked(a.select("bucket", "source", *FEATURES), pooled.select(*columns).unionByName(rest.select(*columns)), k, terms)
 
 
 def index_report(plans: DataFrame, counts: DataFrame) -> DataFrame:

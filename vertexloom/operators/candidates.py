@@ -87,7 +87,7 @@ def _blocked(a: DataFrame, b: DataFrame, k: int, terms, profile_weight: float =
 
 def _wide(rows: DataFrame, name: str, *more: str) -> DataFrame:
     extra = ["profile"] if "profile" in rows.columns else []
-    return rows.select(*more, F.col("v").alias(name), *FEATURES, *extra)
+    return rows.select(*more, F.col("v").alias(name), *[F.col(c).alias(c) for c in (*FEATURES, *extra)])  # new columns: both sides may be one table
 
 
 def exhaustive(source: DataFrame, target: DataFrame, k: int, mask=FEATURES, weights=None, profile_weight: float = 0.0, bins: int = 16) -> DataFrame:

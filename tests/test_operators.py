@@ -194,6 +194,11 @@ def test_core_numbers_and_generators(spark):
     assert {x.v: x.core for x in features.core_numbers(g).collect()} == core
     assert graphs.random_edges(spark, 10, 20, 1).edges.distinct().count() == 20
     assert graphs.grid(spark, 3, 4).edges.count() == 17
+    assert graphs.preferential(spark, 20, 3).edges.distinct().count() == 17 * 3 and graphs.small_world(spark, 20, 4, 0.3).edges.distinct().count() == 40
+    assert graphs.block_model(spark, [5, 6], 1.0, 0.0).edges.count() == 10 + 15
+    assert graphs.within_reach(graphs.grid(spark, 3, 4), 0, 3).edges.count() == 2
+    biggest, mapping = files.largest_component(graphs.block_model(spark, [5, 6], 1.0, 0.0))
+    assert biggest.vertices.count() == 6 and biggest.edges.count() == 15 and mapping.count() == 6
     k = graphs.rmat(spark, 5, 4)
     assert k.edges.where("u >= v or v >= 32").count() == 0 and k.edges.count() > 50
     copy, truth = graphs.paired(g, 0.1, 7)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -181,6 +182,55 @@ def rmat(spark: SparkSession, scale: int, edge_factor: int = 16, seed: int = 1,
     return Graph(spark.range(1 << scale).withColumnRenamed("id", "v"), clean_edges(pairs))
 
 
+def block_model(spark: SparkSession, sizes: list[int], within: float, between: float, seed: int = 1) -> Graph:
+    """Vertices in blocks; an edge with one chance inside a block and another across. All pairs are drawn, so for small graphs."""
+    n, cuts = sum(sizes), []
+    for s in sizes:
+        cuts.append((cuts[-1] if cuts else 0) + s)
+    block = lambda c: sum((F.col(c) >= cut).cast("int") for cut in cuts)
+    pairs = spark.range(n * n).select(F.floor(F.col("id") / n).alias("u"), (F.col("id") % n).alias("v")).where("u < v")
+    chance = F.when(block("u") == block("v"), within).otherwise(between)
+    return Graph(spark.range(n).withColumnRenamed("id", "v"), pairs.where(_unit(F.lit(seed), "u", "v") < chance))
+
+
+def preferential(spark: SparkSession, n: int, m: int, seed: int = 1) -> Graph:
+    """Each new vertex joins m others, chosen by degree. Sequential by nature: made in the driver."""
+    r, ends, edges = random.Random(seed), list(range(m)), set()
+    for v in range(m, n):
+        chosen: set[int] = set()
+        while len(chosen) < min(m, v):
+            chosen.add(r.choice(ends))
+        edges |= {(u, v) for u in chosen}
+        ends += [*chosen, *[v] * len(chosen)]
+    return Graph(spark.range(n).withColumnRenamed("id", "v"), spark.createDataFrame(sorted(edges), "u long, v long"))
+
+
+def small_world(spark: SparkSession, n: int, k: int, chance: float, seed: int = 1) -> Graph:
+    """A ring where each vertex joins its k nearest; each edge's far end moves with a chance. Made in the driver."""
+    r, edges = random.Random(seed), {(min(v, (v + d) % n), max(v, (v + d) % n)) for v in range(n) for d in range(1, k // 2 + 1)}
+    for u, v in sorted(edges):
+        if r.random() < chance:
+            w = r.randrange(n)
+            if w != u and (min(u, w), max(u, w)) not in edges:
+                edges.remove((u, v))
+                edges.add((min(u, w), max(u, w)))
+    return Graph(spark.range(n).withColumnRenamed("id", "v"), spark.createDataFrame(sorted(edges), "u long, v long"))
+
+
+def within_reach(graph: Graph, start: int, most: int) -> Graph:
+    """The graph on the first vertices that a breadth-first search from start meets, whole layers until there are most of them."""
+    seen = written(graph.vertices.where(F.col("v") == start), "seen")
+    arcs, size = written(graph.adjacency, "arcs"), 1
+    while size < most:
+        fresh = arcs.join(seen.withColumnRenamed("v", "u"), "u", "left_semi").select("v").distinct().join(seen, "v", "left_anti")
+        grown = written(seen.unionByName(fresh), "seen")
+        if (now := grown.count()) == size:
+            break
+        seen, size = grown, now
+    inner = graph.edges.join(seen.withColumnRenamed("v", "u"), "u", "left_semi").join(seen, "v", "left_semi").select("u", "v")
+    return Graph(seen, inner)
+
+
 def grid(spark: SparkSession, rows: int, columns: int) -> Graph:
     ids = spark.range(rows * columns).withColumnRenamed("id", "u")
     right = ids.where(F.col("u") % columns < columns - 1).select("u", (F.col("u") + 1).alias("v"))

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vertexloom.operators.assign import connected
 from vertexloom.operators.graph import Graph, build, clean_edges, relabelled
 
 CANDIDATES = "source long, rank int, target long, similarity double"
@@ -54,6 +55,14 @@ def read_edge_list(spark: SparkSession, path: str) -> tuple[Graph, DataFrame]:
     return relabelled(clean_edges(rows))
 
 
+def largest_component(graph: Graph) -> tuple[Graph, DataFrame]:
+    """The graph on its largest connected component (of equals the one with the smallest vertex), relabelled from 0; and mapping (original, v)."""
+    parts = connected(graph.edges.select(F.col("u").alias("a"), F.col("v").alias("b")))
+    best = parts.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "component").first()
+    inside = parts.where(F.col("component") == (best.component if best else -1)).select(F.col("node").alias("u"))
+    return relabelled(graph.edges.join(inside, "u", "left_semi"))
+
+
 def convert(spark: SparkSession, edge_list: str, path: str) -> None:
     write_graph(read_edge_list(spark, edge_list)[0], path)
 

@@ -399,6 +399,14 @@ def _z_sql(rows: str, sets: list[str], out: str) -> str:
 {out} as (select v, {z} from {rows}, {out}_m, {out}_s)"""
 
 
+def _profile_sql(p: str) -> str:
+    return f"""
+{p}_lists as (select a.u as v, list(d order by d) as ds from {p}_adj a join {p}_deg g on a.v = g.v group by 1),
+{p}_prof as (
+  select vertices.v, list(coalesce(ds[round(b * (len(ds) - 1) / 7.0::double)::int + 1] / (select max(d) from {p}_deg)::double, 0.0) order by b) as profile
+  from vertices left join {p}_lists l on vertices.v = l.v, range(8) x(b) group by 1)"""
+
+
 _BASE = f"with recursive {_G},{_features_sql('e', 'fa')},{_features_sql('f', 'fb')}"
 _Z = f"{_BASE},{_z_sql('fa', ['fa', 'fb'], 'za')},{_z_sql('fb', ['fa', 'fb'], 'zb')}"
 
@@ -490,6 +498,9 @@ def oracle_sql() -> dict[str, str]:
         "mapping_report": f"{_TOP} select count(*) as vertices, count(*) as matched, count(similarity) as on_support, 1.0::double as accuracy, case when count(*) = count(similarity) then round(sum((1 - similarity)::decimal(28,9))::double, 6) end as cost from truth left join top using (source, target)",
         "one_to_one": f"{_Z},{_top_sql(1)} select count(*) = count(distinct target) as one_to_one from top",
         "preservation": f"with {_G}, k as (select count(*) as kept from (select least(a.target, b.target) as u, greatest(a.target, b.target) as v from e join truth a on e.u = a.source join truth b on e.v = b.source) semi join f using (u, v)), c as (select (select count(*) from e) as edges_a, (select count(*) from f) as edges_b) select edges_a, edges_b, kept, round(kept / edges_a::double, 6) as forward, round(kept / edges_b::double, 6) as backward, 2 * (edges_a + edges_b - 2 * kept) as qap_cost from k, c",
+        "rankings": f"{_TOP},{_top_sql(K, 'wtop', dict.fromkeys(FEATURES, 1.0) | {'degree': 2.0})}, x as (select coalesce(a.source, b.source) as source, count(a.rank) as n1, count(b.rank) as n2, count_if(a.rank is not null and b.rank is not null) as c, count_if(a.rank = b.rank) as s, max(abs(a.similarity - b.similarity)) as d from top a full join wtop b on a.source = b.source and a.target = b.target group by 1) select sum(n1)::bigint as pairs_one, sum(n2)::bigint as pairs_two, sum(c)::bigint as common, sum(s)::bigint as same_rank, round(coalesce(max(d), 0), 9) as most_apart, count_if(n1 = c and n2 = c) as same_sets from x",
+        "boundary_ties": f"{_TOP},{_top_sql(K + 1, 'nxt')} select count(*) as sources, count_if(round(a.similarity, 9) = round(b.similarity, 9)) as tied from top a left join nxt b on a.source = b.source and b.rank = {K} where a.rank = {K - 1}",
+        "topk_profiles": f"{_Z},{_profile_sql('fa')},{_profile_sql('fb')},{_top_sql(1, 'plain')}, s as (select source, target, similarity + 0.25 * greatest(0.0, 1 - list_sum(list_transform(list_zip(p.profile, q.profile), lambda x: abs(x[1] - x[2]))) / 8) as similarity from plain_s join fa_prof p on p.v = source join fb_prof q on q.v = target) select source, rank, target, {_r(['similarity'])} from (select *, row_number() over (partition by source order by round(similarity, 9) desc, target) - 1 as rank from s) where rank < 3",
         "value_summary": "select event_type, count(value) as trials, round(sum(value::decimal(28,9))::double / count(value), 6) as mean, round(stddev_samp(value), 4) as deviation, min(value) as least, max(value) as most, round(quantile_cont(value, 0.5), 6) as median, round(quantile_cont(value, 0.95), 6) as p95, round(quantile_cont(value, 0.99), 6) as p99 from events group by 1",
     }
 

@@ -243,6 +243,25 @@ def test_many_documents_share_a_passage(spark):
     assert {x.doc_id for x in found} == set(range(1, 300)) and {x.partner_id for x in found} == {0} and len(found) == 299
 
 
+def test_a_passage_whose_parts_stand_in_smaller_documents_is_found_whole(spark):
+    lines = [[f"line{k}word{j}" for j in range(25)] for k in range(3)]
+    own = lambda i: [f"own{i}x{j}" for j in range(40)]
+    rows = {k + 1: own(k + 1) + lines[k] + own(k + 11) for k in range(3)} | {i: own(i) + lines[0] + lines[1] + lines[2] for i in (7, 8, 9)}
+    found = chaining.repeated_passages(docs(spark, [(i, " ".join(w), "en", "a") for i, w in rows.items()])).collect()
+    assert {(r.doc_id, r.partner_id, r.start_word, r.end_word, r.matched) for r in found} == {(8, 7, 40, 115, 75), (9, 7, 40, 115, 75)}
+
+
+def test_every_run_has_a_long_seed_whatever_stands_around_it():
+    r = np.random.default_rng(5)
+    k = chaining.long_k(chaining.MIN_WORDS)
+    for words in (2**63, 3, 1):  # distinct, repeating and equal words
+        run = r.integers(0, words, chaining.MIN_WORDS).astype(np.uint64)
+        alone = set(chaining.long_seeds(run, k)[0].tolist())
+        around = np.concatenate([r.integers(0, 2**63, 90).astype(np.uint64), run, r.integers(0, 2**63, 90).astype(np.uint64)])
+        keys, at = chaining.long_seeds(around, k)
+        assert alone and alone == set(keys[(at >= 90) & (at <= 90 + len(run) - k)].tolist())
+
+
 def test_chains_equal_brute_force():
     r = np.random.default_rng(4)
     for _ in range(200):

@@ -74,6 +74,15 @@ def test_exact_dedup_equals_sql(spark, duck, rows_of):
     assert rows_of(queries.op1_exact_dedup(spark, SF)) == duck(exact_dedup.SQL)
 
 
+def test_exact_dedup_where_a_doc_id_has_several_texts(spark):
+    rows = [(1, "same text", "en", "a"), (1, "another text", "en", "a"), (2, "same  text", "en", "b"), (2, "a third", "en", "b")]
+    held = F.col("source") == "a"
+    found = {(r.text_sha256, r.doc_id): (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(docs(spark, rows), held).collect()}
+    sha = hashlib.sha256(b"sametext").hexdigest()
+    assert found[sha, 1] == (2, 2, False) and found[sha, 2] == (2, 2, True)
+    assert sorted(n for _, n, _ in found.values()) == [1, 1, 2, 2]
+
+
 def test_exact_dedup_keeps_one_of_each(spark):
     rows = exact_dedup.exact_dedup(docs(spark, ODD)).collect()
     groups = collections.defaultdict(list)

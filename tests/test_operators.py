@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from vertexloom.operators import assign, baselines, candidates, costs, evaluate, features, soft, support
 from vertexloom.operators import graph as graphs
 from vertexloom.plans.matching import MatchConfig, match, prepare
-from vertexloom.sources import files
+from vertexloom.sources import files, named
 from vertexloom.streaming.arriving import match_arriving
 
 
@@ -226,6 +226,34 @@ def test_measures(spark, toy):
     assert evaluate.preservation(empty, path, back).first().forward == 1
 
 
+def test_signed_rank_equals_all_signs(spark):
+    r = random.Random(6)
+    rows = [("a", 1.0 + i, 1.0 + i + r.choice([-1, 1, 1]) * (i + 1) / 8) for i in range(9)]  # no ties
+    rows += [("b", 0.5, 0.5), ("b", 1.0, 0.5), ("b", 0.5, 1.0), ("b", 3.0, 1.0), ("b", None, 1.0), ("c", 1.0, 1.0)]
+    found = {x.k: x for x in evaluate.signed_rank(spark.createDataFrame(rows, "k string, x double, y double"), "k", "x", "y").collect()}
+    signs = [1 if x > y else -1 for k, x, y in rows if k == "a"]
+    plus = sum(i + 1 for i, s in enumerate(signs) if s > 0)
+    low = min(plus, 45 - plus)
+    sums = [sum(i + 1 for i, s in enumerate(way) if s) for way in itertools.product((0, 1), repeat=9)]
+    assert (found["a"].pairs, found["a"].w_plus, found["a"].statistic) == (9, plus, low)
+    assert found["a"].p == pytest.approx(min(1, 2 * sum(s <= low for s in sums) / len(sums)))
+    b = found["b"]
+    assert (b.pairs, b.zeros, b.w_plus, b.w_minus) == (3, 1, 4.5, 1.5)
+    z = (4.5 - 3) / math.sqrt((3 * 4 * 7 - (8 - 2) / 2) / 24)
+    assert b.z == pytest.approx(z, abs=1e-6) and b.p == pytest.approx(math.erfc(z / math.sqrt(2))) and b.mark == "ns"
+    assert (found["c"].pairs, found["c"].zeros, found["c"].p, found["c"].mark) == (0, 1, None, None)
+
+
+def test_named_graphs(spark):
+    for name, n, m, most, triangles in (("karate", 34, 78, 17, 45), ("florentine", 15, 20, 6, 3), ("davis", 32, 89, 14, 0)):
+        g = named.named_graph(spark, name)
+        assert g.vertices.count() == n and g.edges.where("u < v").distinct().count() == m
+        row = features.structural(g).agg(F.max("degree"), F.sum("triangles")).first()
+        assert tuple(row) == (most, 3 * triangles)
+    with pytest.raises(ValueError):
+        named.named_graph(spark, "none")
+
+
 def test_swaps_never_lose_edges():
     edges = [(0, 1), (1, 2), (2, 3), (3, 4)]
     start = {0: 1, 1: 0, 2: 2, 3: 4, 4: 3}

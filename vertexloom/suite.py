@@ -16,6 +16,7 @@ from vertexloom.functions.scores import FEATURES
 from vertexloom.operators import assign, baselines, candidates, costs, evaluate, features, soft, support
 from vertexloom.operators import graph as graphs
 from vertexloom.plans.matching import MatchConfig, match, prepare
+from vertexloom.sources.named import NAMES, named_pair
 from vertexloom.tables import written
 
 A, B = 77, 13
@@ -327,6 +328,22 @@ def value_summary(spark, folder):
     return evaluate.summary(_table(spark, folder, "events"), "event_type", "value")
 
 
+def significance(spark, folder):
+    """Whether discounts and taxes of the same lines differ, for each return flag."""
+    found = evaluate.signed_rank(_table(spark, folder, "lineitem"), "l_returnflag", "l_discount", "l_tax")
+    return found.select("l_returnflag", "pairs", "zeros", "w_plus", "w_minus", "statistic", F.round("z", 4).alias("z"))
+
+
+def named_graphs(spark, folder):
+    """Edges of the named graphs' noisy copies that the true mapping keeps."""
+    out = None
+    for name in NAMES:
+        one, two, t = named_pair(spark, name)
+        row = evaluate.preservation(one, two, t).select(F.lit(name).alias("graph"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def paired_graph(spark, folder):
     return graphs.paired(source_graph(spark, folder), 0.05, 11)[0].edges
 
@@ -502,6 +519,7 @@ def oracle_sql() -> dict[str, str]:
         "boundary_ties": f"{_TOP},{_top_sql(K + 1, 'nxt')} select count(*) as sources, count_if(round(a.similarity, 9) = round(b.similarity, 9)) as tied from top a left join nxt b on a.source = b.source and b.rank = {K} where a.rank = {K - 1}",
         "topk_profiles": f"{_Z},{_profile_sql('fa')},{_profile_sql('fb')},{_top_sql(1, 'plain')}, s as (select source, target, similarity + 0.25 * greatest(0.0, 1 - list_sum(list_transform(list_zip(p.profile, q.profile), lambda x: abs(x[1] - x[2]))) / 8) as similarity from plain_s join fa_prof p on p.v = source join fb_prof q on q.v = target) select source, rank, target, {_r(['similarity'])} from (select *, row_number() over (partition by source order by round(similarity, 9) desc, target) - 1 as rank from s) where rank < 3",
         "value_summary": "select event_type, count(value) as trials, round(sum(value::decimal(28,9))::double / count(value), 6) as mean, round(stddev_samp(value), 4) as deviation, min(value) as least, max(value) as most, round(quantile_cont(value, 0.5), 6) as median, round(quantile_cont(value, 0.95), 6) as p95, round(quantile_cont(value, 0.99), 6) as p99 from events group by 1",
+        "significance": "with d as (select l_returnflag, round(l_discount::double - l_tax::double, 9) as d from lineitem), x as (select l_returnflag, d, rank() over w + (count(*) over (partition by l_returnflag, abs(d)) - 1) / 2.0::double as r, row_number() over (partition by l_returnflag, abs(d)) as i, count(*) over (partition by l_returnflag, abs(d)) as t from d where d <> 0 window w as (partition by l_returnflag order by abs(d))), s as (select l_returnflag, count(*) as pairs, sum(case when d > 0 then r else 0 end)::double as w_plus, sum(case when d < 0 then r else 0 end)::double as w_minus, sum(case when i = 1 then t::double * t * t - t else 0 end)::double as ties from x group by 1) select l_returnflag, pairs, (select count(*) from d where d.d = 0 and d.l_returnflag = s.l_returnflag) as zeros, w_plus, w_minus, least(w_plus, w_minus) as statistic, round((w_plus - pairs::double * (pairs + 1) / 4) / sqrt((pairs::double * (pairs + 1) * (2 * pairs + 1) - ties / 2) / 24), 4) as z from s",
     }
 
 
@@ -510,7 +528,7 @@ _QUERIES = (
     feature_profiles, feature_duplicates, feature_cells, feature_page_rank, feature_two_hop, feature_cores, feature_legacy, topk, topk_weighted, topk_profiles, topk_pools, topk_chunks,
     index_buckets, index_plans, index_topk, index_report, index_against_exhaustive, support_incoming, support_histogram, support_report, support_defects, support_matching, support_repair,
     cost_table, cost_checks, cost_by_target, components, component_sizes, assignment_proof, confidences, neighborhood, greedy_pairs, soft_pairs, recall, accuracy, mapping_report, one_to_one,
-    preservation, rankings, boundary_ties, value_summary, paired_graph, kronecker_graph, dense_baselines, toy_match,
+    preservation, rankings, boundary_ties, value_summary, significance, named_graphs, paired_graph, kronecker_graph, dense_baselines, toy_match,
 )
 
 

@@ -288,6 +288,20 @@ def test_chains_equal_brute_force():
         assert sum(len(c[0]) for c in found) == len(points) and (whole or max(b - a for a, b in zip(sorted(xs), sorted(xs)[1:])) > 0)
 
 
+@pytest.mark.parametrize("n,words", [(12, 60), (10, 60), (8, 60), (6, 60), (8, 100)])
+def test_edited_passages_are_found(spark, n, words):
+    r = np.random.default_rng(n + words)
+    fresh = lambda k: [f"w{x}" for x in r.integers(0, 10**9, k)]
+    rows = {}
+    for i in range(100):
+        passage = fresh(words)
+        edited = [f"e{i}x{j}" if j % n == n - 1 else w for j, w in enumerate(passage)]
+        rows[2 * i], rows[2 * i + 1] = fresh(70) + passage + fresh(70), fresh(90) + edited + fresh(50)
+    found = chaining.repeated_passages(docs(spark, [(i, " ".join(w), "en", "a") for i, w in rows.items()])).collect()
+    assert {(x.doc_id, x.partner_id) for x in found} == {(2 * i + 1, 2 * i) for i in range(100)}
+    assert all(x.similarity >= 0.8 and x.start_word <= 95 and x.end_word >= 85 + words - n for x in found)
+
+
 # ---------------------------------------------------------------- 7
 
 def test_pages_equal_their_articles(spark, tables):

@@ -302,6 +302,15 @@ def test_edited_passages_are_found(spark, n, words):
     assert all(x.similarity >= 0.8 and x.start_word <= 95 and x.end_word >= 85 + words - n for x in found)
 
 
+@pytest.mark.parametrize("words,gap", [(52, 40), (60, 45)])
+def test_both_passages_of_a_chain_with_a_long_gap_are_found(spark, words, gap):
+    fresh = lambda name, k: [f"{name}{j}" for j in range(k)]
+    one, two = fresh("a", words), fresh("b", words)
+    rows = {i: fresh(f"x{i}o", 30) + one + fresh(f"y{i}o", gap) + two + fresh(f"z{i}o", 30) for i in (1, 2)}
+    found = chaining.repeated_passages(docs(spark, [(i, " ".join(w), "en", "a") for i, w in rows.items()])).collect()
+    assert {(x.doc_id, x.partner_id, x.start_word, x.end_word, x.matched) for x in found} == {(2, 1, 30, 30 + words, words), (2, 1, 30 + words + gap, 30 + 2 * words + gap, words)}
+
+
 # ---------------------------------------------------------------- 7
 
 def test_pages_equal_their_articles(spark, tables):

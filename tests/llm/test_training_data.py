@@ -311,6 +311,17 @@ def test_both_passages_of_a_chain_with_a_long_gap_are_found(spark, words, gap):
     assert {(x.doc_id, x.partner_id, x.start_word, x.end_word, x.matched) for x in found} == {(2, 1, 30, 30 + words, words), (2, 1, 30 + words + gap, 30 + 2 * words + gap, words)}
 
 
+def test_later_occurrences_and_far_extensions_are_found(spark):
+    fresh = lambda name, k: [f"{name}{j}" for j in range(k)]
+    passage = fresh("p", 60)
+    lines = [fresh(f"line{k}w", 29) for k in range(12)]  # each stands in a smaller document, so only the core has anchors
+    rows = {1: fresh("x", 30) + passage, 2: fresh("y", 20) + passage + fresh("z", 200) + passage + fresh("v", 9)}
+    rows |= {10 + k: fresh(f"o{k}x", 30) + line + fresh(f"n{k}x", 30) for k, line in enumerate(lines)}
+    rows |= {i: fresh(f"q{i}x", 30) + fresh("core", 60) + [w for k, line in enumerate(lines) for w in [f"edit{i}x{k}", *line]] + fresh(f"r{i}x", 30) for i in (50, 51)}
+    found = chaining.repeated_passages(docs(spark, [(i, " ".join(w), "en", "a") for i, w in rows.items()])).collect()
+    assert {(x.doc_id, x.partner_id, x.start_word, x.end_word, x.matched) for x in found} == {(2, 1, 20, 80, 60), (2, 1, 280, 340, 60), (51, 50, 30, 450, 408)}
+
+
 # ---------------------------------------------------------------- 7
 
 def test_pages_equal_their_articles(spark, tables):

@@ -266,7 +266,7 @@ def restore(data: bytes, audio: Audio | None = None) -> bytes:
 
 
 def describe(audio: Audio) -> str:
-    """frames, samples, rate, right and wrong checksums, resynchronisations, skipped bytes, the table's frames, a digest of the seek offsets."""
+    """frames, samples, rate, right and wrong checksums (of Layer III; others aren't checked), resynchronisations, skipped bytes, the table's frames, a digest of the seek offsets."""
     seek = zlib.crc32(audio.offsets.astype("<i8").tobytes())
     return (
         f"frames={len(audio.offsets)};samples={audio.samples};rate={audio.rate};crc={audio.crc_right}/{audio.crc_wrong};"

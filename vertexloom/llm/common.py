@@ -10,7 +10,7 @@ from collections.abc import Callable
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch; bounds a Python worker's memory for documents of usual length.
@@ -26,15 +26,17 @@ def tuned(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where none is set."""
+    """The folder that the cluster names in spark.checkpoint.dir; a local one only where none is set, on a local master."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='vertexloom-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, name: str, rows_hint: int = BATCH_ROWS) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet in the shared folder and read again: lineage ends here, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vertexloom/{name}-{uuid.uuid4().hex}"
@@ -42,8 +44,9 @@ def written(df: DataFrame, name: str, rows_hint: int = BATCH_ROWS) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_of(df: DataFrame) -> Column:
-    return F.coalesce(df["text"], F.lit(""))
+def numbered(docs: DataFrame) -> DataFrame:
+    """row, doc: every row of docs, whatever its columns are called, as a struct with a number of its own; written, so that the numbers stay."""
+    return written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "numbered")
 
 
 def ranked(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:

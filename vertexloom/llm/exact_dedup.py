@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, texts, tuned, written
+from .common import batch, numbered, texts, tuned, written
 
 #: Bytes that do not count when texts are compared.
 IGNORED = b" \t\n\x0b\x0c\r"
 #: Distinct digests that one filter is meant to hold.
 BUCKET_KEYS = 65_536
 
-_DIGESTS = pa.schema([("doc_id", pa.int64()), ("held", pa.bool_()), ("sha", pa.binary()), ("cp", pa.int64())])
+_DIGESTS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held", pa.bool_()), ("sha", pa.binary()), ("cp", pa.int64())])
 
 
 # ---------------------------------------------------------------- binary-fuse filter
@@ -115,14 +115,13 @@ def normalised(text: str) -> bytes:
 
 def _digest(batches):
     for b in batches:
-        rows = texts(b.column(2))
-        yield batch(_DIGESTS, b.column(0), b.column(1), [hashlib.sha256(normalised(t)).digest() for t in rows], [len(t) for t in rows])
+        rows = texts(b.column(3))
+        yield batch(_DIGESTS, b.column(0), b.column(1), b.column(2), [hashlib.sha256(normalised(t)).digest() for t in rows], [len(t) for t in rows])
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, held, sha (of the normalised text) and cp (code points of the original) of every row."""
-    tuned(docs.sparkSession)
-    return docs.select("doc_id", "held", "text").mapInArrow(_digest, "doc_id long, held boolean, sha binary, cp long")
+def digests(rows: DataFrame) -> DataFrame:
+    """rows (row, doc_id, held, text) with sha (of the normalised text) and cp (code points of the original) instead of the text."""
+    return rows.select("row", "doc_id", "held", "text").mapInArrow(_digest, "row long, doc_id long, held boolean, sha binary, cp long")
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
@@ -191,17 +190,14 @@ def _same_bytes(positives: DataFrame, docs: DataFrame) -> DataFrame:
     return plain.groupBy("sha").agg((F.min("plain") == F.max("plain")).alias("same"))
 
 
-def exact_dedup(docs: DataFrame, held: Column | None = None) -> DataFrame:
-    """Duplicate groups over all of docs (doc_id, text): rows where held is true form the snapshot, the others the incoming batch.
+def _half(doc_id: Column) -> Column:
+    """Whether a row is in the snapshot if nothing else is said: about half of all ids are."""
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(2)) == 0
 
-    Returns doc_id, keep_id, group_size, kept, text_sha256 for every row. Null text counts as
-    empty; empty texts are equal to each other. Of equal texts the row with the most code points
-    stays, then the smallest doc_id (null last); of rows that are the same in both, one stays.
-    An empty table gives an empty result. Other columns are ignored.
-    """
-    held = F.pmod(F.crc32(F.coalesce(docs["doc_id"].cast("string"), F.lit(""))), F.lit(2)) == 0 if held is None else held
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
-    every = written(digests(rows).withColumn("row", F.monotonically_increasing_id()), "digests")
+
+def _decided(rows: DataFrame) -> DataFrame:
+    """row, sha, held, best, n for every row of rows (row, doc_id, text, held): the group's row that stays, and its size."""
+    every = written(digests(rows), "digests")
     snapshot = build_snapshot(every.where("held"))
     groups = written(_grouped(every.where("not held")), "batch")
     hits = written(screen(groups, snapshot).where("hit").select("sha"), "hits")
@@ -213,7 +209,21 @@ def exact_dedup(docs: DataFrame, held: Column | None = None) -> DataFrame:
     sized = snapshot.exact.select("sha", "best", "n", F.lit(True).alias("held")).unionByName(groups.withColumn("held", F.lit(False)))
     sized = sized.join(merged, "sha", "left").select("sha", "held", F.coalesce("m_best", "best").alias("best"), F.coalesce("m_n", "n").alias("n"))
     sized = written(sized, "groups")  # so that both sides of the next join are plain shuffles, which can be split
-    return every.join(sized, ["sha", "held"]).select(
+    return every.join(sized, ["sha", "held"])
+
+
+def exact_dedup(docs: DataFrame, held: Column | None = None) -> DataFrame:
+    """Duplicate groups over all of docs (doc_id, text): rows where held is true form the snapshot, the others the incoming batch.
+
+    Returns doc_id, keep_id, group_size, kept, text_sha256 for every row. Null text counts as
+    empty; empty texts are equal to each other. Of equal texts the row with the most code points
+    stays, then the smallest doc_id (null last); of rows that are the same in both, one stays.
+    An empty table gives an empty result. Other columns are ignored.
+    """
+    tuned(docs.sparkSession)
+    held = _half(docs["doc_id"]) if held is None else held
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
+    return _decided(rows).select(
         "doc_id",
         F.bitwise_not(F.col("best.inv")).alias("keep_id"),
         F.col("n").alias("group_size"),
@@ -223,22 +233,17 @@ def exact_dedup(docs: DataFrame, held: Column | None = None) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose text stays elsewhere; rows that share a doc_id and a text become one."""
-    kept = written(exact_dedup(docs).select(F.col("doc_id").alias("_id"), "kept"), "kept")
-    out = docs.hint("merge").join(kept.where("not kept and _id is not null").select("_id").distinct(), docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
-    again = kept.groupBy("_id").agg(F.count("*").alias("n"), F.max("kept").alias("k")).where("n > 1").select("_id", "k")
-    return out if not again.take(1) else _with_repeats(docs, out, again)
-
-
-def _with_repeats(docs: DataFrame, out: DataFrame, again: DataFrame) -> DataFrame:
-    """Where a doc_id stands on several rows, a row stays if it is the one of its text that stays."""
-    once = out.join(again.select("_id"), out["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
-    rows = docs.join(again.where("k").select("_id"), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-    key = F.sha2(F.translate(F.coalesce("text", F.lit("")), IGNORED.decode(), ""), 256)
-    keys = written(exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")), "kept-shas")
-    rows = rows.withColumn("_key", key)
-    rows = rows.join(keys, rows["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_sha")), "left_semi")
-    return once.unionByName(rows.dropDuplicates(["doc_id", "_key"]).drop("_key"))
+    """docs with one row of each text, the one that exact_dedup() keeps, in all its columns.
+
+    Decided row by row: a doc_id may be null or stand on rows of several texts, and columns may be
+    called anything. Null text counts as empty. An empty table gives an empty result.
+    """
+    tuned(docs.sparkSession)
+    rows = numbered(docs)
+    doc_id = rows["doc.doc_id"].cast("long")
+    decided = _decided(rows.select("row", doc_id.alias("doc_id"), rows["doc.text"].alias("text"), _half(doc_id).alias("held")))
+    dropped = written(decided.where(F.bitwise_not(F.col("row")) != F.col("best.inv_row")).select("row"), "copies")
+    return rows.hint("merge").join(dropped, "row", "left_anti").select("doc.*")
 
 
 SQL = r"""

@@ -4,8 +4,9 @@ Each source has an expected number of copies a document, its target over its siz
 copies are prefix-summed over the source's documents, in order of size so that every stretch of
 sizes is sampled evenly, one offset in [0, 1) is added, and a document is emitted once for each
 integer that its stretch of the sum crosses. The offset is random but comes from the source's name,
-so reruns agree; of OFFSETS places around it the one is taken that brings the source's words nearest
-to its target, which matters where one document is a large part of a small source.
+so reruns agree. One document that is a large part of its source would throw the sum off by itself:
+those over a LARGEth of their source have a whole number of expected copies, the nearest to the
+rate, and the others share what is left of the target.
 
 The prefix sum is distributed (common.ranked): a source with a third of all rows spreads over
 many tasks. Only per-source totals are aggregated, and only three numbers a round reach the driver.
@@ -16,12 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked, tuned, written
+from .common import numbered, ranked, tuned, written
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (1, 2, 3)
-#: Offsets tried for each source, evenly spaced from a random one; the one whose words come nearest to the target is added.
-OFFSETS = 16
+#: A document of more than this part of its source has a whole number of expected copies.
+LARGE = 50
 #: A source's target stops at this many times its size, and so do a document's copies.
 MOST = 3
 
@@ -49,42 +50,46 @@ def targets(rows: DataFrame) -> DataFrame:
     return sums.select("snull", "skey", "source_size", F.least(limit.cast("double"), F.lit(share) * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken for every row of docs (doc_id, text, source).
-
-    Sources are weighed in code-point order, null last; sizes are words, null text has none. A
-    source without words has target 0 and gives nothing. Rows with equal doc_id and size are
-    interchangeable. An empty table gives an empty result. Other columns are ignored.
-    """
-    tuned(docs.sparkSession)
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].alias("source"), size_of(docs["text"]).alias("size"))
-    rows = written(rows, "sizes").select("*", F.col("source").isNull().alias("snull"), F.coalesce("source", F.lit("")).alias("skey"))
+def _mix(rows: DataFrame) -> DataFrame:
+    """rows (row, doc_id, source, size) with source_size, target and copies; row tells rows apart and may be null."""
+    rows = rows.select("*", F.col("source").isNull().alias("snull"), F.coalesce("source", F.lit("")).alias("skey"))
     rows = rows.withColumn("tie", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     goals = written(targets(rows), "targets")
     rows = written(ranked(rows, ["snull", "skey"], ["size", "tie"], "mix-order").join(goals, ["snull", "skey"]), "mix-ranks")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.nullif(F.col("source_size"), F.lit(0))).otherwise(0.0)
+    large = F.col("size") * LARGE > F.col("source_size")
+    whole = F.least(F.floor(rate + 0.5), F.lit(MOST)).cast("long")
+    left = rows.groupBy("snull", "skey").agg(
+        (F.first("target") - F.coalesce(F.sum(F.when(large, whole * F.col("size"))), F.lit(0))).alias("goal"), F.coalesce(F.sum(F.when(~large, F.col("size"))), F.lit(0)).alias("words")
+    )
+    left = left.select("snull", "skey", F.when(F.col("words") > 0, F.greatest(F.lit(0.0), F.least(F.lit(float(MOST)), F.col("goal") / F.nullif(F.col("words"), F.lit(0))))).otherwise(0.0).alias("rate"))
+    rows = rows.join(written(left, "rates"), ["snull", "skey"])
     start = F.conv(F.substring(F.md5(F.concat(F.when(F.col("snull"), "n").otherwise("s"), F.col("skey"))), 1, 8), 16, 10).cast("double") / 4294967296.0
+    crossed = F.floor(start + (F.col("_rank") + 1) * F.col("rate")) - F.floor(start + F.col("_rank") * F.col("rate"))
+    crossed = F.least(crossed, F.lit(MOST).cast("long"))  # rounding alone could give one more
+    return rows.withColumn("copies", F.when(large, whole).otherwise(crossed))
 
-    def copies_at(offset: Column) -> Column:
-        crossed = F.floor(offset + (F.col("_rank") + 1) * rate) - F.floor(offset + F.col("_rank") * rate)
-        return F.least(crossed, F.lit(MOST).cast("long"))  # rounding alone could give one more
 
-    offsets = [start + j / OFFSETS - F.floor(start + j / OFFSETS) for j in range(OFFSETS)]
-    sums = [F.sum(copies_at(o) * F.col("size")) for o in offsets]
-    missed = rows.groupBy("snull", "skey").agg(F.array_sort(F.array(*[F.struct(F.abs(x - F.first("target")).alias("by"), F.lit(j).alias("j")) for j, x in enumerate(sums)])).getItem(0).getField("j").alias("_j"))
-    rows = rows.join(written(missed, "offsets"), ["snull", "skey"])
-    copies = copies_at(start + F.col("_j") / OFFSETS - F.floor(start + F.col("_j") / OFFSETS))
-    return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+def mix(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken for every row of docs (doc_id, text, source).
+
+    Sources are weighed in code-point order, null last; sizes are words, null text has none. A
+    source without words has target 0 and gives nothing. Repeated rows are rows of their own: those
+    with equal doc_id and size are interchangeable. An empty table gives an empty result. Other
+    columns are ignored.
+    """
+    tuned(docs.sparkSession)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].alias("source"), size_of(docs["text"]).alias("size"))
+    return _mix(written(rows, "sizes")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """docs, each row as often as the mix takes it; rows that share a doc_id, a source and a size take the mean of their copies, rounded up."""
-    counts = mix(docs).groupBy("doc_id", "source", "size").agg(F.ceil(F.avg("copies")).cast("int").alias("_copies"))
-    counts = written(counts.where("_copies > 0"), "copies").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_copies")
-    rows = docs.withColumn("_words", size_of(docs["text"]))
-    rows = rows.hint("merge").join(counts, rows["doc_id"].eqNullSafe(F.col("_id")) & rows["source"].eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")))
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return rows.select(*[rows[c] for c in docs.columns])
+    """docs, each row as often as the mix takes it, in all its columns; what mix() says of odd rows holds."""
+    tuned(docs.sparkSession)
+    rows = numbered(docs)
+    plain = rows.select("row", rows["doc.doc_id"].cast("long").alias("doc_id"), rows["doc.source"].alias("source"), size_of(rows["doc.text"]).alias("size"))
+    counts = written(_mix(written(plain, "sizes")).where("copies > 0").select("row", "copies"), "copies")
+    return rows.hint("merge").join(counts, "row").select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc.*")
 
 
 SQL = r"""
@@ -116,15 +121,18 @@ r as (
          case when source_size > 0 then target / source_size else 0 end as rate,
          ('0x' || substr(md5(case when t.source is null then 'n' else 's' || t.source end), 1, 8))::bigint / 4294967296.0::double as start
   from d join t on d.source is not distinct from t.source),
-tried as (
-  select r.*, j, start + j / 16.0::double - floor(start + j / 16.0::double) as o
-  from r, range(16) places(j)),
+parts as (
+  select *, size * 50 > source_size as large, least(floor(rate + 0.5), 3)::bigint as whole from r),
+rest as (
+  select source as of, sum(case when large then 0 else size end) as words,
+         first(target) - sum(case when large then whole * size else 0 end) as goal
+  from parts group by source),
 taken as (
-  select *, least(floor(o + (k + 1) * rate) - floor(o + k * rate), 3)::bigint as copies from tried),
-best as (
-  select source, arg_min(j, [miss, j::double]) as j
-  from (select source, j, abs(sum(copies * size) - first(target)) as miss from taken group by source, j)
-  group by source)
-select doc_id, size, source_size, target, copies, (copies * size)::bigint as taken
-from taken join best on taken.source is not distinct from best.source and taken.j = best.j
+  select parts.*, case when words > 0 then greatest(0.0::double, least(3.0::double, goal::double / words)) else 0.0::double end as e
+  from parts join rest on source is not distinct from of),
+chosen as (
+  select doc_id, size, source_size, target,
+         case when large then whole else least(floor(start + (k + 1) * e) - floor(start + k * e), 3) end::bigint as copies
+  from taken)
+select doc_id, size, source_size, target, copies, (copies * size)::bigint as taken from chosen
 """

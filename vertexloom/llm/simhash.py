@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, texts, tuned, written
+from .common import batch, numbered, texts, tuned, written
 
 WORDS = 3
 RADIUS = 3
@@ -30,7 +30,7 @@ BLOCKS = ((0, 22), (22, 21), (43, 21))
 #: Shingles hashed at a time.
 CHUNK = 65_536
 
-_PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+_PRINTS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("fp", pa.int64())])
 _VARIANTS = pa.schema([("key", pa.int64()), ("fp", pa.int64())])
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -58,8 +58,8 @@ def fingerprint(text: str, words: int = WORDS) -> int:
 
 def _fingerprints(batches):
     for b in batches:
-        fps = np.array([fingerprint(t) for t in texts(b.column(1))], np.uint64).view(np.int64)
-        yield batch(_PRINTS, b.column(0), fps)
+        fps = np.array([fingerprint(t) for t in texts(b.column(2))], np.uint64).view(np.int64)
+        yield batch(_PRINTS, b.column(0), b.column(1), fps)
 
 
 def variants(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,10 +173,11 @@ def components(links: DataFrame, name: str = "stars") -> DataFrame:
     before = None
     while True:
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # least values are written first: both sides of a join are plain shuffles then, which adaptive execution splits where one node has many links
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-least")
         large = both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
-        down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        down = written(large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"), f"{name}-large")
+        least = written(down.groupBy("u").agg(F.min("v").alias("m")), f"{name}-least")
         small = down.join(least, "u").select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b")).where("a <> b").distinct()
         links = written(small, name)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -185,31 +186,43 @@ def components(links: DataFrame, name: str = "stars") -> DataFrame:
         before = now
 
 
+def _component_ids(prints: DataFrame) -> DataFrame:
+    """fp, component_id, keep_row of every distinct fingerprint of prints (row, doc_id, fp): the smallest doc_id that it reaches, and the row that has it (null ids last, then the smallest row)."""
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    nodes = written(prints.groupBy("fp").agg(best), "nodes")
+    met = nodes.select("fp").mapInArrow(_emit, "key long, fp long").repartition("key").sortWithinPartitions("key").mapInArrow(_collide, "a long, b long")
+    roots = components(met)
+    nodes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    nodes = written(nodes, "rooted")
+    firsts = written(nodes.groupBy("root").agg(F.min("first").alias("least")), "component-firsts")
+    return written(nodes.join(firsts, "root").select("fp", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("keep_row")), "component-ids")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id for every row of docs (doc_id, text).
 
     component_id is the smallest doc_id reached over links between fingerprints of at most three
     differing bits, the row itself included. Null text counts as empty; texts without words have
-    fingerprint zero and link like any other. A null doc_id takes part but is never the smallest
-    (a component of null ids has component_id null). An empty table gives an empty result. Other
-    columns are ignored.
+    fingerprint zero and link like any other. Repeated rows each give a row. A null doc_id takes
+    part but is never the smallest (a component of null ids has component_id null). An empty table
+    gives an empty result. Other columns are ignored.
     """
     tuned(docs.sparkSession)
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    prints = written(rows.mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    emitted = nodes.select("fp").mapInArrow(_emit, "key long, fp long")
-    met = emitted.repartition("key").sortWithinPartitions("key").mapInArrow(_collide, "a long, b long")
-    roots = components(met)
-    nodes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    nodes = written(nodes, "rooted")
-    firsts = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = written(nodes.join(firsts, "root").select("fp", "component_id"), "component-ids")
-    return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = docs.select(F.lit(0).cast("long").alias("row"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    prints = written(rows.mapInArrow(_fingerprints, "row long, doc_id long, fp long"), "fingerprints")
+    return prints.join(_component_ids(prints), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one row of each near-duplicate group: the smallest doc_id. Rows with a null doc_id stay."""
-    groups = near_duplicates(docs)
-    drop = written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "near-copies")
-    return docs.hint("merge").join(drop, docs["doc_id"] == F.col("_id"), "left_anti")
+    """docs with one row of each near-duplicate group, in all its columns: the smallest doc_id (null last), of rows that share it one.
+
+    Decided row by row: a doc_id may be null or stand on rows of several texts, and columns may be
+    called anything. Null text counts as empty, and texts without words are near each other. An empty
+    table gives an empty result.
+    """
+    tuned(docs.sparkSession)
+    rows = numbered(docs)
+    plain = rows.select("row", rows["doc.doc_id"].cast("long").alias("doc_id"), rows["doc.text"].alias("text"))
+    prints = written(plain.mapInArrow(_fingerprints, "row long, doc_id long, fp long"), "fingerprints")
+    dropped = written(prints.join(_component_ids(prints), "fp").where("row <> keep_row").select("row"), "near-copies")
+    return rows.hint("merge").join(dropped, "row", "left_anti").select("doc.*")

@@ -4,174 +4,157 @@ Two bigram models, of a target domain and of the background, share one vocabular
 one smoothing. A document's score is the mean over its tokens of the loss under the background
 model less the loss under the target model: higher means closer to the target.
 
-Counts cover every document: each worker counts its own words and bigrams, and a shuffle adds them
-up, so what is gathered grows with the corpus. The models keep words and bigrams by their share of
-all tokens (MIN_WORD, MIN_PAIR), the same at every size, which bounds them by 1/MIN_WORD words and
-2/MIN_PAIR bigrams: small enough to send to every worker. Rarer words are one unknown word; rarer
-bigrams back off to the word. Then one pass scores all documents without a shuffle.
+Nothing is pruned and the models are never gathered: every word and bigram of every document is
+counted, and each block of documents asks for the counts of just its own (see blocks.py). What is
+gathered grows with the corpus, and no worker or driver holds more than a block's or a bucket's part.
+
+A document's own words don't count for its own score: what it adds to a model is taken off before,
+so that a text is as likely as the rest of the corpus makes it.
 """
 
 from __future__ import annotations
 
 import functools
-from collections import Counter
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, texts, tuned, written
+from .blocks import Block, blocks, buckets_for, mixed_bits, packed_keys, packs, squeezed, unpacked_keys, unsqueezed
+from .common import tuned, written
 
-#: Least share of all tokens for a word to be in the vocabulary; at most 1/MIN_WORD words.
-MIN_WORD = 2e-6
-#: Least share of a side's tokens for a bigram to be in the models; at most 2/MIN_PAIR bigrams.
-MIN_PAIR = 1e-6
-#: Weight of the bigram estimate where its context is known, and of the uniform share in a word's estimate.
-PAIR_WEIGHT, UNIFORM_WEIGHT = 0.7, 0.05
-#: Distinct words or bigrams that a worker holds before it passes its counts on.
-HELD = 1_000_000
-UNKNOWN, START = 0, 1
+#: Counts that the word's probability adds to those after a context, and that each word of the vocabulary adds to its own.
+PAIR_PRIOR, WORD_PRIOR = 4.0, 0.5
+#: What stands before and after each document's words.
+EDGE = xxhash.xxh64_intdigest(b" ")
 
-_WORDS = pa.schema([("word", pa.binary()), ("t", pa.int64()), ("b", pa.int64())])
-_PAIRS = pa.schema([("pair", pa.int64()), ("t", pa.int64()), ("b", pa.int64())])
+_ASKS = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("t", pa.binary()), ("b", pa.binary()), ("target", pa.binary())])
+_ANSWERS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("t", pa.binary()), ("b", pa.binary()), ("target", pa.binary()), ("words", pa.int64()), ("t_size", pa.int64()), ("b_size", pa.int64())])
 _OUT = pa.schema([("doc_id", pa.int64()), ("tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())])
-
-
-def words(text: str) -> list[bytes]:
-    return text.encode().lower().split()
-
-
-def _count_words(batches):
-    sides = (Counter(), Counter())  # background, target
-
-    def flush():
-        for target, counter in enumerate(sides):
-            n, none = list(counter.values()), [0] * len(counter)
-            yield batch(_WORDS, list(counter), *((n, none) if target else (none, n)))
-            counter.clear()
-
-    for b in batches:
-        for t, target in zip(texts(b.column(0)), b.column(1).to_pylist()):
-            sides[target].update(words(t))
-        if sum(map(len, sides)) > HELD:
-            yield from flush()
-    yield from flush()
-
-
-@dataclass
-class Vocabulary:
-    """ids of the words; by id the unigram probabilities under target and background."""
-
-    ids: dict[bytes, int]
-
-    def __call__(self, text: str) -> np.ndarray:
-        get = self.ids.get
-        return np.array([START, *[get(w, UNKNOWN) for w in words(text)]], np.int64)
-
-
-def _count_pairs(batches, shared):
-    vocabulary, held, size = shared.value, [], 0
-
-    def merged():
-        keys, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-        return keys, *(np.bincount(at, np.concatenate([h[i] for h in held]), len(keys)).astype(np.int64) for i in (1, 2))
-
-    for b in batches:
-        for side in (True, False):
-            rows = [vocabulary(t) for t, target in zip(texts(b.column(0)), b.column(1).to_pylist()) if bool(target) == side]
-            if not rows:
-                continue
-            keys, n = np.unique(np.concatenate([(r[:-1] << 32) | r[1:] for r in rows]), return_counts=True)
-            held.append((keys, n * side, n * (not side)))
-            size += len(keys)
-        if size > 4 * HELD:
-            held = [merged()]
-            size = len(held[0][0])
-            if size > 2 * HELD:
-                yield batch(_PAIRS, *held[0])
-                held, size = [], 0
-    if held:
-        yield batch(_PAIRS, *merged())
-
-
-@dataclass
-class Models:
-    vocabulary: Vocabulary
-    words: np.ndarray  # (2, words): probability of each word under target, background
-    pairs: np.ndarray  # sorted: context << 32 | word
-    given: np.ndarray  # (2, pairs): probability of the word after its context
-    kept: np.ndarray  # (2, words): of the tokens after each word, the share that pairs hold
-
-    def losses(self, ids: np.ndarray) -> np.ndarray:
-        """(2, tokens) losses in nats of all tokens after the start."""
-        if len(ids) < 2:
-            return np.zeros((2, 0))
-        pair = (ids[:-1] << 32) | ids[1:]
-        if len(self.pairs):
-            at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
-            given = np.where(self.pairs[at] == pair, self.given[:, at], 0.0)
-        else:
-            given = np.zeros((2, len(pair)))
-        return -np.log(PAIR_WEIGHT * given + (1 - PAIR_WEIGHT * self.kept[:, ids[:-1]]) * self.words[:, ids[1:]])
-
-
-def learn(background: DataFrame, target: DataFrame) -> Models:
-    """Both have a text column."""
-    tuned(background.sparkSession)
-    sc = background.sparkSession.sparkContext
-    rows = background.select("text", F.lit(False).alias("target")).unionByName(target.select("text", F.lit(True).alias("target")))
-    counts = rows.mapInArrow(_count_words, "word binary, t long, b long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-    counts = written(counts, "words")
-    totals = counts.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
-    kept = counts.where(F.col("b") >= MIN_WORD * totals[1]).orderBy("word").toArrow()  # at most 1/MIN_WORD rows
-    vocabulary = Vocabulary({w: i + 2 for i, w in enumerate(kept.column("word").to_pylist())})
-    n = np.zeros((2, len(vocabulary.ids) + 2))
-    n[0, 2:], n[1, 2:] = kept.column("t").to_numpy(), kept.column("b").to_numpy()
-    n[:, UNKNOWN] = np.array(totals) - n.sum(axis=1)
-    size = n.shape[1] - 1  # the start is never predicted
-    unigram = (1 - UNIFORM_WEIGHT) * n / np.maximum(1, n.sum(axis=1, keepdims=True)) + UNIFORM_WEIGHT / size
-    counted = rows.mapInArrow(functools.partial(_count_pairs, shared=sc.broadcast(vocabulary)), "pair long, t long, b long")
-    counted = written(counted.groupBy("pair").agg(F.sum("t").alias("t"), F.sum("b").alias("b")), "pairs")
-    context = counted.groupBy(F.shiftright("pair", 32).alias("c")).agg(F.sum("t").alias("t"), F.sum("b").alias("b")).toArrow()  # a row a word
-    before = np.zeros_like(n)
-    before[:, context.column("c").to_numpy()] = context.column("t").to_numpy(), context.column("b").to_numpy()
-    often = counted.where(f"(t > 0 and t >= {MIN_PAIR * totals[0]!r}D) or (b > 0 and b >= {MIN_PAIR * totals[1]!r}D)").orderBy("pair").toArrow()  # at most 2/MIN_PAIR rows
-    pairs = often.column("pair").to_numpy().astype(np.int64)
-    seen = np.array([often.column("t").to_numpy(), often.column("b").to_numpy()], np.float64).reshape(2, -1)
-    given = seen / np.maximum(1, before[:, pairs >> 32])
-    kept_share = np.stack([np.bincount(pairs >> 32, g, n.shape[1]) for g in given])
-    return Models(vocabulary, unigram, pairs, given, np.minimum(1.0, kept_share))
-
-
-def _score(batches, shared):
-    models = shared.value
-    for b in batches:
-        n, t, g = [], [], []
-        for text in texts(b.column(1)):
-            ids = models.vocabulary(text)
-            loss = models.losses(ids).mean(axis=1) if len(ids) > 1 else np.zeros(2)
-            n.append(len(ids) - 1)
-            t.append(round(float(loss[0]), 9))
-            g.append(round(float(loss[1]), 9))
-        yield batch(_OUT, b.column(0), n, t, g, [round(y - x, 9) for x, y in zip(t, g)])
+_ANSWER_KINDS = "block long, bucket int, t binary, b binary, target binary, words long, t_size long, b_size long"
+
+
+def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(schema), schema)], schema=schema)
+
+
+class Grams:
+    """A block's tokens (the words of each document with words, then the edge), the words before them, and their distinct pairs."""
+
+    def __init__(self, block: Block):
+        self.full = np.flatnonzero(block.lengths)
+        lengths = block.lengths[self.full]
+        ends, edge = np.cumsum(lengths), len(block.hashes)
+        self.hashes = np.append(block.hashes, np.uint64(EDGE))
+        self.size = len(self.hashes)
+        self.word = np.insert(block.ids, ends, edge)
+        self.before = np.insert(block.ids, ends - lengths, edge)
+        self.owner = np.repeat(np.arange(len(self.full)), lengths + 1)
+        self.pairs, self.pair = np.unique(self.before * self.size + self.word, return_inverse=True)
+        # keys of words are odd, those of pairs even
+        word_keys = mixed_bits(self.hashes) | np.uint64(1)
+        pair_keys = mixed_bits(self.hashes[self.pairs // self.size] * np.uint64(0x9E3779B97F4A7C15) + self.hashes[self.pairs % self.size]) & ~np.uint64(1)
+        if not len(self.full):
+            word_keys = word_keys[:0]
+        self.keys = np.concatenate([word_keys, pair_keys])
+        self.order = np.argsort(self.keys, kind="stable")
+
+    def counts(self, weight: np.ndarray | None = None) -> np.ndarray:
+        """Of all keys, in their own order; weight: of each token."""
+        if not len(self.full):
+            return np.zeros(0, np.int64)
+        return np.concatenate([np.bincount(self.word, weight, self.size), np.bincount(self.pair, weight, len(self.pairs))]).astype(np.int64)
+
+    def own(self, of: np.ndarray, size: int) -> np.ndarray:
+        """For each token how often its document has what of says."""
+        _, at, n = np.unique(self.owner * size + of, return_inverse=True, return_counts=True)
+        return n[at]
+
+
+def _ask(left: pa.Table, right: pa.Table, buckets: int) -> pa.Table:
+    if not left.num_rows:
+        return _table(_ASKS, [])
+    block = Block(left)
+    grams = Grams(block)
+    target = np.zeros(len(block.docs), bool)
+    target[right.column("at").to_numpy()] = True
+    b, t = grams.counts()[grams.order], grams.counts(target[grams.full][grams.owner])[grams.order]
+    rows = []
+    for bucket, span in packs(grams.keys[grams.order], buckets):
+        flags = None if rows else np.packbits(target).tobytes()  # comes back with the first answer
+        rows.append((bucket, block.block, packed_keys(grams.keys[grams.order][span]), squeezed(t[span]), squeezed(b[span]), flags))
+    return _table(_ASKS, rows)
+
+
+def _count(asks: pa.Table) -> pa.Table:
+    """Adds up a bucket's counts and answers each pack; one more row has the bucket's words and sizes."""
+    keys = [unpacked_keys(k) for k in asks.column("keys").to_pylist()]
+    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    t, b = (np.bincount(at, np.concatenate([unsqueezed(x) for x in asks.column(c).to_pylist()]), len(distinct)).astype(np.int64) for c in ("t", "b"))
+    bucket, odd = asks.column("bucket")[0].as_py(), distinct % 2 == 1
+    rows = [(-1, bucket, None, None, None, int(odd.sum()), int(t[odd].sum()), int(b[odd].sum()))]
+    ends = np.cumsum([len(k) for k in keys]).tolist()
+    for block, flags, s, e in zip(asks.column("block").to_pylist(), asks.column("target").to_pylist(), [0, *ends], ends):
+        rows.append((block, bucket, squeezed(t[at[s:e]]), squeezed(b[at[s:e]]), flags, None, None, None))
+    return _table(_ANSWERS, rows)
+
+
+def losses(pair: np.ndarray, before: np.ndarray, word: np.ndarray, total: np.ndarray, vocabulary: int) -> np.ndarray:
+    """In nats, from counts of the pair, of the word before, of the word, and of all words."""
+    p = (word + WORD_PRIOR) / (total + WORD_PRIOR * vocabulary)
+    return -np.log((pair + PAIR_PRIOR * p) / (before + PAIR_PRIOR))
+
+
+def _score(left: pa.Table, right: pa.Table, vocabulary: int, t_size: int, b_size: int) -> pa.Table:
+    if not left.num_rows:
+        return _table(_OUT, [])
+    block = Block(left)
+    grams = Grams(block)
+    out = {"t": np.zeros(len(block.docs)), "b": np.zeros(len(block.docs))}
+    if len(grams.full):
+        right = right.sort_by("bucket")
+        target = np.unpackbits(np.frombuffer(next(f for f in right.column("target").to_pylist() if f), np.uint8))[grams.full].astype(bool)
+        first = np.r_[True, grams.owner[1:] != grams.owner[:-1]]
+        own_word, own_pair = grams.own(grams.word, grams.size), grams.own(grams.pair, len(grams.pairs))
+        own_before = np.where(first, 1, np.roll(own_word, 1))
+        own_size = np.bincount(grams.owner)
+        for side, size in (("t", t_size), ("b", b_size)):
+            counts = np.empty(len(grams.keys))
+            counts[grams.order] = np.concatenate([unsqueezed(x) for x in right.column(side).to_pylist()])
+            words, pairs = counts[: grams.size], counts[grams.size :]
+            off = (target if side == "t" else np.ones(len(target), bool))[grams.owner]
+            loss = losses(pairs[grams.pair] - off * own_pair, words[grams.before] - off * own_before, words[grams.word] - off * own_word, size - off * own_size[grams.owner], vocabulary)
+            out[side][grams.full] = np.bincount(grams.owner, loss) / own_size
+    t, b = np.round(out["t"], 9), np.round(out["b"], 9)
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip((block.docs, block.lengths, t, b, np.round(b - t, 9)), _OUT)], schema=_OUT)
 
 
 def target_ids(labels: DataFrame) -> DataFrame:
     """doc_id of documents labelled as good and never as toxic."""
-    return labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
+    labels = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
+    return labels.where("quality = 1 and toxic = 0").select(F.col("doc_id").cast("long"))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, tokens, target_loss, background_loss, score for every row of docs (doc_id, text); labels: doc_id, quality, toxic.
 
-    Losses are means over tokens, in nats; a text without words, or null, has 0 in all of them.
-    Without target documents the target model is uniform over the shared vocabulary. An empty table
-    gives an empty result. Other columns are ignored.
+    The target model is of the labelled rows (all rows of a doc_id), the background model of all
+    rows; both predict each word and the end of each text. Losses are means over these, in nats; a
+    text without words, or null, has 0 in all of them. Repeated rows are rows of their own, each part
+    of what the other is measured by. Without target documents the target model is uniform over the
+    shared vocabulary. Null doc_ids are never targets. An empty table gives an empty result. Other
+    columns are ignored.
     """
+    tuned(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    target = written(rows.hint("merge").join(target_ids(labels), "doc_id", "left_semi").select("text"), "target")
-    models = learn(rows, target)
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-    return rows.mapInArrow(functools.partial(_score, shared=shared), "doc_id long, tokens long, target_loss double, background_loss double, score double")
+    table = blocks(rows)
+    flags = table.select("block", F.posexplode("docs").alias("at", "doc_id")).join(target_ids(labels).hint("merge"), "doc_id").select(F.col("block").alias("of"), "at")
+    asks = table.groupBy("block").cogroup(flags.groupBy("of")).applyInArrow(functools.partial(_ask, buckets=buckets_for(table)), "bucket int, block long, keys binary, t binary, b binary, target binary")
+    answers = written(asks.groupBy("bucket").applyInArrow(_count, _ANSWER_KINDS), "counts")
+    totals = answers.where("block < 0").agg(F.sum("words"), F.sum("t_size"), F.sum("b_size")).first()
+    vocabulary, t_size, b_size = (x or 0 for x in totals)
+    solve = functools.partial(_score, vocabulary=vocabulary, t_size=t_size, b_size=b_size)
+    told = answers.where("block >= 0").select("block", "bucket", "t", "b", "target")
+    return table.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(solve, "doc_id long, tokens long, target_loss double, background_loss double, score double")

@@ -257,14 +257,15 @@ def test_a_passage_whose_parts_stand_in_smaller_documents_is_found_whole(spark):
     own = lambda i: [f"own{i}x{j}" for j in range(40)]
     rows = {k + 1: own(k + 1) + lines[k] + own(k + 11) for k in range(3)} | {i: own(i) + lines[0] + lines[1] + lines[2] for i in (7, 8, 9)}
     found = chaining.repeated_passages(docs(spark, [(i, " ".join(w), "en", "a") for i, w in rows.items()])).collect()
-    assert {(r.doc_id, r.partner_id, r.start_word, r.end_word, r.matched) for r in found} == {(8, 7, 40, 115, 75), (9, 7, 40, 115, 75)}
+    rows = {(r.doc_id, r.partner_id, r.start_word, r.end_word, r.matched) for r in found}
+    assert {(8, 7, 40, 115, 75), (9, 7, 40, 115, 75)} <= rows <= {(8, 7, 40, 115, 75), (9, 7, 40, 115, 75), (9, 8, 40, 115, 75)}  # the nearest document may be named beside the first
 
 
 def test_every_run_has_a_long_seed_whatever_stands_around_it():
     r = np.random.default_rng(5)
     k = chaining.long_k(chaining.MIN_WORDS)
     for words in (2**63, 3, 1):  # distinct, repeating and equal words
-        run = r.integers(0, words, chaining.MIN_WORDS).astype(np.uint64)
+        run = r.integers(0, words, chaining.MIN_WORDS, dtype=np.uint64)
         alone = set(chaining.long_seeds(run, k)[0].tolist())
         around = np.concatenate([r.integers(0, 2**63, 90).astype(np.uint64), run, r.integers(0, 2**63, 90).astype(np.uint64)])
         keys, at = chaining.long_seeds(around, k)
@@ -322,6 +323,50 @@ def test_later_occurrences_and_far_extensions_are_found(spark):
     assert {(x.doc_id, x.partner_id, x.start_word, x.end_word, x.matched) for x in found} == {(2, 1, 20, 80, 60), (2, 1, 280, 340, 60), (51, 50, 30, 450, 408)}
 
 
+def _edited(r, words, share, name):
+    """words with a share of them replaced, left out or followed by another one."""
+    out = []
+    for j, w in enumerate(words):
+        kind = r.integers(0, 3) if r.random() < share else 3
+        out += [[f"{name}r{j}"], [], [w, f"{name}i{j}"], [w]][kind]
+    return out
+
+
+def test_recall_against_all_planted_pairs(spark):
+    """200 documents: passages with random edits of three kinds, twice in one document, and with their parts in several smaller documents before."""
+    r = np.random.default_rng(11)
+    fresh = lambda name, k: [f"{name}w{j}" for j in range(k)]
+    rows, wanted, doc = {}, [], 0
+    for g in range(40):
+        passage = fresh(f"p{g}", int(r.integers(55, 110)))
+        cuts = [passage[i : i + 22] for i in range(0, len(passage), 22)]
+        if g % 2:  # earlier documents hold a part each
+            for part in cuts[:3]:
+                rows[doc] = fresh(f"a{doc}", int(r.integers(10, 60))) + part + fresh(f"b{doc}", int(r.integers(10, 60)))
+                doc += 1
+        for copy in range(2 if g % 2 else 5):
+            text = _edited(r, passage, [0.0, 0.04, 0.08, 0.1][g % 4] if copy else 0, f"e{doc}")
+            start = int(r.integers(0, 80))
+            rows[doc] = fresh(f"c{doc}", start) + text + fresh(f"d{doc}", int(r.integers(0, 80)))
+            if copy:
+                similar = chaining.common(passage, text) / max(len(passage), len(text))
+                wanted += [(doc, start, start + len(text))] * (similar >= 0.8)
+                if g % 5 == 0:  # again in the same document
+                    again = len(rows[doc]) + 30
+                    rows[doc] += fresh(f"f{doc}", 30) + text
+                    wanted += [(doc, again, again + len(text))] * (similar >= 0.8)
+            doc += 1
+    assert len(rows) >= 200
+    found = chaining.repeated_passages(docs(spark, [(i, " ".join(w), "en", "a") for i, w in rows.items()])).collect()
+    places = collections.defaultdict(list)
+    for x in found:
+        places[x.doc_id].append((x.start_word, x.end_word))
+    hit = [any(min(e, f) - max(s, t) >= 0.9 * (e - s) for t, f in places[d]) for d, s, e in wanted]
+    print(f"recall {sum(hit)} of {len(hit)}")
+    assert len(hit) > 100 and sum(hit) >= 0.95 * len(hit)
+    assert set(places) <= {d for d, _, _ in wanted}
+
+
 # ---------------------------------------------------------------- 7
 
 def test_pages_equal_their_articles(spark, tables):

@@ -425,12 +425,79 @@ def test_base_spans_equal_the_patterns(texts):
         assert pii.base_spans(t or "") == _base(t or "")
 
 
+def test_base_patterns_read_long_runs_once():
+    import time
+
+    began = time.perf_counter()
+    digits = "7" * 500_000
+    assert pii.base_spans(f"{digits}.{digits}") == [] and pii.base_spans("1." * 200_000 + "1")[0] == (0, 1, 7)
+    assert time.perf_counter() - began < 20
+
+
+def test_best_segmentation_equals_brute_force():
+    """Over all ways to cut a few tokens into candidates and single tokens: the greatest score, the sum of all, each candidate's share."""
+    import math
+
+    r = np.random.default_rng(12)
+    for _ in range(60):
+        n = int(r.integers(1, 7))
+        segments = [(int(i), int(j), int(r.integers(0, pii.OUTSIDE))) for i in range(n) for j in range(i + 1, n + 1) if r.random() < 0.4]
+        score = r.normal(0, 2, len(segments)).tolist()
+        w = {pii._after(a, b): float(r.normal()) for a in pii.LABELS for b in pii.LABELS}
+
+        def ways(at, last):
+            if at == n:
+                yield 0.0, []
+            else:
+                for v, rest in ways(at + 1, pii.OUTSIDE):
+                    yield v + w[pii._after(last, pii.OUTSIDE)], rest
+                for x, (i, j, k) in enumerate(segments):
+                    if i == at:
+                        for v, rest in ways(j, k):
+                            yield v + score[x] + w[pii._after(last, k)], [x, *rest]
+
+        every = list(ways(0, pii.OUTSIDE))
+        top = max(v for v, _ in every)
+        assert any(v == pytest.approx(top) and s == pii.best(n, segments, score, w) for v, s in every)
+        total, chance, pairs = pii.marginals(n, segments, score, w)
+        assert total == pytest.approx(math.log(sum(math.exp(v) for v, _ in every)))
+        for x in range(len(segments)):
+            assert chance[x] == pytest.approx(sum(math.exp(v - total) for v, s in every if x in s), abs=1e-9)
+        assert sum(pairs.values()) == pytest.approx(sum(math.exp(v - total) * (len(s) + n - sum(segments[x][1] - segments[x][0] for x in s)) for v, s in every))
+
+
+# Written by hand, not by sentences(): {kind:span} marks what is to be found.
+WRITTEN = [
+    "Please send the forms to {email:anna.meyer [at] posteo [dot] de} before Friday.", "You can reach Bob under {email:bob at gmail dot com}, he answers fast.", "Write me: {email:first.last (at) dept.uni.edu}", "Contact: {email:help @ shop.example.org}.",
+    "My cell is {phone:(212) 555-0187}; call after six.", "Tel. {phone:0049 30 901820}", "Ring {phone:555-867-5309} and ask for Jenny.", "fax {phone:212.555.0143}", "Our office: {phone:(0)30 / 12345678}",
+    "The gateway answers at {ip:2001:0db8:85a3:0000:0000:8a2e:0370:7334} only.", "Block {ip:203[.]0[.]113[.]7} at the firewall.", "ping {ip:10 . 0 . 0 . 254} failed twice",
+    "Charged to {card:4111.1111.1111.1111} on Monday.", "visa {card:4012/8888/8888/1881}, exp 09/27", "Card number {card:5500.0000.0000.0004}",
+    'config: api_key = "{secret:d41d8cd98f00b204e9800998ecf8427e}"', "export AWS_SECRET={secret:wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY9}", "git clone with token {secret:ghp_16C7e42F292c6912E7710c838347Ae178B4a}", "password: {secret:Tr0ub4dor3}", "Authorization: Bearer {secret:eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9a1b2}",
+]
+CLEAN = [
+    "The meeting is on 2023-11-22 at 14:30 in room 1234567.", "We look at the data. Then we go home.", "Version 10.0.19045.3570 was released.", "Population rose from 1 234 567 to 2 345 678 in 1990-2000.", "See pages 120-135, 140 and 200-210.", "ISBN 978-3-16-148410-0", "The score was 3-2, 1-1 and 0-4.",
+    "Meet me at the corner dot the i", "pi is 3.14159265358979", "Order no. 2023-11-22 1234567 has shipped.", "f(x) = 2 x + 12345", "He was born at 12 Baker Street, London.", "It cost 1,299.00 or 1.299,00", "internationalization-and-localization", "the key: practice every day", "10 20 30 40 50 60 70 80 90 100",
+]
+
+
+def test_field_on_sentences_written_by_hand():
+    found = wrong = 0
+    for line in WRITTEN:
+        kind, span = re.search(r"\{(\w+):(.*)\}", line).groups()
+        text = line.replace("{" + f"{kind}:{span}" + "}", span)
+        got = {(pii.KINDS[k], text[s:e]) for s, k, e in pii.added_spans(text, pii.weights(), [])}
+        found, wrong = found + ((kind, span) in got), wrong + len(got - {(kind, span)})
+    noise = [(t, s) for t in CLEAN for s in pii.added_spans(t, pii.weights(), [])]
+    print(f"found {found} of {len(WRITTEN)}, {wrong} other spans there; clean sentences with spans: {noise}")
+    assert found >= 0.8 * len(WRITTEN) and wrong <= 3 and len(noise) <= 1
+
+
 def test_field_finds_held_out_sentences():
     right = wrong = missed = 0
     for text, spans in pii.sentences(200, seed=123):
         found = set(pii.added_spans(text, pii.weights(), []))
         right, wrong, missed = right + len(found & set(spans)), wrong + len(found - set(spans)), missed + len(set(spans) - found)
-    assert right > 3 * missed and right > 10 * wrong
+    assert right > 20 * missed and right > 20 * wrong
 
 
 def test_spans_are_listed(spark):

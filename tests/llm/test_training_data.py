@@ -391,6 +391,33 @@ def test_article_without_its_surroundings():
     assert htmltext.main_text(page) == "Title & more One twothree éé. Six seven eight nine ten. item one is here item two is there"
 
 
+PARAGRAPH = "The quiet river ran past an old mill where three of us had once hidden from the rain, and told each other stories."
+
+
+@pytest.mark.parametrize("wrapper", ['<div class="content-with-sidebar">{}</div>', '<div class="site has-footer">{}</div>', '<div class="post category-social">{}</div>', "<form>{}</form>", '<div id="page-menu-left"><div class="row">{}</div></div>'])
+def test_an_article_in_an_ordinary_wrapper_is_found(wrapper):
+    menu, foot = '<div class="sidebar"><ul><li><a href="/a">One</a></li><li><a href="/b">Two</a></li></ul></div>', "<footer>All rights reserved.</footer>"
+    assert htmltext.main_text(f"<html><body>{wrapper.format(f'<p>{PARAGRAPH}</p>')}</body></html>") == PARAGRAPH
+    assert htmltext.main_text(f"<html><body>{wrapper.format(f'{menu}<h1>Mill</h1><p>{PARAGRAPH}</p>')}{foot}</body></html>") == f"Mill {PARAGRAPH}"
+
+
+def test_the_region_decides_where_nothing_is_marked():
+    links = "".join(f'<div><a href="/{i}">Other page {i}</a></div>' for i in range(12))
+    page = f"<html><body><div>{links}</div><h1>Mill</h1><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p><div>{links}</div><div>Short note</div></body></html>"
+    read = htmltext.read(page)
+    bits = read.features()
+    unmarked = " ".join(t for kind, t, e, _ in read.tokens if not kind and not bits[e] & (htmltext.IN_TAG | htmltext.IN_CLASS | htmltext.IN_UNSEEN))
+    assert htmltext.main_text(page) == f"Mill {PARAGRAPH} {PARAGRAPH}" != unmarked
+    advert = f"<div>Buy one get one free</div><p>{PARAGRAPH}</p><div class='ad-box'>{PARAGRAPH}</div><p>{PARAGRAPH}</p>"
+    assert htmltext.main_text(advert).endswith(f"{PARAGRAPH} {PARAGRAPH}") and htmltext.main_text(advert).count("quiet") == 2
+
+
+def test_fitted_weights_tell_content_apart():
+    score, tags = htmltext.weights()
+    prose, link, menu, marked = htmltext.IN_PROSE, htmltext.IN_LINK, htmltext.IN_TAG, htmltext.IN_CLASS
+    assert score[prose] > 0 and score[prose | htmltext.IN_MAIN] > score[prose] > score[prose | link] and max(score[menu], score[marked], score[link]) < 0 and max(tags.values()) < 0
+
+
 def test_best_region_equals_brute_force():
     r = np.random.default_rng(5)
     for _ in range(200):

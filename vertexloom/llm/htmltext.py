@@ -1,10 +1,14 @@
 """Main text of web pages by the maximum-scoring subsequence.
 
-A page is read once into runs of words and tags. Words score by where they stand, tags are
-negative, and one linear scan finds the contiguous region with the highest sum. The weights are
-fitted on labelled pages, made by labelled_pages(): the log of how much more often a feature
-occurs in content than outside. Inside the region, what stands in menus, adverts, forms, comments
-and other marked noise is left out.
+A page is read once into runs of words and tags. Words score by where they stand: in a paragraph, a
+link or a list, in an article, below tags or class names that sites give to menus, adverts, forms or
+comments. All of these are features with weights, fitted by logistic regression on the labelled pages
+that labelled_pages() makes; no word of a list decides alone. Tags are negative. An element of the
+page whose words sum up below zero is cut out and counts as its tags. Of what is left, one linear
+scan finds the contiguous region with the highest sum: the article.
+
+A class name says little of an element that holds nearly all of the page, or most of it and a
+headline or an article: such an element is a wrapper, whatever it is called.
 """
 
 from __future__ import annotations
@@ -14,7 +18,9 @@ import html
 import math
 import re
 from collections import Counter
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -28,7 +34,10 @@ CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
 }
-NOISE = frozenset("nav footer aside form script style noscript template textarea title head iframe noembed noframes svg math object canvas audio video button select option datalist dialog menu xmp plaintext fieldset".split())
+UNSEEN = frozenset("script style noscript template textarea title head iframe noembed noframes svg math object canvas audio video select option datalist xmp plaintext".split())
+NOISE = frozenset("nav footer aside form dialog menu fieldset header button".split())
+#: Those of NOISE that are never a wrapper.
+FIXED = frozenset("nav footer aside menu button".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 NOISE_WORDS = frozenset(
     "nav navbar navigation menu menus submenu sidebar sidebars sidenav footer foot header masthead topbar ad ads advert adverts advertisement advertising adsense "
@@ -44,10 +53,14 @@ _MARKS = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+#: The share of the page's words from which a marked element is a wrapper: alone, and with a headline or an article in it.
+WRAPS, WRAPS_ARTICLE = 0.8, 0.5
+
+
 @functools.lru_cache(maxsize=4096)
-def _marks(attributes: str) -> tuple[bool, bool]:
-    """(noise, main): what class, id, role and visibility say."""
-    noise = main = False
+def _marks(attributes: str) -> tuple[bool, bool, bool]:
+    """(noise, main, unseen): what class, id, role and visibility say; a name that says both says nothing."""
+    noise = main = unseen = False
     for m in _MARKS.finditer(attributes):
         key, value = m[1].lower(), next((x for x in m.groups()[1:] if x is not None), "")
         if key in ("class", "id"):
@@ -58,10 +71,10 @@ def _marks(attributes: str) -> tuple[bool, bool]:
             noise |= value.lower() in NOISE_ROLES
             main |= value.lower() in ("main", "article")
         elif key == "style":
-            noise |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
+            unseen |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
         else:
-            noise |= key == "hidden" or value.lower() == "true"
-    return noise, main and not noise
+            unseen |= key == "hidden" or value.lower() == "true"
+    return noise and not main, main and not noise, unseen
 
 
 def _tag_kind(name: str, close: str) -> str:
@@ -71,21 +84,74 @@ def _tag_kind(name: str, close: str) -> str:
         return "prose"
     if name in ("ul", "ol", "li", "dl", "dt", "dd"):
         return "list"
-    return ("/" if close else "") + ("main" if name in MAIN else "noise" if name in NOISE or name == "header" else "box")
-
-
-def read(page: str):
-    """(kind, text) of all tokens in order: text is None for a tag; a line break in a text stands for the edge of a block."""
-    out: list[tuple[str, str | None]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, within noise, within main
+    return ("/" if close else "") + ("main" if name in MAIN else "noise" if name in NOISE or name in UNSEEN else "box")
+
+
+@dataclass
+class Element:
+    name: str
+    parent: int
+    marks: tuple[bool, bool, bool] = (False, False, False)
+    words: int = 0  # of all that it holds
+    article: bool = False  # it holds a headline or an article
+
+
+#: Features of words, as bits: where the weights find them.
+IN_TAG, IN_CLASS, IN_MAIN, IN_LINK, IN_PROSE, IN_LIST, IN_UNSEEN = (1 << i for i in range(7))
+FEATURES = 6
+FEATURES_MASK = (1 << FEATURES) - 1
+
+
+@dataclass
+class Page:
+    tokens: list[tuple[str | None, str | None, int, int]]  # kind of a tag (None: words), text ("\n": the edge of a block), element, place in the page
+    elements: list[Element]
+
+    def words(self) -> list[int]:
+        """Words of each token; tags have none."""
+        return [0 if kind else len(text.split()) for kind, text, _, _ in self.tokens]
+
+    def features(self) -> list[int]:
+        """Of each element, as bits: what holds for the words in it."""
+        counts = self.words()
+        for (_, _, e, _), n in zip(self.tokens, counts):
+            self.elements[e].words += n
+        for i in range(len(self.elements) - 1, 0, -1):
+            x, up = self.elements[i], self.elements[self.elements[i].parent]
+            if not (x.name in UNSEEN or x.marks[2]):
+                up.words += x.words
+                up.article |= x.article or x.name in MAIN or x.name == "h1" or x.marks[1]
+        total, out = max(1, self.elements[0].words), [0]
+        for x in self.elements[1:]:
+            bits = out[x.parent]
+            wraps = x.name in ("html", "body") or x.words >= (WRAPS_ARTICLE if x.article else WRAPS) * total
+            if x.name in NOISE and not (x.name == "header" and bits & IN_MAIN) and (x.name in FIXED or not wraps):
+                bits |= IN_TAG
+            if x.marks[0] and x.name not in MAIN and not wraps:
+                bits |= IN_CLASS
+            if x.name in MAIN or (x.marks[1] and x.name not in ("html", "body")):
+                bits |= IN_MAIN
+            if x.name in UNSEEN or x.marks[2]:
+                bits |= IN_UNSEEN
+            if x.name == "a":
+                bits |= IN_LINK
+            elif x.name in ("p", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "figcaption"):
+                bits |= IN_PROSE
+            elif x.name in ("li", "dt", "dd"):
+                bits |= IN_LIST
+            out.append(bits)
+        return out
+
+
+def read(page: str) -> Page:
+    """All runs of words and tags in order, and the elements that they stand in."""
+    out = Page([], [Element("", 0)])
+    stack: list[tuple[str, int]] = []  # name, element
     at, n = 0, len(page)
 
-    def words(raw: str) -> None:
+    def words(raw: str, start: int) -> None:
         if raw:
-            _, noise, main = stack[-1] if stack else ("", False, False)
-            links = any(x[0] == "a" for x in stack[-4:])
-            kind = "noise" if noise else ("main" if main else "plain") + (" link" if links else "")
-            out.append((kind, html.unescape(raw) if "&" in raw else raw))
+            out.tokens.append((None, html.unescape(raw) if "&" in raw else raw, stack[-1][1] if stack else 0, start))
 
     def pop_to(i: int) -> None:
         del stack[i:]
@@ -93,17 +159,17 @@ def read(page: str):
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
-            words(page[at:])
+            words(page[at:], at)
             break
-        words(page[at : m.start()])
+        words(page[at : m.start()], at)
         at = m.end()
         if m[2] is None:
             if m[0].startswith("<![CDATA["):
-                words(html.escape(m[0][9:].removesuffix("]]>")))
+                words(html.escape(m[0][9:].removesuffix("]]>")), m.start())
             continue
         name, close = m[2].lower(), m[1]
         block = name not in INLINE
-        out.append((_tag_kind(name, close), "\n" if block else None))
+        out.tokens.append((_tag_kind(name, close), "\n" if block else None, stack[-1][1] if stack else 0, m.start()))
         if close:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
@@ -132,13 +198,8 @@ def read(page: str):
                         break
         if name == "body" and any(x[0] == "head" for x in stack):
             pop_to(next(i for i, x in enumerate(stack) if x[0] == "head"))
-        _, noise, main = stack[-1] if stack else ("", False, False)
-        marked, is_main = _marks(m[3]) if m[3] else (False, False)
-        if name in ("html", "body"):
-            marked = is_main = False
-        is_main |= name in MAIN
-        noise |= name in NOISE or (marked and name not in MAIN) or (name == "header" and not main)
-        stack.append((name, noise, main or is_main))
+        out.elements.append(Element(name, stack[-1][1] if stack else 0, _marks(m[3]) if m[3] else (False, False, False)))
+        stack.append((name, len(out.elements) - 1))
         if name in RAW and not m[0].endswith("/>"):
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(page, at)
             at = end.start() if end else n
@@ -155,6 +216,7 @@ def labelled_pages() -> list[list[tuple[bool, str]]]:
     adverts = ['<div class="ad">Buy two and get one free today only.</div>', "<aside><h3>Popular</h3><p>Ten things that you did not know.</p></aside>", "<div><a href='/x'>Sponsored: great offers here</a></div>"]
     ends = ["<footer>&copy; Some Site. All rights reserved.</footer>", "<div><p>Copyright Some Site</p><ul>" + links + "</ul></div>", '<div id="comments"><h3>2 comments</h3><p>I like this very much.</p><p>So do I, thank you.</p></div>']
     boxes = [("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ("<div>", "</div>"), ("<table><tr><td>", "</td></tr></table>")]
+    wraps = [("", ""), ('<div class="site has-sidebar">', "</div>"), ("<form>", "</form>"), ('<div class="wrap"><div class="row">', "</div></div>")]
     out = []
     for i in range(len(menus) * len(adverts) * len(ends) * len(boxes)):
         menu, i = menus[i % len(menus)], i // len(menus)
@@ -162,42 +224,54 @@ def labelled_pages() -> list[list[tuple[bool, str]]]:
         end, i = ends[i % len(ends)], i // len(ends)
         open_box, close_box = boxes[i]
         n = len(out)
+        open_wrap, close_wrap = wraps[n % len(wraps)]
         paragraphs = [" ".join((prose * 4)[: 6 + (7 * n + 31 * k) % 90]) for k in range(1 + n % 6)]
         content = "<h1>" + " ".join(prose[: 3 + n % 6]) + "</h1>" + "".join(f"<p>{p[:60]}<b>{p[60:70]}</b>{p[70:]}</p>" for p in paragraphs)
         if n % 2:
             content += '<p>It was <a href="/mill">the old mill</a> that we had seen first, long before the rain.</p>'
         if n % 3 == 0:
             content += "<ul><li>The first of them went home.</li><li>The others stayed for the night.</li></ul><h2>Later on</h2><p>Nobody came.</p>"
-        out.append([(False, f"<html><head><title>x</title></head><body>{menu}{advert}{open_box}"), (True, content), (False, f"{close_box}{end}</body></html>")])
+        if n % 5 == 0:
+            content += "Some of it stands in no paragraph, as the first pages had it.<br>They were short."
+        parts = [(False, f"<html><head><title>x</title></head><body>{open_wrap}{menu}{advert}{open_box}"), (True, content), (False, f"{close_box}{end}{close_wrap}</body></html>")]
+        if n % 4 == 1:  # an advert within the article
+            parts[2:2] = [(False, '<div class="ad-box">Get it while it lasts, only here.</div>'), (True, "<p>After that the night was quiet again.</p>")]
+        out.append(parts)
     return out
 
 
 @functools.cache
-def weights() -> dict[str, float]:
-    """A score for each kind of token: of words the log odds of content, of tags no more than a small negative value.
+def weights() -> tuple[tuple[float, ...], dict[str, float]]:
+    """(the score of a word for each set of features, the score of each kind of tag).
 
-    Each labelled page counts the same: its content's tokens sum to one, and so do the others.
+    A word's score is the log odds of content that logistic regression gives its features, a tag's the log of how much
+    more often it stands in content than outside, no more than a small negative value. Each page counts the same.
     """
+    rows, labels, shares = [], [], []
     inside, outside = Counter(), Counter()
     for parts in labelled_pages():
-        page = "".join(p for _, p in parts)
-        tokens, content = read(page), read("".join(p for is_content, p in parts if is_content))
-        lead = len(read(parts[0][1]))
-        for counter, rows in ((inside, tokens[lead : lead + len(content)]), (outside, tokens[:lead] + tokens[lead + len(content) :])):
-            for kind, text in rows:
-                if text is None or text == "\n":
-                    counter[f"<{kind}>"] += 1 / len(rows)
-                else:
-                    counter[kind] += len(text.split()) / len(rows)
+        page = read("".join(p for _, p in parts))
+        edges, at = [], 0
+        for content, part in parts:
+            edges += [content] * len(part)
+        bits, counts = page.features(), page.words()
+        total = sum(counts)
+        for (kind, _, e, at), n in zip(page.tokens, counts):
+            if kind:
+                (inside if edges[at] else outside)[kind] += 1 / len(page.tokens)
+            elif n and not bits[e] & IN_UNSEEN:
+                rows.append([1.0, *(float(bits[e] >> i & 1) for i in range(FEATURES))])
+                labels.append(edges[at])
+                shares.append(n / total)
+    x, y, share = np.array(rows), np.array(labels, float), np.array(shares)
+    w, ridge = np.zeros(x.shape[1]), np.diag([0.0, *[0.05] * FEATURES])
+    for _ in range(30):  # Newton's steps
+        p = 1 / (1 + np.exp(-x @ w))
+        w += np.linalg.solve((x * (share * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (share * (y - p)) - ridge @ w)
+    words = tuple(float(w[0] + sum(w[1 + i] for i in range(FEATURES) if bits >> i & 1)) for bits in range(1 << FEATURES))
     total_in, total_out = sum(inside.values()), sum(outside.values())
-    out = {}
-    for kind in {*inside, *outside, "plain", "plain link", "main", "main link", "noise"}:
-        odds = math.log((inside[kind] + 0.5) / (total_in + 1)) - math.log((outside[kind] + 0.5) / (total_out + 1))
-        out[kind] = min(-0.02, odds) if kind[0] == "<" else odds
-    out["main"], out["plain"] = max(out["main"], 0.5), max(out["plain"], 0.2)  # words in running text are evidence for content
-    out["main link"] = max(out["main link"], 0.1)
-    out["noise"] = min(out["noise"], -0.05)
-    return out
+    odds = {k: math.log((inside[k] + 0.5) / (total_in + 1)) - math.log((outside[k] + 0.5) / (total_out + 1)) for k in {*inside, *outside}}
+    return words, {k: min(-0.02, v) for k, v in odds.items()}
 
 
 def best_region(scores) -> tuple[int, int]:
@@ -212,15 +286,28 @@ def best_region(scores) -> tuple[int, int]:
     return region
 
 
-def main_text(page: str, score: dict[str, float] | None = None) -> str:
+def main_text(page: str, score: tuple | None = None) -> str:
     """The article: blocks joined by one space, white space within a block turned into one space."""
-    score = score or weights()
-    tokens = read(page)
-    values = [score.get(f"<{k}>", -0.02) if t is None or t == "\n" else len(t.split()) * score.get(k, 0.0) for k, t in tokens]
-    # what is marked as noise is left out anyway, so it can't outweigh the content around it
-    values = [max(v, -1.0) if k == "noise" else v for v, (k, _) in zip(values, tokens)]
+    of_words, of_tags = score or weights()
+    read_page = read(page)
+    tokens, elements = read_page.tokens, read_page.elements
+    bits, counts = read_page.features(), read_page.words()
+    values = [of_tags.get(kind, -0.02) if kind else 0.0 if bits[e] & IN_UNSEEN else n * of_words[bits[e] & FEATURES_MASK] for (kind, _, e, _), n in zip(tokens, counts)]
+    # an element whose words sum up below zero is cut; what holds it counts it as nothing
+    sums = [0.0] * len(elements)
+    for (kind, _, e, _), v in zip(tokens, values):
+        if not kind:
+            sums[e] += v
+    cut = [False] * len(elements)
+    for i in range(len(elements) - 1, 0, -1):
+        cut[i] = bool(bits[i] & IN_UNSEEN) or (sums[i] < 0 and elements[i].name not in INLINE)
+        if not cut[i]:
+            sums[elements[i].parent] += sums[i]
+    for i in range(1, len(elements)):
+        cut[i] |= cut[elements[i].parent]
+    values = [0.0 if not kind and cut[e] else v for (kind, _, e, _), v in zip(tokens, values)]
     start, end = best_region(values)
-    return " ".join("".join(t for k, t in tokens[start:end] if t is not None and k != "noise").split())
+    return " ".join("".join(t for kind, t, e, _ in tokens[start:end] if t is not None and (kind or not cut[e])).split())
 
 
 _OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])

@@ -153,11 +153,13 @@ def test_filter_returns_all_languages_of_each_gram():
 
 def test_a_cut_text_counts_like_a_whole_one(monkeypatch):
     fold = langid._fold()
-    text = "the quiet river ran past " * 400
-    whole = sorted(np.concatenate([k for k, _ in langid.grams([text], fold)]).tolist())
-    monkeypatch.setattr(langid, "CHUNK", 997)
-    cut = [t for part in langid._chunks([text]) for _, t in part]
-    assert len(cut) > 5 and abs(sum(len(k) for t in cut for k, _ in langid.grams([t], fold)) - len(whole)) < 6 * len(cut)
+    text = "the quiet, river -- ran past (an) old mill. " * 200 + " " * 3000 + "x" * 50
+    of = lambda rows: sorted((int(k), int(o)) for keys, own in langid.grams(rows, fold) for k, o in zip(keys, own))
+    rows = ["short one", text, "", "another", text[:1000]]
+    whole = of(rows)
+    for chunk in (997, 1001, 64, 7):
+        monkeypatch.setattr(langid, "CHUNK", chunk)
+        assert of(rows) == whole
 
 
 # ---------------------------------------------------------------- 4
@@ -169,7 +171,7 @@ def test_media_round_trip(spark, texts):
         whole = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
         r = rows[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(whole), hashlib.sha256(whole).hexdigest())
-        assert r.tail_crc32 == zlib.crc32(whole[-32:]) and r.frames == len(whole) // 576 and r.duration_s == pytest.approx(r.frames * 0.024)
+        assert r.tail_crc32 == zlib.crc32(whole[-32:]) and r.frames == len(whole) // 576 and r.duration_s == pytest.approx(r.frames * 0.024) and len(r.seek_offsets) == r.frames and (r.seek_offsets[0], r.seek_offsets[-1]) == (r.first_offset, r.last_offset)
         assert r.media_sha256 == hashlib.sha256(mpegaudio.store(whole)).hexdigest()
 
 
@@ -201,6 +203,57 @@ def test_headers_of_all_layers():
     assert mpegaudio.header_at(b"\xff\xe8\x90\x00", 0) is None
 
 
+def _frame(head, body=b"", protect=True):
+    """A frame with a right checksum."""
+    h = mpegaudio.header_at(bytes(head), 0)
+    body = body.ljust(h.length, b"\0")
+    crc = mpegaudio.checksum(bytes(head), body, mpegaudio.protected_bits(h, body))
+    return bytes(head) + (crc.to_bytes(2, "big") if protect else b"") + body[: h.length - 4 - 2 * protect]
+
+
+def test_checksums_of_all_layers():
+    r = np.random.default_rng(13)
+    for head in ([0xFF, 0xFE, 0x90, 0x00], [0xFF, 0xFE, 0x90, 0x60], [0xFF, 0xFE, 0x90, 0xC0], [0xFF, 0xFC, 0x90, 0x00], [0xFF, 0xFC, 0x94, 0x50], [0xFF, 0xFC, 0x18, 0xC0], [0xFF, 0xF4, 0x80, 0x00], [0xFF, 0xFA, 0x90, 0x40], [0xFF, 0xF2, 0x80, 0xC0]):
+        good = [_frame(head, r.bytes(60)) for _ in range(6)]
+        bad = bytearray(good[3])
+        bad[8] ^= 0x10  # an allocation or side bit
+        found = mpegaudio.parse(b"".join([*good[:3], bytes(bad), *good[4:]]))
+        assert (len(found.offsets), found.crc_right, found.crc_wrong) == (6, 5, 1), head
+    one = mpegaudio.header_at(bytes([0xFF, 0xFE, 0x90, 0x00]), 0)
+    assert mpegaudio.protected_bits(one, bytes(60)) == 256
+    two = mpegaudio.header_at(bytes([0xFF, 0xFC, 0xA4, 0x00]), 0)  # 192 kbit/s, 48 kHz, stereo: 27 subbands
+    assert mpegaudio.protected_bits(two, bytes(60)) == 2 * (11 * 4 + 12 * 3 + 4 * 2) and mpegaudio.protected_bits(two, b"\x11" * 60) > 176
+
+
+def test_tables_tags_and_gaps():
+    head = [0xFF, 0xFB, 0x90, 0x64]
+    plain = _frame(head, protect=False)
+    seek = bytes(range(100))
+    lame = b"LAME3.100" + bytes(12) + (576 << 12 | 1000).to_bytes(3, "big") + bytes(12)
+    xing = (plain[:36] + b"Xing" + (15).to_bytes(4, "big") + (5).to_bytes(4, "big") + (6 * 417).to_bytes(4, "big") + seek + (90).to_bytes(4, "big") + lame).ljust(417, b"\0")
+    found = mpegaudio.parse(xing + plain * 5)
+    assert (found.table["kind"], found.table["frames"], found.table["bytes"], found.table["seek"], found.table["quality"]) == ("Xing", 5, 2502, tuple(seek), 90)
+    assert (found.table["encoder"], found.table["delay"], found.table["padding"]) == ("LAME3.100", 576, 1000) and found.seconds == (5 * 1152 - 1576) / 44100
+    assert found.offsets.tolist() == [417 * i for i in range(1, 6)]
+    vbri = (plain[:36] + b"VBRI" + bytes(6) + (2502).to_bytes(4, "big") + (5).to_bytes(4, "big") + (5).to_bytes(2, "big") + (1).to_bytes(2, "big") + (2).to_bytes(2, "big") + bytes(2) + b"".join((417).to_bytes(2, "big") for _ in range(5))).ljust(417, b"\0")
+    found = mpegaudio.parse(vbri + plain * 5)
+    assert found.table == {"kind": "VBRI", "bytes": 2502, "frames": 5, "seek": (417,) * 5} and len(found.offsets) == 5
+    two = b"ID3\2\0\0" + bytes([0, 0, 0, 13]) + b"TT2" + (7).to_bytes(3, "big") + b"\0Title "
+    three = b"ID3\3\0\0" + bytes([0, 0, 0, 19]) + b"TPE1" + (9).to_bytes(4, "big") + b"\0\0" + b"\1" + "abc".encode("utf-16")
+    assert mpegaudio.parse(two + plain * 3).tags == {"TT2": "Title "} and len(mpegaudio.parse(two + plain * 3).offsets) == 3
+    assert mpegaudio.parse(three + plain * 3).tags == {"TPE1": "abc"} and len(mpegaudio.parse(three + plain * 3).offsets) == 3
+    item = b"APETAGEX" + (2000).to_bytes(4, "little") + (32 + 10).to_bytes(4, "little") + (1).to_bytes(4, "little") + bytes(4) + bytes(8)
+    found = mpegaudio.parse(plain * 3 + bytes(10) + item)
+    assert len(found.offsets) == 3 and found.skipped == 0 and found.tags["ape"] == "42"
+
+
+def test_frames_of_free_format():
+    head = bytes([0xFF, 0xFB, 0x00, 0x64])
+    data = (head + bytes(296)) * 7
+    found = mpegaudio.parse(data)
+    assert found.offsets.tolist() == [300 * i for i in range(7)] and found.samples == 7 * 1152 and found.skipped == 0
+
+
 # ---------------------------------------------------------------- 5
 
 def test_mix_equals_sql(spark, duck, rows_of):

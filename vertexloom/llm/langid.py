@@ -69,35 +69,57 @@ def _codes(rows: list[str], fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keep = np.r_[True, (codes[1:] != 32) | (codes[:-1] != 32)]
     first = np.r_[True, own[1:] != own[:-1]]
     keep |= first
-    return codes[keep].astype(np.uint64), own[keep]
+    return codes[keep], own[keep]
 
 
-def grams(rows: list[str], fold: np.ndarray):
-    """(n-grams as integers, their rows), for each order: spans of letters and single spaces within a row, with a letter each."""
-    codes, own = _codes(rows, fold)
-    for n in ORDERS:
-        if len(codes) < n:
-            continue
-        size = len(codes) - n + 1
-        out = np.zeros(size, np.uint64)
-        for i in range(n):
-            out = out * np.uint64(0x110000) + codes[i : i + size] if n < 4 else (out << np.uint64(16)) ^ codes[i : i + size]
-        inner = (own[:size] == own[n - 1 :]) & ~((codes[:size] == 32) & (codes[1 : size + 1] == 32))
-        yield (out * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n)).view(np.int64)[inner], own[:size][inner]
+def _long_codes(text: str, fold: np.ndarray) -> np.ndarray:
+    """The codes of one long row, as _codes() has them, made a part at a time."""
+    parts, last = [np.array([32], np.uint32)], 32
+    for at in range(0, len(text), CHUNK):
+        codes = fold[np.frombuffer(text[at : at + CHUNK].encode("utf-32-le", "surrogatepass"), np.uint32)]
+        before = np.r_[np.uint32(last), codes[:-1]]
+        last = codes[-1]
+        parts.append(codes[(codes != 32) | (before != 32)])
+    return np.concatenate([*parts, np.array([32] * int(last != 32), np.uint32)])
+
+
+def _parts(rows: list[str], fold: np.ndarray):
+    """(codes, their rows, places where n-grams may begin) of CHUNK characters or so; the n-grams of a long row are all in one part each."""
+    held, size = [], 0
 
+    def joined():
+        codes, own = _codes([rows[i] for i in held], fold)
+        return codes, np.array(held)[own], len(codes)
 
-def _chunks(rows: list[str]):
-    """Lists of (row, text) of CHUNK characters or so; a longer text is cut, with an overlap, and none is left out."""
-    part, size = [], 0
     for i, t in enumerate(rows):
-        for at in range(0, max(1, len(t)), CHUNK):
-            part.append((i, t[at : at + CHUNK + max(ORDERS) - 1]))
-            size += len(part[-1][1])
-            if size >= CHUNK:
-                yield part
-                part, size = [], 0
-    if part:
-        yield part
+        if len(t) > CHUNK:
+            codes, over = _long_codes(t, fold), max(ORDERS) - 1
+            for at in range(0, len(codes), CHUNK):
+                part = codes[at : at + CHUNK + over]
+                yield part, np.full(len(part), i), CHUNK
+            continue
+        held.append(i)
+        size += len(t)
+        if size >= CHUNK:
+            yield joined()
+            held, size = [], 0
+    if held:
+        yield joined()
+
+
+def grams(rows: list[str], fold: np.ndarray):
+    """(n-grams as integers, their rows), a part and an order at a time: spans of letters and single spaces within a row, with a letter each."""
+    for codes, own, begin in _parts(rows, fold):
+        codes = codes.astype(np.uint64)
+        for n in ORDERS:
+            size = min(begin, len(codes) - n + 1)
+            if size <= 0:
+                continue
+            out = np.zeros(size, np.uint64)
+            for i in range(n):
+                out = out * np.uint64(0x110000) + codes[i : i + size] if n < 4 else (out << np.uint64(16)) ^ codes[i : i + size]
+            inner = (own[:size] == own[n - 1 : n - 1 + size]) & ~((codes[:size] == 32) & (codes[1 : size + 1] == 32))
+            yield (out * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n)).view(np.int64)[inner], own[:size][inner]
 
 
 def _count(batches):
@@ -120,11 +142,10 @@ def _count(batches):
         for t, lang in zip(rows, langs):
             by.setdefault(lang, []).append(t)
         for lang, mine in by.items():
-            for part in _chunks(mine):
-                for keys, _ in grams([t for _, t in part], fold):
-                    keys, n = np.unique(keys, return_counts=True)
-                    held.setdefault(lang, []).append((keys, n))
-                    size += len(keys)
+            for keys, _ in grams(mine, fold):
+                keys, n = np.unique(keys, return_counts=True)
+                held.setdefault(lang, []).append((keys, n))
+                size += len(keys)
         if size > HELD:
             held = {lang: [(keys, n)] for lang, keys, n in merged()}
             size = sum(len(p[0][0]) for p in held.values())
@@ -176,7 +197,7 @@ def learn(docs: DataFrame) -> LanguageFilter:
     counts = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = written(counts, "grams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    shares = counts.join(F.broadcast(totals) if totals.count() < 10_000 else totals, "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("share")).where(F.col("share") >= MIN_SHARE)
+    shares = counts.join(totals, "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("share")).where(F.col("share") >= MIN_SHARE)
     best = shares.groupBy("gram").agg(F.max("share").alias("most"))
     held = shares.join(best, "gram").where(F.col("share") >= RELATIVE * F.col("most")).select("lang", "gram")
     sizes = {r.lang: r.total for r in totals.collect()}
@@ -188,14 +209,12 @@ def learn(docs: DataFrame) -> LanguageFilter:
 
 def _predict_rows(rows: list[str], f: LanguageFilter, fold: np.ndarray) -> tuple[list[str], list[float]]:
     hits, seen = np.zeros((len(rows), len(f.langs))), np.zeros(len(rows))
-    for part in _chunks(rows):
-        at = np.array([i for i, _ in part])
-        for keys, own in grams([t for _, t in part], fold):
-            own, masks = at[own], f.masks(keys)
-            seen += np.bincount(own, minlength=len(rows))
-            for i in range(len(f.langs)):
-                bit = (masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)
-                hits[:, i] += np.bincount(own, bit, len(rows))
+    for keys, own in grams(rows, fold):
+        masks = f.masks(keys)
+        seen += np.bincount(own, minlength=len(rows))
+        for i in range(len(f.langs)):
+            bit = (masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)
+            hits[:, i] += np.bincount(own, bit, len(rows))
     names, scores = [], []
     for t, h, n in zip(rows, hits, seen):
         if not f.langs or not any(map(str.isalpha, t)):

@@ -1,9 +1,9 @@
 """MPEG audio as media columns: frames, tags, variable-bitrate tables, checksums, durations and seek offsets.
 
-parse() reads MPEG-1, 2 and 2.5 audio of layers I to III: it skips and parses ID3v2, ID3v1 and
-APE tags, resynchronises on headers that the next header confirms, checks the CRC of protected
-frames, reads Xing, Info and VBRI tables, and gives exact durations in samples and the byte offset
-of every frame. store() and restore() keep any payload losslessly in the ancillary data of valid,
+parse() reads MPEG-1, 2 and 2.5 audio of layers I to III, free format too: it skips and parses
+ID3v2, ID3v1 and APE tags, resynchronises on headers that the next header confirms, checks the CRC
+of protected frames of all layers, reads Xing, Info and VBRI tables and the encoder's delay and
+padding, and gives exact durations in samples and the byte offset of every frame. store() and restore() keep any payload losslessly in the ancillary data of valid,
 silent Layer III frames, which every decoder skips.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +51,7 @@ class Header:
     samples: int
     length: int
     stream: int  # bits that all frames of a stream share
+    joint: int = -1  # where joint stereo begins, in fours of subbands less one; -1: nowhere
 
     @property
     def side(self) -> int:
@@ -59,17 +60,60 @@ class Header:
 
 
 def header_at(data: bytes, at: int) -> Header | None:
-    """The frame header at a position; None if there is none, or one of free format."""
+    """The frame header at a position; None if there is none. A frame of free format has bitrate 0 and, until free_length() finds it, length 0."""
     if at + 4 > len(data) or data[at] != 0xFF or data[at + 1] & 0xE0 != 0xE0:
         return None
     b1, b2, b3 = data[at + 1], data[at + 2], data[at + 3]
     version, layer, rate = b1 >> 3 & 3, 4 - (b1 >> 1 & 3), b2 >> 2 & 3
-    if version == 1 or layer == 4 or rate == 3 or b2 >> 4 in (0, 15) or b3 & 3 == 2:
+    if version == 1 or layer == 4 or rate == 3 or b2 >> 4 == 15 or b3 & 3 == 2:
         return None
     kbit, hertz, pad = BITRATES[version == 3, layer][b2 >> 4], RATES[version][rate], b2 >> 1 & 1
     samples = 384 if layer == 1 else 1152 if layer == 2 or version == 3 else 576
-    length = (12000 * kbit // hertz + pad) * 4 if layer == 1 else samples * 125 * kbit // hertz + pad
-    return Header(version, layer, not b1 & 1, kbit, hertz, b3 >> 6 == 3, samples, length, (b1 & 0xFE) << 8 | b2 & 0x0C)
+    length = 0 if not kbit else (12000 * kbit // hertz + pad) * 4 if layer == 1 else samples * 125 * kbit // hertz + pad
+    return Header(version, layer, not b1 & 1, kbit, hertz, b3 >> 6 == 3, samples, length, (b1 & 0xFE) << 8 | b2 & 0x0C, b3 >> 4 & 3 if b3 >> 6 == 1 else -1)
+
+
+def free_length(data: bytes, at: int, end: int, h: Header) -> int:
+    """The length of a frame of free format: up to the next header like it, or to the end."""
+    nxt = at + 4
+    while 0 <= (nxt := data.find(b"\xff", nxt, end)):
+        g = header_at(data, nxt)
+        if g is not None and g.stream == h.stream and not g.bitrate:
+            return nxt - at
+        nxt += 1
+    return end - at
+
+
+def _layer2_bits(h: Header) -> tuple[int, ...]:
+    """Bits of allocation of each subband in Layer II. Fixed values of the standards: runs of (subbands, bits)."""
+    each = h.bitrate // (1 if h.mono else 2)
+    if h.version != 3:
+        runs = ((4, 4), (7, 3), (19, 2))
+    elif h.bitrate and each <= 48:
+        runs = ((2, 4), (10, 3)) if h.rate == 32000 else ((2, 4), (6, 3))
+    elif h.rate == 48000 or (h.bitrate and each <= 80):
+        runs = ((11, 4), (12, 3), (4, 2))
+    else:
+        runs = ((11, 4), (12, 3), (7, 2))
+    return tuple(b for n, b in runs for _ in range(n))
+
+
+def protected_bits(h: Header, body: bytes) -> int:
+    """How many bits after header and checksum the checksum covers; body begins with them."""
+    if h.layer == 3:
+        return 8 * h.side
+    channels = 1 if h.mono else 2
+    widths = (4,) * 32 if h.layer == 1 else _layer2_bits(h)
+    bound = len(widths) if h.joint < 0 else min(len(widths), 4 * (h.joint + 1))
+    bits = sum(widths[:bound]) * channels + sum(widths[bound:])
+    if h.layer == 1:
+        return bits
+    value, at, chosen = int.from_bytes(body[: bits // 8 + 1].ljust(bits // 8 + 1, b"\0"), "big"), 8 * (bits // 8 + 1), 0
+    for n, width in enumerate(widths):  # two more bits for each channel of a subband that is used
+        for _ in range(channels if n < bound else 1):
+            at -= width
+            chosen += (value >> at & (1 << width) - 1 > 0) * (1 if n < bound else channels)
+    return bits + 2 * chosen
 
 
 def _crc_table() -> list[int]:
@@ -89,6 +133,15 @@ def crc16(data: bytes, table=_crc_table()) -> int:
     return r
 
 
+def checksum(head: bytes, body: bytes, bits: int) -> int:
+    """Of the last two bytes of a header and the first bits of what follows its checksum."""
+    r = crc16(head[2:4] + body[: bits // 8])
+    for i in range(bits // 8 * 8, bits):
+        bit = body[i // 8] >> 7 - i % 8 & 1 if i // 8 < len(body) else 0
+        r = (r << 1 & 0xFFFF) ^ (0x8005 if (r >> 15) ^ bit else 0)
+    return r
+
+
 @dataclass
 class Audio:
     offsets: np.ndarray  # of audio frames; a table frame is none
@@ -105,7 +158,9 @@ class Audio:
 
     @property
     def seconds(self) -> float:
-        return self.samples / self.rate if self.rate else 0.0
+        """Without what the encoder says that it put before and after."""
+        gap = sum((self.table or {}).get(k, 0) for k in ("delay", "padding"))
+        return max(0, self.samples - gap) / self.rate if self.rate else 0.0
 
 
 def _synchsafe(b: bytes) -> int:
@@ -159,6 +214,9 @@ def _table(data: bytes, at: int, h: Header) -> dict | None:
             if flags & bit and x + n <= len(data):
                 out[key] = tuple(data[x : x + n]) if n == 100 else struct.unpack(">I", data[x : x + 4])[0]
                 x += n
+        if x + 24 <= len(data) and data[x : x + 4] in (b"LAME", b"Lavc", b"Lavf", b"GOGO"):
+            both = int.from_bytes(data[x + 21 : x + 24], "big")
+            out |= {"encoder": data[x : x + 9].decode("latin-1").rstrip("\0 "), "delay": both >> 12, "padding": both & 0xFFF}
         return out
     x = at + 36
     if data[x : x + 4] == b"VBRI" and x + 26 <= len(data):
@@ -181,6 +239,8 @@ def parse(data: bytes) -> Audio:
     array = np.frombuffer(data, np.uint8)
     while at < end:
         h = header_at(data, at)
+        if h is not None and not h.bitrate:
+            h = replace(h, length=free_length(data, at, end, h))
         sound = h is not None and at + h.length <= end and (stream is None or h.stream == stream)
         if sound and (stream is None or lost):  # a header found by search counts only if the next place confirms it
             following = header_at(data, at + h.length) if at + h.length < end else h
@@ -207,12 +267,13 @@ def parse(data: bytes) -> Audio:
             most = (end - at) // h.length
             same = (array[at : at + most * h.length].reshape(most, h.length)[:, :4] == array[at : at + 4]).all(axis=1)
             n = most if same.all() else int(same.argmin())
-        if h.protected and (size := 2 + h.side if h.layer == 3 else 0):
-            rows = array[at : at + n * h.length].reshape(n, h.length)[:, 2 : 6 + h.side]
+        if h.protected:
+            reads = 6 + (h.side if h.layer == 3 else min(h.length - 6, 32 if h.layer == 1 else 48))
+            rows = array[at : at + n * h.length].reshape(n, h.length)[:, :reads]
             for raw, count in zip(*np.unique(rows, axis=0, return_counts=True)) if n < 64 or (rows != rows[0]).any() else [(rows[0], n)]:
                 key = raw.tobytes()
                 if key not in checked:
-                    checked[key] = crc16(key[:2] + key[4 : 2 + size]) == key[2] << 8 | key[3]
+                    checked[key] = checksum(key, key[6:], protected_bits(h, key[6:])) == key[4] << 8 | key[5]
                 right = checked[key]
                 out.crc_right += int(count) * right
                 out.crc_wrong += int(count) * (not right)
@@ -266,7 +327,7 @@ def restore(data: bytes, audio: Audio | None = None) -> bytes:
 
 
 def describe(audio: Audio) -> str:
-    """frames, samples, rate, right and wrong checksums (of Layer III; others aren't checked), resynchronisations, skipped bytes, the table's frames, a digest of the seek offsets."""
+    """frames, samples, rate, right and wrong checksums, resynchronisations, skipped bytes, the table's frames, a digest of the seek offsets."""
     seek = zlib.crc32(audio.offsets.astype("<i8").tobytes())
     return (
         f"frames={len(audio.offsets)};samples={audio.samples};rate={audio.rate};crc={audio.crc_right}/{audio.crc_wrong};"
@@ -276,7 +337,7 @@ def describe(audio: Audio) -> str:
 
 _OUT = pa.schema(
     [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64())]
-    + [("media_sha256", pa.string()), ("feature", pa.string()), ("frames", pa.int64()), ("duration_s", pa.float64()), ("first_offset", pa.int64()), ("last_offset", pa.int64())]
+    + [("media_sha256", pa.string()), ("feature", pa.string()), ("frames", pa.int64()), ("duration_s", pa.float64()), ("first_offset", pa.int64()), ("last_offset", pa.int64()), ("seek_offsets", pa.list_(pa.int64()))]
 )
 
 
@@ -297,7 +358,7 @@ def _features(batches):
             payload = restore(data, audio)
             rows.append(
                 (doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), describe(audio))
-                + (len(audio.offsets), audio.seconds, *map(int, audio.offsets[[0, -1]] if len(audio.offsets) else (-1, -1)))
+                + (len(audio.offsets), audio.seconds, *map(int, audio.offsets[[0, -1]] if len(audio.offsets) else (-1, -1)), audio.offsets)
             )
         if rows:
             yield batch(_OUT, *zip(*rows))
@@ -312,5 +373,5 @@ def media(docs: DataFrame) -> DataFrame:
 
 def features(stored: DataFrame) -> DataFrame:
     """What parse() finds in a media column (doc_id, n_bytes, media), and digests of the payload read back. Equal texts give equal values; an empty table gives an empty result."""
-    kinds = {pa.int64(): "long", pa.string(): "string", pa.float64(): "double"}
+    kinds = {pa.int64(): "long", pa.string(): "string", pa.float64(): "double", pa.list_(pa.int64()): "array<long>"}
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(_features, ", ".join(f"{f.name} {kinds[f.type]}" for f in _OUT))

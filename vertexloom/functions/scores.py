@@ -57,6 +57,6 @@ def quantised(value: Column, width: float) -> Column:
     return F.when(bad, F.raise_error(F.lit("a value to quantise is negative or not finite")).cast("long")).otherwise(F.floor(F.log(1 + value) / F.lit(float(width))).cast("long"))
 
 
-def profile_similarity(a: Column, b: Column, bins: int) -> Column:
-    """max(0, 1 - L1 / bins) of two arrays."""
-    return F.greatest(F.lit(0.0), 1 - F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / bins)
+def draw(*parts: Column) -> Column:
+    """A whole number from 0 to 2**32 - 1 that looks random and depends on parts only: the same in every engine that has MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws(",", *[x.cast("string") for x in parts])), 1, 8), 16, 10).cast("long")

@@ -53,6 +53,12 @@ def component_sizes(components: DataFrame, support: DataFrame) -> DataFrame:
     return sizes.join(edges, "component", "left").select("component", "sources", "targets", F.coalesce("edges", F.lit(0)).alias("edges"), (F.col("sources") <= F.col("targets")).alias("feasible"))
 
 
+def component_plan(sizes: DataFrame) -> DataFrame:
+    """component, edges, plan of component_sizes(): nothing to do where there is no source, infeasible where there are more sources than targets, else solve."""
+    plan = F.when(F.col("sources") == 0, "nothing").when(F.col("sources") > F.col("targets"), "infeasible").otherwise("solve")
+    return sizes.select("component", "sources", "targets", "edges", plan.alias("plan"))
+
+
 def _with_component(support: DataFrame, n_sources: int, n_targets: int) -> DataFrame:
     own = bipartite_components(support, n_sources, n_targets).where("side = 'source'").select(F.col("id").alias("source"), "component")
     return support.join(own, "source")
@@ -196,7 +202,10 @@ def _solve_group(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def assignment(costs: DataFrame, n_sources: int, n_targets: int) -> DataFrame:
     """source, target, cost, u, v for every source: a least-cost one-to-one assignment; nulls where a component has none, or a source no candidate."""
-    rows = _with_component(costs.select("source", "target", "cost"), n_sources, n_targets)
+    parts = written(bipartite_components(costs, n_sources, n_targets), "components")
+    plan = component_plan(component_sizes(parts, costs)).where("plan = 'solve'").select("component")
+    own = parts.where("side = 'source'").select(F.col("id").alias("source"), "component").join(plan, "component", "left_semi")
+    rows = costs.select("source", "target", "cost").join(own, "source")
     found = rows.groupBy("component").applyInPandas(_solve_group, "source long, target long, u double, v double")
     every = costs.sparkSession.range(n_sources).withColumnRenamed("id", "source")
     out = every.join(found, "source", "left").join(costs.select("source", "target", "cost"), ["source", "target"], "left")
@@ -229,3 +238,18 @@ def certificate(costs: DataFrame, assigned: DataFrame, tolerance: float = 1e-9)
         "sources", "matched", complete.alias("complete"), "one_to_one", F.round("primal", 6).alias("primal"), dual_ok.alias("dual_feasible"), (F.col("most_loose") <= tolerance).alias("tight"),
         (complete & F.col("one_to_one") & dual_ok & (F.col("most_loose") <= tolerance) & (gap <= limit + 1e-6)).alias("optimal"),
     )
+
+
+def zero_cost(costs: DataFrame, assigned: DataFrame) -> DataFrame:
+    """One row: least cost on the support, the assignment's total, and whether that alone proves it: no cost is negative, all are matched, the total is zero."""
+    one = costs.agg(F.min("cost").alias("least_cost"))
+    two = assigned.agg(F.count("*").alias("sources"), F.count("target").alias("matched"), F.coalesce(F.sum(F.col("cost").cast("decimal(28,9)")).cast("double"), F.lit(0.0)).alias("total"))
+    row = two.crossJoin(F.broadcast(one))  # one row each
+    return row.select(F.round("least_cost", 6).alias("least_cost"), F.round("total", 6).alias("total"), ((F.col("least_cost") >= 0) & (F.col("matched") == F.col("sources")) & (F.col("total") == 0)).alias("proved"))
+
+
+def greedy_rest(costs: DataFrame, taken: DataFrame, n_sources: int, n_targets: int) -> DataFrame:
+    """source, target: the pairs taken (greedily, say), and a least-cost assignment of the other sources to targets that are still free."""
+    rest = costs.join(taken.select("source"), "source", "left_anti").join(taken.select("target"), "target", "left_anti")
+    more = assignment(written(rest.select("source", "target", "cost"), "rest"), n_sources, n_targets).where("target is not null")
+    return taken.select("source", "target").unionByName(more.select("source", "target"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vertexloom.functions.scores import EPSILON, FEATURES, checked_weights, quantised, rank_key
+from vertexloom.functions.scores import EPSILON, FEATURES, checked_weights, cosine, dot, norm, quantised, rank_key
 from vertexloom.tables import written
 
 
@@ -21,45 +22,51 @@ def top(scored: DataFrame, k: int, key: str = "source") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k).select(key, "rank", "target", "similarity")
 
 
-#: Sources and targets that one task scores against each other, and sources at a time.
-SOURCE_BLOCK, TARGET_BLOCK, SOURCE_STEP = 2048, 32_768, 128
+#: Sources and targets that one task scores against each other at most, sources at a time, and sources that are worth a task of their own.
+SOURCE_BLOCK, TARGET_BLOCK, SOURCE_STEP, SOURCE_LEAST = 16_384, 32_768, 128, 512
+#: Scores so near the k-th of the rough product are scored again before they are ranked.
+MARGIN = 4e-9
 
 
-def _rounded(x: np.ndarray) -> np.ndarray:
-    return np.round(x, 9)
+def _unit(x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted norms, and rows of length one; zeros where the norm is zero."""
+    size = np.sqrt((x * x * w).sum(axis=1))
+    ok = size >= EPSILON
+    return size, x * np.sqrt(w) / np.where(ok, size, 1.0)[:, None] * ok[:, None]
 
 
 def _block_top(a: pd.DataFrame, b: pd.DataFrame, k: int, terms: list[tuple[str, float]], profile_weight: float) -> pd.DataFrame:
-    """The k best of the block's targets for each of its sources, by (similarity descending, target)."""
+    """The k best of the block's targets for each of its sources, by (similarity descending, target).
+
+    One matrix product of unit rows finds what can be among the best; only that is scored exactly and ranked.
+    """
     names, w = [f for f, _ in terms], np.array([w for _, w in terms])
     b = b.sort_values("target")
-    x, y, targets = a[names].to_numpy(float), b[names].to_numpy(float), b["target"].to_numpy()
+    x, y, targets, sources = a[names].to_numpy(float), b[names].to_numpy(float), b["target"].to_numpy(), a["source"].to_numpy()
     if not (np.isfinite(x).all() and np.isfinite(y).all()):
         raise ValueError("a feature isn't finite")
-    nx, ny = np.sqrt((x * x * w).sum(axis=1)), np.sqrt((y * y * w).sum(axis=1))
+    (nx, ux), (ny, uy) = _unit(x, w), _unit(y, w)
     px, py = (np.stack(t["profile"].to_numpy()) for t in (a, b)) if profile_weight else (None, None)
-    sources, out = a["source"].to_numpy(), []
+    out, turned = [], np.ascontiguousarray(uy.T)
     for at in range(0, len(x), SOURCE_STEP):
         part = slice(at, at + SOURCE_STEP)
-        size = nx[part, None] * ny[None, :]
-        value = (x[part] * w) @ y.T
-        np.divide(value, size, out=value, where=size >= EPSILON)
-        value[size < EPSILON] = 0.0
-        np.clip(value, -1.0, 1.0, out=value)
+        value = ux[part] @ turned
         if profile_weight:
             apart = sum(np.abs(px[part, i, None] - py[None, :, i]) for i in range(px.shape[1]))
             value += profile_weight * np.maximum(0.0, 1 - apart / px.shape[1])
-        key = _rounded(value)
         if len(targets) > k:
-            least = np.partition(key, len(targets) - k, axis=1)[:, len(targets) - k]
-            rows, columns = np.nonzero(key >= least[:, None])
+            least = np.partition(value, len(targets) - k, axis=1)[:, len(targets) - k]
+            rows, columns = np.nonzero(value >= (least - MARGIN)[:, None])
         else:
-            rows, columns = np.indices(key.shape).reshape(2, -1)
-        order = np.lexsort((columns, -key[rows, columns], rows))
-        rows, columns = rows[order], columns[order]
-        rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
-        rows, columns = rows[rank < k], columns[rank < k]
-        out.append(pd.DataFrame({"source": sources[part][rows], "target": targets[columns], "similarity": value[rows, columns]}))
+            rows, columns = np.indices(value.shape).reshape(2, -1)
+        one, size = rows + at, nx[rows + at] * ny[columns]
+        exact = np.clip(np.where(size >= EPSILON, (x[one] * w * y[columns]).sum(axis=1) / np.where(size >= EPSILON, size, 1.0), 0.0), -1.0, 1.0)
+        if profile_weight:
+            exact = exact + profile_weight * np.maximum(0.0, 1 - np.abs(px[one] - py[columns]).sum(axis=1) / px.shape[1])
+        order = np.lexsort((columns, -np.round(exact, 9), rows))
+        rows, columns, exact = rows[order], columns[order], exact[order]
+        keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+        out.append(pd.DataFrame({"source": sources[part][rows[keep]], "target": targets[columns[keep]], "similarity": exact[keep]}))
     return pd.concat(out) if out else pd.DataFrame({"source": [], "target": [], "similarity": []})
 
 
@@ -68,10 +75,13 @@ def _blocked(a: DataFrame, b: DataFrame, k: int, terms, profile_weight: float =
 
     A bucket's sources and targets are dealt into blocks of bounded size; each task scores a block of
     one against a block of the other as one matrix product and keeps k a source, and the blocks' best
-    meet in top(). So no task grows with a bucket, and pairs are never rows.
+    meet in top(). So no task grows with a bucket, and pairs are never rows. N sources and M targets
+    are shuffled M / TARGET_BLOCK and N / SOURCE_BLOCK times; few sources are dealt among all cores.
     """
-    counts = [rows.groupBy("bucket").agg(F.ceil(F.count("*") / size).alias(name)) for rows, size, name in ((a, SOURCE_BLOCK, "sn"), (b, TARGET_BLOCK, "tn"))]
-    blocks = counts[0].join(counts[1], "bucket")
+    cores = a.sparkSession.sparkContext.defaultParallelism
+    size = F.count("*")
+    sn = a.groupBy("bucket").agg(F.greatest(F.ceil(size / SOURCE_BLOCK), F.least(F.lit(cores).cast("long"), F.ceil(size / SOURCE_LEAST))).alias("sn"))
+    blocks = sn.join(b.groupBy("bucket").agg(F.ceil(size / TARGET_BLOCK).alias("tn")), "bucket")
     deal = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
     a = a.join(blocks, "bucket").withColumn("sb", deal("source", "sn")).withColumn("tb", every("tn")).drop("sn", "tn")
@@ -85,6 +95,20 @@ def _blocked(a: DataFrame, b: DataFrame, k: int, terms, profile_weight: float =
     return top(found, k)
 
 
+def strategy(n_sources: int, n_targets: int, k: int, index: bool) -> str:
+    """How candidates are chosen, for a report: what is scored, in how many blocks, and that the rank is a window over the blocks' best."""
+    return f"{'bucket index' if index else 'exhaustive'}, {max(1, -(-n_sources // SOURCE_BLOCK))} x {max(1, -(-n_targets // TARGET_BLOCK))} blocks, top {k} by partition and window"
+
+
+def pair_scores(source: DataFrame, target: DataFrame, pairs: DataFrame, mask=FEATURES, weights=None) -> DataFrame:
+    """source, target, similarity of given pairs."""
+    terms = checked_weights(mask, weights)
+    a = source.select(F.col("v").alias("source"), *[F.col(f).alias(f"a_{f}") for f in FEATURES])
+    b = target.select(F.col("v").alias("target"), *[F.col(f).alias(f"b_{f}") for f in FEATURES])
+    rows = pairs.select("source", "target").join(a, "source").join(b, "target")
+    return rows.select("source", "target", cosine(dot("a_", "b_", terms), norm("a_", terms), norm("b_", terms)).alias("similarity"))
+
+
 def _wide(rows: DataFrame, name: str, *more: str) -> DataFrame:
     extra = ["profile"] if "profile" in rows.columns else []
     return rows.select(*more, F.col("v").alias(name), *[F.col(c).alias(c) for c in (*FEATURES, *extra)])  # new columns: both sides may be one table
@@ -110,9 +134,10 @@ def select_top(pools: DataFrame, k: int) -> DataFrame:
 
 
 def chunk_top(pools: DataFrame, k: int, chunk: int = 256) -> DataFrame:
-    """The k best of each chunk of neighbouring targets (pool, chunk): what a partial pass keeps."""
+    """The k best of each chunk of places in a pool, which is in order of targets (pool, chunk): what a partial pass keeps."""
     order = Window.partitionBy("pool", "chunk").orderBy(rank_key(F.col("score")).desc(), "target")
-    rows = pools.withColumn("chunk", F.floor(F.col("target") / chunk)).withColumn("rank", F.row_number().over(order) - 1)
+    place = F.row_number().over(Window.partitionBy("pool").orderBy("target")) - 1
+    rows = pools.withColumn("chunk", F.floor(place / chunk)).withColumn("rank", F.row_number().over(order) - 1)
     return rows.where(F.col("rank") < k).select("pool", "chunk", "rank", "target", F.col("score").alias("similarity"))
 
 
@@ -125,8 +150,8 @@ class IndexConfig:
     multiplier: int = 4
 
     def __post_init__(self):
-        if not (self.degree_width > 0 and self.neighbor_width > 0 and 0 <= self.min_radius <= self.max_radius and self.multiplier >= 1):
-            raise ValueError("widths must be positive, 0 <= min_radius <= max_radius, multiplier >= 1")
+        if not (0 < self.degree_width < math.inf and 0 < self.neighbor_width < math.inf and 0 <= self.min_radius <= self.max_radius and self.multiplier >= 1):
+            raise ValueError("widths must be finite and positive, 0 <= min_radius <= max_radius, multiplier >= 1")
 
 
 def bucketed(raw: DataFrame, config: IndexConfig) -> DataFrame:
@@ -193,7 +218,9 @@ def indexed(source: DataFrame, target: DataFrame, source_raw: DataFrame, target_
 
 
 def index_report(plans: DataFrame, counts: DataFrame) -> DataFrame:
-    """One row: buckets, their least and most targets, pools, fallbacks, the largest radius, pairs scored."""
-    one = counts.agg(F.count("*").alias("buckets"), F.min("n").alias("least_targets"), F.max("n").alias("most_targets"))
-    two = plans.agg(F.min("pool").alias("pool_min"), F.round(F.avg("pool"), 4).alias("pool_mean"), F.max("pool").alias("pool_max"), F.count_if("fallback").alias("fallbacks"), F.max("radius").alias("max_radius"), F.sum("pool").alias("pairs_scored"))
-    return one.crossJoin(F.broadcast(two))
+    """One row: buckets, their least and most targets, pools, fallbacks, the largest radius, pairs scored. A source that falls back scores all targets."""
+    one = counts.agg(F.count("*").alias("buckets"), F.min("n").alias("least_targets"), F.max("n").alias("most_targets"), F.sum("n").alias("total"))
+    pool = F.when(F.col("fallback"), F.col("total")).otherwise(F.col("pool"))
+    rows = plans.crossJoin(F.broadcast(one)).withColumn("pool", pool)  # one row
+    two = rows.agg(F.min("pool").alias("pool_min"), F.round(F.avg("pool"), 4).alias("pool_mean"), F.max("pool").alias("pool_max"), F.count_if("fallback").alias("fallbacks"), F.max("radius").alias("max_radius"), F.sum("pool").alias("pairs_scored"))
+    return one.drop("total").crossJoin(F.broadcast(two))

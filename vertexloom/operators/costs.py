@@ -33,3 +33,8 @@ def by_target(table: DataFrame) -> DataFrame:
 
 def lookup(table: DataFrame, pairs: DataFrame, missing: float = 1e30) -> DataFrame:
     return pairs.join(table, ["source", "target"], "left").select("source", "target", F.coalesce("cost", F.lit(missing)).alias("cost"))
+
+
+def negated(candidates: DataFrame) -> DataFrame:
+    """source, target, cost: the score with its sign turned, as baselines take it."""
+    return candidates.select("source", "target", (-F.col("similarity")).alias("cost"))

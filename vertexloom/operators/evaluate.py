@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vertexloom.functions.scores import draw
 from vertexloom.operators.graph import Graph, mapped_edges
 
 #: Pairs up to which a signed-rank test without ties is exact.
@@ -37,13 +38,50 @@ def recall(candidates: DataFrame, truth: DataFrame) -> DataFrame:
     return found.agg(F.count("*").alias("vertices"), F.count("has").alias("found"), F.round(_share(F.count("has"), F.count("*")), 6).alias("recall"))
 
 
+def inverse(mapping: DataFrame) -> DataFrame:
+    """target as source, source as target; of sources with one target the last (greatest) stays. Unmatched sources have none."""
+    turned = mapping.where("target is not null").groupBy("target").agg(F.max("source").alias("source"))
+    return turned.select(F.col("target").alias("source"), F.col("source").alias("target"))
+
+
+def permutation(mapping: DataFrame, n: int) -> DataFrame:
+    """One row: whether mapping is a permutation of 0 to n - 1."""
+    inside = F.count_if(F.col("source").between(0, n - 1) & F.col("target").between(0, n - 1))
+    return mapping.agg(((inside == n) & (F.count("*") == n) & (F.count_distinct("source") == n) & (F.count_distinct("target") == n)).alias("permutation"))
+
+
+def truth_checks(truth: DataFrame, n_sources: int, n_targets: int) -> DataFrame:
+    """One row of counts of what a truth must not have: sources without a target, ids out of range, sources and targets that stand twice."""
+    sources = truth.groupBy("source").agg(F.count("*").alias("n"), F.count("target").alias("m"))
+    one = sources.agg(
+        (F.lit(n_sources).cast("long") - F.count_if(F.col("source").between(0, n_sources - 1) & (F.col("m") > 0))).alias("uncovered"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated_sources")
+    )
+    two = truth.where("target is not null").groupBy("target").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated_targets"))
+    three = truth.agg(F.count_if(~F.col("source").between(0, n_sources - 1) | ~F.col("target").between(0, n_targets - 1)).alias("out_of_range"))
+    return one.crossJoin(F.broadcast(two)).crossJoin(F.broadcast(three))  # one row each
+
+
 def preservation(one: Graph, two: Graph, mapping: DataFrame) -> DataFrame:
-    """One row: edges of either graph, those that mapping takes onto edges, shares in both directions, and the squared distance of the adjacency matrices."""
+    """One row: edges of either graph, those that mapping takes onto edges, shares in both directions, and the squared distance of the adjacency matrices.
+
+    forward counts edges of the first graph, backward the edges of the second one whose inverse
+    image is an edge, so that edges laid on each other count once there. The distance is null unless
+    the mapping is a permutation between vertex sets of one size.
+    """
     ok = mapping.where("target is not null")
     kept = mapped_edges(one.edges, ok).join(two.edges, ["u", "v"], "left_semi").agg(F.count("*").alias("kept"))
+    back = mapped_edges(two.edges, inverse(ok)).join(one.edges, ["u", "v"], "left_semi").agg(F.count("*").alias("kept_back"))
     a, b = one.edges.agg(F.count("*").alias("edges_a")), two.edges.agg(F.count("*").alias("edges_b"))
-    row = kept.crossJoin(F.broadcast(a)).crossJoin(F.broadcast(b))  # one row each
-    return row.select("edges_a", "edges_b", "kept", F.round(_share(F.col("kept"), F.col("edges_a")), 6).alias("forward"), F.round(_share(F.col("kept"), F.col("edges_b")), 6).alias("backward"), (2 * (F.col("edges_a") + F.col("edges_b") - 2 * F.col("kept"))).alias("qap_cost"))
+    n, m = one.vertices.agg(F.count("*").alias("n")), two.vertices.agg(F.count("*").alias("m"))
+    whole = ok.agg(F.count("*").alias("pairs"), F.count_distinct("source").alias("ss"), F.count_distinct("target").alias("ts"))
+    row = kept
+    for other in (back, a, b, n, m, whole):
+        row = row.crossJoin(F.broadcast(other))  # one row each
+    bijective = (F.col("n") == F.col("m")) & (F.col("pairs") == F.col("n")) & (F.col("ss") == F.col("n")) & (F.col("ts") == F.col("n"))
+    return row.select(
+        "edges_a", "edges_b", "kept", "kept_back", F.round(_share(F.col("kept"), F.col("edges_a")), 6).alias("forward"), F.round(_share(F.col("kept_back"), F.col("edges_b")), 6).alias("backward"),
+        F.when(bijective, 2 * (F.col("edges_a") + F.col("edges_b") - 2 * F.col("kept"))).alias("qap_cost"),
+    )
 
 
 def mapping_report(mapping: DataFrame, candidates: DataFrame, truth: DataFrame) -> DataFrame:
@@ -74,6 +112,43 @@ def compare_support(exact: DataFrame, other: DataFrame, truth: DataFrame, tolera
     return one.crossJoin(F.broadcast(two))
 
 
+def missing_from(exact: DataFrame, other: DataFrame, tolerance: float = 2e-6) -> DataFrame:
+    """source, target, similarity, strictly: pairs of the exact Top-K that another support lacks; strictly: better than all that it has for the source."""
+    best = other.groupBy("source").agg(F.max("similarity").alias("best"))
+    rows = exact.select("source", "target", "similarity").join(other.select("source", "target"), ["source", "target"], "left_anti").join(best, "source", "left")
+    return rows.select("source", "target", "similarity", F.coalesce(F.col("similarity") > F.col("best") + tolerance, F.lit(True)).alias("strictly"))
+
+
+def audit(candidates: DataFrame, following: DataFrame, truth_scores: DataFrame, k: int) -> DataFrame:
+    """One row: sources whose k-th and next score tie, true pairs that the candidates lack, how far below the k-th score they are, and the greatest error of a stored score.
+
+    following: the Top-(k + 1); truth_scores: source, target, similarity of the true pairs, scored apart.
+    """
+    cut = candidates.where(F.col("rank") == k - 1).select("source", F.col("similarity").alias("cut"))
+    rows = truth_scores.join(candidates.select("source", "target", F.col("similarity").alias("stored")), ["source", "target"], "left").join(cut, "source", "left")
+    gap = F.when(F.col("stored").isNull(), F.col("cut") - F.col("similarity"))
+    found = rows.agg(
+        F.count_if(F.col("stored").isNull()).alias("omitted"), F.round(F.min(gap), 6).alias("least_gap"), F.round(F.max(gap), 6).alias("most_gap"), F.count_if(F.abs(gap) < 5e-10).alias("omitted_by_tie"),
+        F.round(F.max(F.abs(F.col("stored") - F.col("similarity"))), 9).alias("score_error"),
+    )
+    return boundary_ties(candidates, following, k).crossJoin(F.broadcast(found))
+
+
+def fingerprint(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row: how many rows, and a digest of them that doesn't depend on their order."""
+    return rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(draw(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])), F.lit(0)).alias("digest"))
+
+
+def evaluation(one: Graph, two: Graph, mapping: DataFrame, candidates: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row of everything: the mapping against truth and graphs, recall of the candidates, digests of the inputs. Optimal descriptors don't prove a right correspondence."""
+    parts = [accuracy(mapping, truth), preservation(one, two, mapping), recall(candidates, truth).select(F.col("recall").alias("candidate_recall")), candidates.agg(F.count("*").alias("candidates"))]
+    parts += [fingerprint(rows, *names).select(F.col("digest").alias(f"digest_{what}")) for what, rows, names in (("source", one.edges, "uv"), ("target", two.edges, "uv"), ("mapping", mapping, ("source", "target")), ("truth", truth, ("source", "target")))]
+    row = parts[0]
+    for part in parts[1:]:
+        row = row.crossJoin(F.broadcast(part))  # one row each
+    return row
+
+
 def boundary_ties(candidates: DataFrame, scored_k_plus_one: DataFrame, k: int) -> DataFrame:
     """One row: sources, and those whose k-th and next score are equal."""
     last = candidates.where(F.col("rank") == k - 1).select("source", F.round("similarity", 9).alias("a"))
@@ -88,6 +163,14 @@ def summary(values: DataFrame, key: str, value: str) -> DataFrame:
     return values.groupBy(key).agg(F.count(value).alias("trials"), F.round(mean, 6).alias("mean"), F.round(F.stddev_samp(value), 4).alias("deviation"), F.min(value).alias("least"), F.max(value).alias("most"), exact(0.5).alias("median"), exact(0.95).alias("p95"), exact(0.99).alias("p99"))
 
 
+def ratios(values: DataFrame, key: str, value: str, base: str) -> DataFrame:
+    """key, mean, ratio to the base key's mean, speedup (its inverse); null where the divisor is zero or the base is missing."""
+    means = values.groupBy(key).agg((F.sum(F.col(value).cast("decimal(28,9)")).cast("double") / F.count(value)).alias("mean"))
+    of = means.where(F.col(key) == base).agg(F.first("mean").alias("base"))
+    over = lambda a, b: F.round(F.col(a) / F.nullif(F.col(b), F.lit(0.0)), 6)
+    return means.crossJoin(F.broadcast(of)).select(key, F.round("mean", 6).alias("mean"), over("mean", "base").alias("ratio"), over("base", "mean").alias("speedup"))  # one row
+
+
 def exact_p(statistic: float, n: int) -> float:
     """Two-sided chance of a rank sum this small or smaller, over all signs of the ranks 1 to n."""
     ways = [1] + [0] * (n * (n + 1) // 2)

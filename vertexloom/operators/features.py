@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,7 +61,9 @@ def moments(*sets: DataFrame) -> DataFrame:
 def normalised(features: DataFrame, by: DataFrame) -> DataFrame:
     """z-scores by one row of moments()."""
     rows = features.crossJoin(F.broadcast(by))
-    return rows.select("v", *[((F.col(f) - F.col(f"m_{f}")) / F.col(f"s_{f}")).alias(f) for f in FEATURES])
+    z = lambda f: (F.col(f) - F.col(f"m_{f}")) / F.col(f"s_{f}")
+    odd = lambda f: z(f).isNull() | F.isnan(z(f)) | (F.abs(z(f)) == float("inf"))
+    return rows.select("v", *[F.when(odd(f), F.raise_error(F.lit(f"{f} isn't finite")).cast("double")).otherwise(z(f)).alias(f) for f in FEATURES])
 
 
 def normalised_pair(source: DataFrame, target: DataFrame, mode: str = "joint") -> tuple[DataFrame, DataFrame]:
@@ -133,11 +136,57 @@ def core_numbers(graph: Graph) -> DataFrame:
         values = new.select("v", "core")
 
 
+def _scaled_rows(rows: DataFrame, names: list[str], scored: bool = True) -> DataFrame:
+    """v and names, z-scored if scored, each row then of length one."""
+    if scored:
+        stats = rows.agg(*[(_exact(F.col(c)) / F.count("*")).alias(f"m_{c}") for c in names])
+        spread = rows.crossJoin(F.broadcast(stats)).agg(*[F.sqrt(_exact((F.col(c) - F.col(f"m_{c}")) * (F.col(c) - F.col(f"m_{c}"))) / F.count("*")).alias(f"s_{c}") for c in names])  # one row
+        rows = rows.crossJoin(F.broadcast(stats)).crossJoin(F.broadcast(spread))
+        rows = rows.select("v", *[F.when(F.col(f"s_{c}") < EPSILON, 0.0).otherwise((F.col(c) - F.col(f"m_{c}")) / F.greatest(F.col(f"s_{c}"), F.lit(EPSILON))).alias(c) for c in names])
+    size = F.sqrt(sum((F.col(c) * F.col(c) for c in names), F.lit(0.0)))
+    return rows.select("v", *[(F.col(c) / F.greatest(size, F.lit(EPSILON))).alias(c) for c in names])
+
+
 def legacy(graph: Graph, rounds: int = 15) -> DataFrame:
     """v and five columns: degree, its square, walks of two steps, clustering, page rank; z-scored, then each row of length one."""
     rows = structural(graph).select("v", "degree", "degree_sq", "clustering").join(two_hop(graph).select("v", F.col("walks").cast("double").alias("walks")), "v").join(page_rank(graph, rounds), "v")
-    names = ["degree", "degree_sq", "walks", "clustering", "rank"]
-    stats = rows.agg(*[F.avg(c).alias(f"m_{c}") for c in names], *[F.stddev_pop(c).alias(f"s_{c}") for c in names])
-    z = rows.crossJoin(F.broadcast(stats)).select("v", *[F.when(F.col(f"s_{c}") < EPSILON, 0.0).otherwise((F.col(c) - F.col(f"m_{c}")) / F.greatest(F.col(f"s_{c}"), F.lit(EPSILON))).alias(c) for c in names])
-    size = F.sqrt(sum((F.col(c) * F.col(c) for c in names), F.lit(0.0)))
-    return z.select("v", *[(F.col(c) / F.greatest(size, F.lit(EPSILON))).alias(c) for c in names])
+    return _scaled_rows(rows, ["degree", "degree_sq", "walks", "clustering", "rank"])
+
+
+def parallel(graph: Graph) -> DataFrame:
+    """v and seven columns: degree over the greatest, clustering, mean neighbour degree, walks of two steps, triangles, greatest neighbour degree, core number; each row of length one."""
+    hops = two_hop(graph).select("v", F.col("walks").cast("double").alias("walks"), F.col("max_nd").cast("double").alias("max_nd"))
+    rows = structural(graph).select("v", "degree", "clustering", "avg_nd", "triangles").join(hops, "v").join(core_numbers(graph).select("v", F.col("core").cast("double").alias("core")), "v")
+    most = rows.agg(F.greatest(F.max("degree"), F.lit(1.0)).alias("most"))
+    rows = rows.crossJoin(F.broadcast(most)).withColumn("degree", F.col("degree") / F.col("most"))  # one row
+    return _scaled_rows(rows, ["degree", "clustering", "avg_nd", "walks", "triangles", "max_nd", "core"], scored=False)
+
+
+#: Vertices up to which eigenvectors are taken from a dense matrix in the driver.
+DENSE_VERTICES = 2000
+
+
+def eigenvectors(graph: Graph, count: int = 8) -> DataFrame:
+    """v, e1 to e8: the absolute entries of the eigenvectors of the greatest eigenvalues. Dense, so for graphs of up to DENSE_VERTICES vertices; larger ones raise."""
+    spark = graph.edges.sparkSession
+    ids = [r.v for r in graph.vertices.orderBy("v").limit(DENSE_VERTICES + 1).collect()]
+    if len(ids) > DENSE_VERTICES:
+        raise ValueError(f"eigenvectors are for graphs of up to {DENSE_VERTICES} vertices")
+    place, matrix = {v: i for i, v in enumerate(ids)}, np.zeros((len(ids), len(ids)))
+    for r in graph.edges.collect():
+        matrix[place[r.u], place[r.v]] = matrix[place[r.v], place[r.u]] = 1.0
+    values, vectors = np.linalg.eigh(matrix)
+    best = np.abs(vectors[:, np.argsort(-values)[:count]])
+    best = np.pad(best, ((0, 0), (0, count - best.shape[1])))
+    return spark.createDataFrame([(v, *map(float, row)) for v, row in zip(ids, best)], "v long, " + ", ".join(f"e{i + 1} double" for i in range(count)))
+
+
+def rich(graph: Graph, fast: bool = False, rounds: int = 15, eigen: int = 8) -> DataFrame:
+    """v and what the older extractors have: degree, its square, walks of two steps and those that come back, mean neighbour degree; unless fast also clustering, the neighbours' deviation, page rank and eigenvectors. z-scored, each row of length one."""
+    hops = two_hop(graph).select("v", F.col("walks").cast("double").alias("walks"), F.col("returns").cast("double").alias("returns"))
+    rows, names = structural(graph).join(hops, "v"), ["degree", "degree_sq", "walks", "returns", "avg_nd"]
+    if not fast:
+        rows, names = rows.join(page_rank(graph, rounds), "v"), [*names, "clustering", "nd_std", "rank"]
+        if eigen:
+            rows, names = rows.join(eigenvectors(graph, eigen), "v"), [*names, *(f"e{i + 1}" for i in range(eigen))]
+    return _scaled_rows(rows.select("v", *names), names)

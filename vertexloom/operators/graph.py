@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vertexloom.functions.scores import draw
 from vertexloom.tables import written
 
 
@@ -113,20 +114,43 @@ def clean_pairs(pairs: DataFrame) -> DataFrame:
 def paired(graph: Graph, noise: float, seed: int) -> tuple[Graph, DataFrame]:
     """A shuffled, noisy copy and its truth (source, target): noise of the edges go, as many edges that weren't there come.
 
-    Order is by hash of seed and id, so reruns agree; vertices must be dense from 0.
+    Order is by a hash of seed and id, so reruns agree; vertices must be dense from 0. A graph with
+    fewer free pairs than that gets all of them.
     """
     n, m = graph.vertices.count(), graph.edges.count()
-    _, order = relabelled_by(graph.vertices.select(F.col("v").alias("source")), F.xxhash64(F.lit(seed), "source"), "source")
-    truth = order
+    _, truth = relabelled_by(graph.vertices.select(F.col("v").alias("source")), draw(F.lit(seed), F.col("source")), "source")
     drop = int(m * noise)
-    _, ranks = relabelled_by(graph.edges, F.xxhash64(F.lit(seed + 1), "u", "v"), "u", "v")
+    _, ranks = relabelled_by(graph.edges, draw(F.lit(seed + 1), F.col("u"), F.col("v")), "u", "v")
     kept = ranks.where(F.col("target") >= drop).select("u", "v")
-    spark = graph.edges.sparkSession
-    fresh = spark.range(4 * drop + 16).select((F.pmod(F.xxhash64(F.lit(seed + 2), "id"), F.lit(n))).alias("a"), (F.pmod(F.xxhash64(F.lit(seed + 3), "id"), F.lit(n))).alias("b"), "id")
-    fresh = fresh.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), "id").groupBy("u", "v").agg(F.min("id").alias("id"))
-    fresh = fresh.join(graph.edges, ["u", "v"], "left_anti").orderBy("id").limit(drop).select("u", "v")
-    target = Graph(graph.vertices, mapped_edges(written(kept.unionByName(fresh), "noisy"), truth))
-    return target, truth
+    fresh = _first_edges(graph.edges.sparkSession, n, min(drop, n * (n - 1) // 2 - m), seed + 2, graph.edges)
+    return Graph(graph.vertices, mapped_edges(written(kept.unionByName(fresh), "noisy"), truth)), truth
+
+
+def variants(graph: Graph, noises: tuple[float, ...], seeds: tuple[int, ...] = (11, 22, 33)) -> dict[tuple[int, float], tuple[Graph, DataFrame]]:
+    """paired() for every seed and noise."""
+    if any(not 0 <= x <= 1 for x in noises):
+        raise ValueError("noise must be between 0 and 1")
+    return {(seed, noise): paired(graph, noise, seed) for noise in noises for seed in seeds}
+
+
+def _first_edges(spark: SparkSession, n: int, m: int, seed: int, without: DataFrame | None = None) -> DataFrame:
+    """The first m distinct edges of an endless row of random pairs, but for those of without; more are drawn until they suffice."""
+    factor = 4
+    while True:
+        ids = spark.range(factor * m + 16)
+        pairs = ids.select("id", (draw(F.lit(seed), F.col("id")) % n).alias("a"), (draw(F.lit(seed + 1), F.col("id")) % n).alias("b"))
+        found = clean_pairs_with_id(pairs)
+        found = found if without is None else found.join(without, ["u", "v"], "left_anti")
+        found = written(found, "drawn")
+        if m <= 0 or found.count() >= m:
+            return _first(found, m)
+        factor *= 4
+
+
+def _first(found: DataFrame, m: int) -> DataFrame:
+    """The m rows (u, v, id) of smallest id."""
+    _, ranks = relabelled_by(found, F.col("id"), "u", "v")
+    return ranks.where(F.col("target") < m).select("u", "v")
 
 
 def relabelled_by(rows: DataFrame, key: Column, *columns: str) -> tuple[DataFrame, DataFrame]:
@@ -152,45 +176,63 @@ def toy_pair(spark: SparkSession) -> tuple[Graph, Graph, DataFrame]:
 
 # ---------------------------------------------------------------- generators
 
-def _unit(*columns) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(1 << 30)).cast("double") / (1 << 30)
+def _unit(*parts: Column) -> Column:
+    return draw(*parts) / 4294967296.0
 
 
 def random_edges(spark: SparkSession, n: int, m: int, seed: int) -> Graph:
-    """m distinct edges at random; draws three times as many pairs, and more while they don't suffice."""
-    m, factor = min(m, n * (n - 1) // 2), 3
-    while True:
-        draws = spark.range(factor * m + 64).select("id", *[F.pmod(F.xxhash64(F.lit(seed + k), "id"), F.lit(n)).alias(c) for k, c in enumerate("ab")])
-        found = clean_pairs_with_id(draws)
-        if found.count() >= m or factor > 1000:
-            return Graph(spark.range(n).withColumnRenamed("id", "v"), written(found.orderBy("id").limit(m).select("u", "v"), "random"))
-        factor *= 3
+    """m distinct edges at random, or all that there are."""
+    return Graph(spark.range(n).withColumnRenamed("id", "v"), written(_first_edges(spark, n, min(m, n * (n - 1) // 2), seed), "random"))
 
 
 def clean_pairs_with_id(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), "id").groupBy("u", "v").agg(F.min("id").alias("id"))
 
 
-def rmat(spark: SparkSession, scale: int, edge_factor: int = 16, seed: int = 1, a: float = 0.57, b: float = 0.19, c: float = 0.19) -> Graph:
-    """A Kronecker graph of 2**scale vertices: each edge chooses a quadrant at every level."""
+def rmat(spark: SparkSession, scale: int, edge_factor: int = 16, seed: int = 1, a: float = 0.57, b: float = 0.19, c: float = 0.19, most_draws: int = 64) -> Graph:
+    """A Kronecker graph of 2**scale vertices and edge_factor edges a vertex: each edge chooses a quadrant at every level.
+
+    Pairs are drawn until there are as many distinct edges, or most_draws times as many pairs, as the densest corner may run out of pairs.
+    """
+    m, factor = edge_factor << scale, 2
     u, v = F.lit(0).cast("long"), F.lit(0).cast("long")
     for level in range(scale):
-        r = _unit(F.lit(seed), F.lit(level), "id")
+        r = _unit(F.lit(seed), F.lit(level), F.col("id"))
         down, right = (r >= a + b).cast("long"), (((r >= a) & (r < a + b)) | (r >= a + b + c)).cast("long")
         u, v = u * 2 + down, v * 2 + right
-    pairs = spark.range(edge_factor << scale).select(u.alias("u"), v.alias("v"))
-    return Graph(spark.range(1 << scale).withColumnRenamed("id", "v"), clean_edges(pairs))
+    while True:
+        found = written(clean_pairs_with_id(spark.range(factor * m).select(u.alias("a"), v.alias("b"), "id")), "drawn")
+        if found.count() >= m or factor >= most_draws:
+            return Graph(spark.range(1 << scale).withColumnRenamed("id", "v"), _first(found, m))
+        factor *= 2
 
 
 def block_model(spark: SparkSession, sizes: list[int], within: float, between: float, seed: int = 1) -> Graph:
-    """Vertices in blocks; an edge with one chance inside a block and another across. All pairs are drawn, so for small graphs."""
-    n, cuts = sum(sizes), []
-    for s in sizes:
-        cuts.append((cuts[-1] if cuts else 0) + s)
-    block = lambda c: sum((F.col(c) >= cut).cast("int") for cut in cuts)
-    pairs = spark.range(n * n).select(F.floor(F.col("id") / n).alias("u"), (F.col("id") % n).alias("v")).where("u < v")
-    chance = F.when(block("u") == block("v"), within).otherwise(between)
-    return Graph(spark.range(n).withColumnRenamed("id", "v"), pairs.where(_unit(F.lit(seed), "u", "v") < chance))
+    """Vertices in blocks; edges as many as expected of one chance inside a block and another across, drawn block pair by block pair, so no pair but an edge is made."""
+    starts = [sum(sizes[:i]) for i in range(len(sizes))]
+    edges = spark.createDataFrame([], "u long, v long")
+    for i, a in enumerate(sizes):
+        for j, b in enumerate(sizes[i:], i):
+            of = seed * 1_000_003 + 2 * (i * len(sizes) + j)
+            room = a * (a - 1) // 2 if i == j else a * b
+            m = round(room * (within if i == j else between))
+            if i == j:
+                part = _first_edges(spark, a, m, of)
+            else:
+                part = _first_across(spark, a, b, m, of)
+            edges = edges.unionByName(part.select((F.col("u") + starts[i]).alias("u"), (F.col("v") + starts[j]).alias("v")))
+    return Graph(spark.range(sum(sizes)).withColumnRenamed("id", "v"), edges)
+
+
+def _first_across(spark: SparkSession, a: int, b: int, m: int, seed: int) -> DataFrame:
+    """The first m distinct pairs of one of a and one of b."""
+    factor = 4
+    while True:
+        pairs = spark.range(factor * m + 16).select("id", (draw(F.lit(seed), F.col("id")) % a).alias("u"), (draw(F.lit(seed + 1), F.col("id")) % b).alias("v"))
+        found = written(pairs.groupBy("u", "v").agg(F.min("id").alias("id")), "drawn")
+        if found.count() >= m:
+            return _first(found, m)
+        factor *= 4
 
 
 def preferential(spark: SparkSession, n: int, m: int, seed: int = 1) -> Graph:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import random
 import time
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vertexloom.operators.assign import solve
+from vertexloom.operators.assign import assignment
 from vertexloom.operators.graph import Graph
 from vertexloom.tables import written
 
@@ -20,16 +21,23 @@ def _log_sum(rows: DataFrame, key: str, value: str, out: str) -> DataFrame:
     return near.groupBy(key).agg((F.first("most") + F.log(F.sum("e").cast("double"))).alias(out))
 
 
-def sinkhorn(costs: DataFrame, epsilon: float = 0.1, rounds: int = 500, tolerance: float = 1e-3) -> tuple[DataFrame, dict]:
+def sinkhorn(costs: DataFrame, epsilon: float = 0.1, rounds: int = 500, tolerance: float = 1e-3, n: int | None = None) -> tuple[DataFrame, dict]:
     """(source, target, probability) with sources and targets scaled to sum to one, in turn, in the log domain; and diagnostics.
 
-    Each round is written, and one number reaches the driver. Status: converged, round_limit, or
-    not_square where there are not as many targets as sources.
+    Each round is written, and one number reaches the driver. Status: converged, round_limit,
+    not_square (another number of targets than of sources), invalid_support (with n: a source or
+    target without a candidate), numerical_failure (a cost, or a sum, isn't finite). The logits
+    themselves are scaled, from their greatest down, so there are no potentials that could drift.
     """
     rows = written(costs.select("source", "target", (-F.col("cost") / epsilon).alias("logit")), "logits")
-    n, m = rows.select("source").distinct().count(), rows.select("target").distinct().count()
-    if n != m:
-        return rows.select("source", "target", F.lit(None).cast("double").alias("probability")).limit(0), {"status": "not_square", "rounds": 0}
+    none = rows.select("source", "target", F.lit(None).cast("double").alias("probability")).limit(0)
+    sizes = rows.agg(F.count_distinct("source").alias("a"), F.count_distinct("target").alias("b"), F.count_if(F.col("logit").isNull() | F.isnan("logit") | (F.abs("logit") == float("inf"))).alias("odd")).first()
+    if sizes.odd:
+        return none, {"status": "numerical_failure", "rounds": 0}
+    if n is not None and (sizes.a != n or sizes.b != n):
+        return none, {"status": "invalid_support", "rounds": 0}
+    if sizes.a != sizes.b:
+        return none, {"status": "not_square", "rounds": 0}
     error, done = float("inf"), 0
     while done < rounds and error > tolerance:
         by_source = _log_sum(rows, "source", "logit", "f")
@@ -39,6 +47,8 @@ def sinkhorn(costs: DataFrame, epsilon: float = 0.1, rounds: int = 500, toleranc
         done += 1
         sums = rows.groupBy("source").agg(F.sum(F.exp("logit")).alias("s"))
         error = sums.agg(F.max(F.abs(F.col("s") - 1))).first()[0] or 0.0
+        if not math.isfinite(error):
+            return none, {"status": "numerical_failure", "rounds": done}
     return rows.select("source", "target", F.exp("logit").alias("probability")), {"status": "converged" if error <= tolerance else "round_limit", "rounds": done, "error": error}
 
 
@@ -82,42 +92,45 @@ def greedy(scores: DataFrame, value: str = "similarity") -> DataFrame:
         left = written(left.join(now.select("source"), "source", "left_anti").join(now.select("target"), "target", "left_anti"), "left")
 
 
-def reduced_assignment(scores: DataFrame, pairs: DataFrame, tau: float, most_rows: int = 500) -> DataFrame:
-    """source, target: the greedy pairs of value tau or more, and the best assignment of the other sources to free targets.
+def reduced_assignment(scores: DataFrame, pairs: DataFrame, tau: float, ambiguous: str = "low", exact: bool = True) -> DataFrame:
+    """source, target: the greedy pairs that are sure, and an assignment of the ambiguous sources to targets that are still free.
 
-    The rest is solved exactly in the driver, where no more than most_rows sources are left; beyond that the greedy pairs stay.
+    ambiguous: "low", sources that are unmatched or matched below tau; "unmatched", only those without
+    a pair. exact: a least-cost assignment, by components at any size, of as many of them as a maximum
+    matching has; else greedy pairs again.
     """
-    sure = written(pairs.where(F.col("value") >= tau).select("source", "target"), "sure")
-    rest = scores.join(sure.select("source"), "source", "left_anti").join(sure.select("target"), "target", "left_anti")
-    unsure = pairs.where(F.col("value") < tau).select("source", "target")
-    if rest.select("source").distinct().count() > most_rows:
-        return sure.unionByName(unsure)
-    rows: dict[int, list[tuple[int, float]]] = {}
-    for r in rest.select("source", "target", "similarity").collect():
-        rows.setdefault(r.source, []).append((r.target, -r.similarity))
-    for s, row in rows.items():  # a private, dear place for each, so that there always is an assignment
-        row.append((-1 - s, 1e6))
-        row.sort()
-    mate, _, _ = solve(rows) if rows else ({}, {}, {})
-    more = [(s, t) for s, t in mate.items() if t >= 0]
-    return sure.unionByName(scores.sparkSession.createDataFrame(more, "source long, target long"))
-
-
-def soft_match(one: Graph, two: Graph, candidates: DataFrame, rounds: int = 3, scaling: int = 5, tau: float = 0.5) -> DataFrame:
+    if ambiguous not in ("low", "unmatched"):
+        raise ValueError(f"unknown choice of ambiguous sources: {ambiguous}")
+    sure = written((pairs.where(F.col("value") >= tau) if ambiguous == "low" else pairs).select("source", "target"), "sure")
+    rest = written(scores.join(sure.select("source"), "source", "left_anti").join(sure.select("target"), "target", "left_anti").select("source", "target", "similarity"), "rest")
+    if not exact:
+        return sure.unionByName(greedy(rest).select("source", "target"))
+    ends = rest.agg(F.max("source"), F.max("target")).first()
+    if ends[0] is None:
+        return sure
+    n, m = ends[0] + 1, ends[1] + 1
+    # a private, dear place for each source, so that there always is an assignment
+    rows = rest.select("source", "target", (-F.col("similarity")).alias("cost")).unionByName(rest.select("source").distinct().select("source", (F.col("source") + m).alias("target"), F.lit(1e6).alias("cost")))
+    return sure.unionByName(assignment(written(rows, "rest-costs"), n, m + n).where(F.col("target") < m).select("source", "target"))
+
+
+def soft_match(one: Graph, two: Graph, candidates: DataFrame, rounds: int = 3, scaling: int = 5, tau: float = 0.5, epsilon: float = 0.1) -> DataFrame:
     """source, target: candidates' scores scaled, mixed with neighbourhood consistency, again and again; then greedy pairs and the reduced assignment."""
     scores = candidates.select("source", "target", "similarity")
     for _ in range(rounds):
-        shares, _ = scaled_rounds(scores, scaling)
+        shares, _ = scaled_rounds(scores, scaling, epsilon)
         scores = written(mixed(scores, consistency(shares, one, two), scaled=True), "mixed")
     return reduced_assignment(scores, greedy(scores), tau)
 
 
-def scaled_rounds(scores: DataFrame, rounds: int, epsilon: float = 0.1) -> tuple[DataFrame, int]:
-    """source, target, probability after a fixed number of scalings by source and target; any shape."""
-    rows = scores.select("source", "target", (F.col("similarity") / epsilon).alias("logit"))
+def scaled_rounds(scores: DataFrame, rounds: int, epsilon: float = 0.1, last: str = "target") -> tuple[DataFrame, int]:
+    """source, target, probability after a fixed number of scalings by source and target, in the order that ends with last; any shape."""
+    if last not in ("source", "target"):
+        raise ValueError(f"scaling ends with source or target, not {last}")
+    rows, first = scores.select("source", "target", (F.col("similarity") / epsilon).alias("logit")), "source" if last == "target" else "target"
     for _ in range(rounds):
-        rows = rows.join(_log_sum(rows, "source", "logit", "f"), "source").select("source", "target", (F.col("logit") - F.col("f")).alias("logit"))
-        rows = written(rows.join(_log_sum(rows, "target", "logit", "g"), "target").select("source", "target", (F.col("logit") - F.col("g")).alias("logit")), "scaled")
+        rows = rows.join(_log_sum(rows, first, "logit", "f"), first).select("source", "target", (F.col("logit") - F.col("f")).alias("logit"))
+        rows = written(rows.join(_log_sum(rows, last, "logit", "g"), last).select("source", "target", (F.col("logit") - F.col("g")).alias("logit")), "scaled")
     return rows.select("source", "target", F.exp("logit").alias("probability")), rounds
 
 

@@ -28,6 +28,25 @@ class MatchConfig:
     confidences: bool = False
 
 
+@dataclass(frozen=True)
+class SoftConfig:
+    """Settings of the soft matching."""
+
+    k: int = 32
+    scaling: int = 50
+    rounds: int = 5
+    epsilon: float = 0.05
+    tau: float = 0.5
+
+
+#: Settings for an answer at once, soon, and as good as can be.
+PRESETS = {
+    "realtime": SoftConfig(k=8, scaling=10, rounds=1, epsilon=0.1, tau=0.3),
+    "interactive": SoftConfig(k=16, scaling=20, rounds=2, epsilon=0.08),
+    "batch": SoftConfig(k=32, scaling=50, rounds=5),
+}
+
+
 @dataclass
 class MatchResult:
     candidates: DataFrame
@@ -60,11 +79,18 @@ def find_candidates(one: Prepared, two: Prepared, config: MatchConfig) -> DataFr
     return candidates.exhaustive(a, b, config.k, config.mask, config.weights, config.profile_weight, config.bins)
 
 
+def match_softly(one: Prepared, two: Prepared, mode: str | SoftConfig = "batch") -> DataFrame:
+    """source, target by the soft matching with a preset or settings of one's own."""
+    config = PRESETS[mode] if isinstance(mode, str) else mode
+    found = written(find_candidates(one, two, MatchConfig(k=min(config.k, two.graph.vertices.count()))), "candidates")
+    return soft.soft_match(one.graph, two.graph, found, config.rounds, config.scaling, config.tau, config.epsilon)
+
+
 def match(one: Prepared, two: Prepared, config: MatchConfig = MatchConfig()) -> MatchResult:
     """Vertices of both graphs are dense from 0. Status: optimal, or infeasible where the support has no complete assignment."""
     n, m = one.graph.vertices.count(), two.graph.vertices.count()
     found = written(find_candidates(one, two, config), "candidates")
-    notes: dict = {}
+    notes: dict = {"strategy": candidates.strategy(n, m, config.k, config.index is not None)}
     if config.repair:
         a, b = features.normalised_pair(one.raw, two.raw, config.normalisation)
         a, b = written(a, "z-source"), written(b, "z-target")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vertexloom.operators.assign import connected
-from vertexloom.operators.graph import Graph, build, clean_edges, relabelled
+from vertexloom.operators.graph import Graph, build, clean_edges, relabelled, variants
 
 CANDIDATES = "source long, rank int, target long, similarity double"
 ASSIGNMENT = "source long, target long, cost double"
@@ -99,21 +101,89 @@ def write_assignment(assigned: DataFrame, path: str) -> None:
     write_csv(assigned.select("source", F.coalesce("target", F.lit(-1)).alias("target"), F.coalesce("cost", F.lit(-1.0)).alias("cost")), path, "source")
 
 
+def write_matching(found: DataFrame, path: str) -> None:
+    """Unmatched sources have target -1."""
+    write_csv(found.select("source", F.coalesce("target", F.lit(-1)).alias("target")), path, "source")
+
+
+def write_candidates(candidates: DataFrame, path: str) -> None:
+    write_csv(candidates.select("source", "rank", "target", "similarity"), path, "source", "rank")
+
+
+def write_costs(costs: DataFrame, path: str) -> None:
+    """Rows in order of source and target: a sparse matrix by rows."""
+    write_csv(costs.select("source", "target", "cost"), path, "source", "target")
+
+
+def write_confidences(shares: DataFrame, path: str) -> None:
+    write_csv(shares.select("source", "target", "probability"), path, "source", "target")
+
+
 def metrics_json(metrics: dict) -> str:
     """One document; what wasn't measured is null, not zero."""
     return json.dumps(metrics, sort_keys=True, indent=2)
 
 
+class Stages:
+    """Seconds and counts of the stages of a run, for one document."""
+
+    def __init__(self):
+        self.stages: list[dict] = []
+
+    @contextlib.contextmanager
+    def stage(self, name: str, **counts):
+        began = time.perf_counter()
+        row = {"stage": name, "seconds": None, **counts}
+        self.stages.append(row)
+        yield row
+        row["seconds"] = round(time.perf_counter() - began, 6)
+
+    def document(self, **more) -> str:
+        """A stage that failed has null seconds; total counts the others."""
+        return metrics_json({"stages": self.stages, "total_seconds": round(sum(s["seconds"] or 0.0 for s in self.stages), 6), **more})
+
+
+def read_support(spark: SparkSession, path: str, n_sources: int, n_targets: int) -> DataFrame:
+    """source, target of a candidates file, checked like read_candidates."""
+    return read_candidates(spark, path, n_sources, n_targets).select("source", "target")
+
+
+def write_pairs(graph: Graph, mapping: DataFrame, folder: str, label: str, noises: tuple[float, ...] = (0.0,), seeds: tuple[int, ...] = (11, 22, 33)) -> dict:
+    """A cleaned graph, its id mapping and its shuffled copies with their truths, in folders by seed and noise; and the manifest that is written beside them."""
+    spark = graph.edges.sparkSession
+    write_graph(graph, f"{folder}/G.graph")
+    write_csv(mapping.select(F.col("original").alias("original_file_id"), F.col("v").alias("internal_id")), f"{folder}/original_id_mapping.csv", "internal_id")
+    rows = []
+    for (seed, noise), (target, truth) in variants(graph, noises, seeds).items():
+        at = f"seed_{seed}/noise_{round(100 * noise):02d}"
+        write_graph(target, f"{folder}/{at}/target.graph")
+        write_csv(truth.select(F.col("source").alias("source_vertex"), F.col("target").alias("target_vertex")), f"{folder}/{at}/ground_truth.csv", "source_vertex")
+        rows.append({"folder": at, "seed": seed, "edge_noise": noise, "target_edges": target.edges.count(), "matcher_inputs": ["G.graph", f"{at}/target.graph"], "evaluation_only": [f"{at}/ground_truth.csv"]})
+    manifest = {"dataset": label, "num_vertices": graph.vertices.count(), "num_undirected_edges": graph.edges.count(), "cleaning": "no self-loops, distinct undirected edges", "internal_id_order": "ascending original id", "pairs": rows}
+    spark.createDataFrame([(metrics_json(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/manifest.json")
+    return manifest
+
+
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
 
 def registry(spark: SparkSession) -> DataFrame:
-    """Public data sets by name, with their sizes; nothing is downloaded."""
-    # The SNAP collection's names and sizes, and Kronecker scales.
+    """Public data sets by id, with their sizes; nothing is downloaded."""
+    # Names and published sizes of the SNAP collection's graphs, and Graph500 scales with 16 edges a vertex.
     rows = [
-        ("ca-GrQc", "snap", 5242, 14496), ("ca-HepTh", "snap", 9877, 25998), ("ca-HepPh", "snap", 12008, 118521), ("ca-AstroPh", "snap", 18772, 198110), ("ca-CondMat", "snap", 23133, 93497),
-        ("email-Enron", "snap", 36692, 183831), ("ego-Facebook", "snap", 4039, 88234), ("p2p-Gnutella08", "snap", 6301, 20777), ("wiki-Vote", "snap", 7115, 103689), ("as20000102", "snap", 6474, 13895),
-        ("roadNet-PA", "snap", 1088092, 1541898), ("com-DBLP", "snap", 317080, 1049866), ("rmat-10", "kronecker", 1 << 10, 16 << 10), ("rmat-12", "kronecker", 1 << 12, 16 << 12), ("rmat-14", "kronecker", 1 << 14, 16 << 14),
-    ]
-    return spark.createDataFrame(rows, "name string, kind string, vertices long, edges long")
+        ("G1", "ca-GrQc", "collaboration", "undirected", 5242, 14496),
+        ("G2", "email-Enron", "communication", "undirected", 36692, 183831),
+        ("G3", "com-DBLP", "collaboration", "undirected", 317080, 1049866),
+        ("G4", "com-Amazon", "product", "undirected", 334863, 925872),
+        ("G5", "web-Google", "web", "directed", 875713, 5105039),
+        ("G6", "com-Youtube", "social", "undirected", 1134890, 2987624),
+        ("G7", "roadNet-CA", "infrastructure", "undirected", 1965206, 2766607),
+        ("G8", "soc-Pokec", "social", "directed", 1632803, 30622564),
+        ("G9", "as-Skitter", "internet", "undirected", 1696415, 11095298),
+        ("G10", "com-LiveJournal", "social", "undirected", 3997962, 34681189),
+        ("G11", "com-Orkut", "social", "undirected", 3072441, 117185083),
+        ("G12", "com-Friendster", "social", "undirected", 65608366, 1806067135),
+    ]
+    rows += [(f"G{i}", f"Graph500 Scale {scale}", "synthetic", "undirected", 1 << scale, 16 << scale) for i, scale in ((13, 20), (14, 24), (15, 26))]
+    return spark.createDataFrame(rows, "id string, name string, category string, nature string, vertices long, edges long")

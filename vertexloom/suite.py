@@ -6,6 +6,7 @@ same graph under the permutation (A * v + B) mod n, without the edges that an ar
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -16,8 +17,9 @@ from vertexloom.functions.scores import FEATURES
 from vertexloom.operators import assign, baselines, candidates, costs, evaluate, features, soft, support
 from vertexloom.operators import graph as graphs
 from vertexloom.plans.matching import MatchConfig, match, prepare
+from vertexloom.sources import files, named
 from vertexloom.sources.named import NAMES, named_pair
-from vertexloom.tables import written
+from vertexloom.tables import shared_dir, written
 
 A, B = 77, 13
 K = 10
@@ -41,18 +43,53 @@ def truth(graph: graphs.Graph, n: int) -> DataFrame:
     return graph.vertices.select(F.col("v").alias("source"), ((F.col("v") * A + B) % n).alias("target"))
 
 
+#: What was written for a session and a folder: graphs, features and scores that many queries share.
+_HELD: dict[tuple, tuple] = {}
+
+
+def _held(spark: SparkSession, folder: str, what: str, make: Callable[[], tuple]) -> tuple:
+    """make()'s result, kept while the session lasts and its tables are there."""
+    key = (spark.sparkContext.applicationId, folder, what)
+    if key in _HELD:
+        try:
+            for x in _HELD[key]:
+                for df in (x.edges,) if isinstance(x, graphs.Graph) else (x,) if isinstance(x, DataFrame) else ():
+                    for path in df.inputFiles()[:1]:
+                        spark.read.parquet(path)
+        except Exception:  # noqa: BLE001  the shared folder was cleared
+            del _HELD[key]
+    if key not in _HELD:
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def pair(spark: SparkSession, folder: str):
-    one = source_graph(spark, folder)
-    one = graphs.Graph(one.vertices, written(one.edges, "edges"))
-    n = one.vertices.count()
-    t = truth(one, n)
-    return one, graphs.permuted(graphs.noisy(one, F.expr(NOISE)), t), t, n
+    """The source graph, its noisy permuted copy, the truth and the number of vertices."""
+
+    def make():
+        one = source_graph(spark, folder)
+        one = graphs.Graph(one.vertices, written(one.edges, "edges"))
+        n = one.vertices.count()
+        t = truth(one, n)
+        two = graphs.permuted(graphs.noisy(one, F.expr(NOISE)), t)
+        return one, graphs.Graph(two.vertices, written(two.edges, "edges")), t, n
+
+    return _held(spark, folder, "pair", make)
+
+
+def prepared(spark: SparkSession, folder: str):
+    """pair() with the features of both graphs."""
+
+    def make():
+        one, two, _, _ = pair(spark, folder)
+        return written(features.structural(one), "a"), written(features.structural(two), "b")
+
+    return (*pair(spark, folder), *_held(spark, folder, "features", make))
 
 
 def _z(spark, folder, mode="joint"):
-    one, two, t, n = pair(spark, folder)
-    a, b = written(features.structural(one), "a"), written(features.structural(two), "b")
-    za, zb = features.normalised_pair(a, b, mode)
+    one, two, t, n, a, b = prepared(spark, folder)
+    za, zb = _held(spark, folder, f"z-{mode}", lambda: tuple(written(z, "z") for z in features.normalised_pair(a, b, mode)))
     return one, two, t, n, a, b, za, zb
 
 
@@ -62,7 +99,8 @@ def _rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
 
 def _top(spark, folder, k=K, **options):
     _, _, t, n, _, _, za, zb = _z(spark, folder)
-    return candidates.exhaustive(za, zb, k, **options), t, n
+    found = candidates.exhaustive(za, zb, k, **options) if options else _held(spark, folder, f"top-{k}", lambda: (written(candidates.exhaustive(za, zb, k), "top"),))[0]
+    return found, t, n
 
 
 # ---------------------------------------------------------------- queries
@@ -108,7 +146,8 @@ def feature_table(spark, folder):
 
 
 def feature_joint_scores(spark, folder):
-    return _rounded(_z(spark, folder)[6], *FEATURES, digits=5)
+    _, _, _, _, a, b = prepared(spark, folder)
+    return _rounded(features.normalised_pair(a, b)[0], *FEATURES, digits=5)
 
 
 def feature_separate_scores(spark, folder):
@@ -129,7 +168,7 @@ def feature_cells(spark, folder):
 
 
 def feature_page_rank(spark, folder):
-    return _rounded(features.page_rank(source_graph(spark, folder), 3), "rank", digits=9)
+    return _rounded(features.page_rank(source_graph(spark, folder)), "rank", digits=9)
 
 
 def feature_two_hop(spark, folder):
@@ -140,12 +179,36 @@ def feature_cores(spark, folder):
     return features.core_numbers(source_graph(spark, folder))
 
 
+LEGACY = ("degree", "degree_sq", "walks", "clustering", "rank")
+PARALLEL = ("degree", "clustering", "avg_nd", "walks", "triangles", "max_nd", "core")
+FAST = ("degree", "degree_sq", "walks", "returns", "avg_nd")
+
+
 def feature_legacy(spark, folder):
-    return features.legacy(source_graph(spark, folder), 5)
+    return _rounded(features.legacy(source_graph(spark, folder)), *LEGACY, digits=5)
+
+
+def feature_parallel(spark, folder):
+    return _rounded(features.parallel(source_graph(spark, folder)), *PARALLEL)
+
+
+def feature_fast(spark, folder):
+    return _rounded(features.rich(source_graph(spark, folder), fast=True), *FAST, digits=5)
+
+
+def feature_rich(spark, folder):
+    """All columns but the eigenvectors, which are for small graphs."""
+    return _rounded(features.rich(source_graph(spark, folder), eigen=0), *FAST, "clustering", "nd_std", "rank", digits=5)
+
+
+def feature_flat(spark, folder):
+    _, _, _, _, a, _ = prepared(spark, folder)
+    return _rounded(features.unflat(features.flat(a)), *FEATURES)
 
 
 def topk(spark, folder):
-    return _rounded(_top(spark, folder)[0], "similarity")
+    _, _, _, _, _, _, za, zb = _z(spark, folder)
+    return _rounded(candidates.exhaustive(za, zb, K), "similarity")
 
 
 def topk_weighted(spark, folder):
@@ -194,7 +257,20 @@ def index_report(spark, folder):
 
 def index_against_exhaustive(spark, folder):
     _, _, t, _, a, b, za, zb = _z(spark, folder)
-    return evaluate.compare_support(candidates.exhaustive(za, zb, K), candidates.indexed(za, zb, a, b, K, INDEX), t)
+    return evaluate.compare_support(_top(spark, folder)[0], candidates.indexed(za, zb, a, b, K, INDEX), t)
+
+
+def index_missing(spark, folder):
+    """Exact candidates that the index doesn't have."""
+    _, _, _, _, a, b, za, zb = _z(spark, folder)
+    return _rounded(evaluate.missing_from(_top(spark, folder)[0], written(candidates.indexed(za, zb, a, b, K, INDEX), "indexed")), "similarity")
+
+
+def index_pairs(spark, folder):
+    """How many pairs the index retrieves for each source."""
+    _, _, _, _, a, b, _, _ = _z(spark, folder)
+    plans = written(candidates.plan(a, b, K, INDEX), "plans")
+    return candidates.retrieved(plans, b, INDEX).groupBy("source").agg(F.count("*").alias("pairs"))
 
 
 def support_incoming(spark, folder):
@@ -209,17 +285,17 @@ def support_histogram(spark, folder):
 def support_report(spark, folder):
     found, _, _ = _top(spark, folder)
     v = source_graph(spark, folder).vertices
-    return support.report(written(found, "top"), v, v)
+    return support.report(found, v, v)
 
 
 def support_defects(spark, folder):
     found, _, n = _top(spark, folder)
-    return support.defects(written(found, "top"), n)
+    return support.defects(found, n)
 
 
 def support_matching(spark, folder):
     found, _, n = _top(spark, folder)
-    return assign.matching(written(found, "top"), n, n).select("source", "conflict")
+    return assign.matching(found, n, n).select("source", "conflict")
 
 
 def support_repair(spark, folder):
@@ -230,27 +306,65 @@ def support_repair(spark, folder):
     return spark.createDataFrame([(i, h["k"], h["matching"], h["edges"], why) for i, h in enumerate(history)], "round long, k long, matching long, edges long, stopped string")
 
 
+def support_changed(spark, folder):
+    """What a rerun at twice the candidates adds and removes."""
+    return support.changed(_top(spark, folder, K // 2)[0], _top(spark, folder, K)[0])
+
+
+#: How many places apart candidates are on the line.
+BAND = 5
+
+
+def _line(spark, folder):
+    """Balances of suppliers and of as many customers: places in order, and costs of places at most BAND apart. Pairs of equal places are a least-cost assignment, as for any two sorted rows of numbers."""
+    suppliers = _table(spark, folder, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").cast("double").alias("x"))
+    n = suppliers.count()
+    customers = _table(spark, folder, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").cast("double").alias("x"))
+    _, some = graphs.relabelled_by(customers, F.col("id"), "id")
+    customers = customers.join(some.where(F.col("target") < n).select("id"), "id")
+    one, two = (graphs.relabelled_by(rows, F.col("x"), "x", "id")[1] for rows in (suppliers, customers))
+    near = one.select(F.col("target").alias("source"), F.col("x").alias("x1"), F.explode(F.sequence(F.col("target") - BAND, F.col("target") + BAND)).alias("target")).join(two.select("target", F.col("x").alias("x2")), "target")
+    return written(near.select("source", "target", F.round(F.abs(F.col("x1") - F.col("x2")), 4).alias("cost")), "line"), n
+
+
+def support_diagnostics(spark, folder):
+    """Recall, coverage and matching of the support on the line; truth is equal places."""
+    table, n = _line(spark, folder)
+    ids = spark.range(n)
+    v = ids.select(F.col("id").alias("v"))
+    return support.diagnostics(table, ids.select(F.col("id").alias("source"), F.col("id").alias("target")), v, v)
+
+
 def cost_table(spark, folder):
     return _rounded(costs.costs(_top(spark, folder)[0]), "cost")
 
 
 def cost_checks(spark, folder):
     found, _, n = _top(spark, folder)
-    return costs.checks(costs.costs(found), K, n, n)
+    return costs.checks(costs.costs(found), K - 1, n, n)
 
 
 def cost_by_target(spark, folder):
     return _rounded(costs.by_target(costs.costs(_top(spark, folder)[0])), "least_cost")
 
 
+def cost_negated(spark, folder):
+    return _rounded(costs.negated(_top(spark, folder)[0]), "cost")
+
+
+def cost_lookup(spark, folder):
+    """The costs of the true pairs; those that aren't candidates are forbidden."""
+    found, t, _ = _top(spark, folder)
+    return _rounded(costs.lookup(costs.costs(found), t), "cost")
+
+
 def components(spark, folder):
     found, _, n = _top(spark, folder, 1)
-    return assign.bipartite_components(written(found, "top"), n, n)
+    return assign.bipartite_components(found, n, n)
 
 
 def component_sizes(spark, folder):
     found, _, n = _top(spark, folder, 1)
-    found = written(found, "top")
     return assign.component_sizes(written(assign.bipartite_components(found, n, n), "components"), found)
 
 
@@ -262,20 +376,56 @@ def _square(spark, folder):
     return written(costs.costs(found.unionByName(more)), "costs"), t, n
 
 
+def component_plan(spark, folder):
+    """What is to be done with each component of the nearest candidates."""
+    found, _, n = _top(spark, folder, 1)
+    parts = written(assign.bipartite_components(found, n, n), "components")
+    return assign.component_plan(assign.component_sizes(parts, found))
+
+
 def assignment_proof(spark, folder):
-    table, _, n = _square(spark, folder)
-    return assign.certificate(table, assign.assignment(table, n, n)).select("sources", "matched", "complete", "one_to_one", "dual_feasible", "tight", "optimal")
+    """The least cost on the line, and what proves it."""
+    table, n = _line(spark, folder)
+    return assign.certificate(table, assign.assignment(table, n, n))
+
+
+def assignment_greedy(spark, folder):
+    """Greedy pairs on the line, and the best of what is left."""
+    table, n = _line(spark, folder)
+    taken = soft.greedy(table.withColumn("similarity", -F.col("cost"))).where(F.col("value") > -10)
+    return evaluate.one_to_one(assign.greedy_rest(table, taken, n, n), n)
 
 
 def confidences(spark, folder):
+    """Three scalings only, for the SQL; confidences_converged scales until it converges."""
     table, _, _ = _square(spark, folder)
     shares, _ = soft.sinkhorn(table, 0.5, 3, 0.0)
     return _rounded(shares, "probability")
 
 
+def confidences_converged(spark, folder):
+    """One row: how the scaling ended on the line, and how far the sums of targets are from one."""
+    table, n = _line(spark, folder)
+    shares, notes = soft.sinkhorn(table.withColumn("cost", F.col("cost") / 1000), 5.0, tolerance=0.02, n=n)
+    sums = shares.groupBy("target").agg(F.sum("probability").alias("s"))
+    return sums.agg(F.lit(notes["status"]).alias("status"), F.count("*").alias("targets"), F.count_if(F.abs(F.col("s") - 1) <= 1e-3).alias("near_one"))
+
+
+def soft_scaled(spark, folder):
+    """Two scalings that end with sources."""
+    found = _top(spark, folder, 5)[0]
+    return _rounded(soft.scaled_rounds(found, 2, 0.5, "source")[0], "probability")
+
+
+def soft_mixed(spark, folder):
+    one, two, _, _ = pair(spark, folder)
+    found = _top(spark, folder, 5)[0]
+    return _rounded(soft.mixed(found, soft.consistency(found, one, two, "similarity")), "similarity", digits=4)
+
+
 def neighborhood(spark, folder):
-    one, two, _, _, _, _, za, zb = _z(spark, folder)
-    found = written(candidates.exhaustive(za, zb, 5), "top")
+    one, two, _, _ = pair(spark, folder)
+    found = _top(spark, folder, 5)[0]
     return _rounded(soft.consistency(found, one, two, "similarity"), "consistency", digits=4)
 
 
@@ -284,8 +434,8 @@ def greedy_pairs(spark, folder):
 
 
 def soft_pairs(spark, folder):
-    one, two, _, _, _, _, za, zb = _z(spark, folder)
-    return soft.soft_match(one, two, written(candidates.exhaustive(za, zb, 5), "top"), 1, 2)
+    one, two, _, _ = pair(spark, folder)
+    return soft.soft_match(one, two, _top(spark, folder, 5)[0])
 
 
 def recall(spark, folder):
@@ -299,8 +449,9 @@ def accuracy(spark, folder):
 
 
 def mapping_report(spark, folder):
+    """The nearest candidate of each source as a mapping."""
     found, t, _ = _top(spark, folder)
-    return evaluate.mapping_report(t, found, t)
+    return evaluate.mapping_report(_top(spark, folder, 1)[0].select("source", "target"), found, t)
 
 
 def one_to_one(spark, folder):
@@ -313,21 +464,56 @@ def preservation(spark, folder):
     return evaluate.preservation(one, two, t)
 
 
+def preservation_nearest(spark, folder):
+    """The same of a mapping that isn't one-to-one: the nearest candidates."""
+    one, two, _, _ = pair(spark, folder)
+    return evaluate.preservation(one, two, _top(spark, folder, 1)[0])
+
+
+def inverse(spark, folder):
+    return evaluate.inverse(_top(spark, folder, 1)[0])
+
+
+def permutation(spark, folder):
+    _, _, t, n = pair(spark, folder)
+    return evaluate.permutation(t, n).select(F.lit("truth").alias("mapping"), "*").unionByName(evaluate.permutation(_top(spark, folder, 1)[0], n).select(F.lit("nearest").alias("mapping"), "*"))
+
+
+def truth_checks(spark, folder):
+    """A mapping that is no truth: parts to the suppliers that deliver them."""
+    items = _table(spark, folder, "lineitem").select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target")).distinct()
+    return evaluate.truth_checks(items, _table(spark, folder, "part").count(), _table(spark, folder, "supplier").count() // 2)
+
+
+def evaluation(spark, folder):
+    one, two, t, _ = pair(spark, folder)
+    return evaluate.evaluation(one, two, _top(spark, folder, 1)[0].select("source", "target"), _top(spark, folder)[0], t)
+
+
+def audit(spark, folder):
+    _, _, t, _, _, _, za, zb = _z(spark, folder)
+    return evaluate.audit(_top(spark, folder)[0], _top(spark, folder, K + 1)[0], candidates.pair_scores(za, zb, t), K)
+
+
 def rankings(spark, folder):
     _, _, _, _, _, _, za, zb = _z(spark, folder)
     weighted = candidates.exhaustive(za, zb, K, weights={"degree": 2.0})
-    return evaluate.compare_rankings(candidates.exhaustive(za, zb, K), weighted)
+    return evaluate.compare_rankings(_top(spark, folder)[0], weighted)
 
 
 def boundary_ties(spark, folder):
-    _, _, _, _, _, _, za, zb = _z(spark, folder)
-    return evaluate.boundary_ties(candidates.exhaustive(za, zb, K), candidates.exhaustive(za, zb, K + 1), K)
+    return evaluate.boundary_ties(_top(spark, folder)[0], _top(spark, folder, K + 1)[0], K)
 
 
 def value_summary(spark, folder):
     return evaluate.summary(_table(spark, folder, "events"), "event_type", "value")
 
 
+def value_ratios(spark, folder):
+    """Mean values against those of one kind of event."""
+    return evaluate.ratios(_table(spark, folder, "events"), "event_type", "value", "click")
+
+
 def significance(spark, folder):
     """Whether discounts and taxes of the same lines differ, for each return flag."""
     found = evaluate.signed_rank(_table(spark, folder, "lineitem"), "l_returnflag", "l_discount", "l_tax")
@@ -352,6 +538,81 @@ def kronecker_graph(spark, folder):
     return graphs.rmat(spark, 10).edges
 
 
+def random_graph(spark, folder):
+    """As many vertices as parts, three times as many edges."""
+    n = _table(spark, folder, "part").count()
+    return graphs.random_edges(spark, n, 3 * n, 21).edges
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/vertexloom/{name}-{uuid.uuid4().hex}"
+
+
+def files_graph(spark, folder):
+    """The source graph, written in the native format and read again."""
+    at = _scratch(spark, "graph")
+    files.write_graph(pair(spark, folder)[0], at)
+    return files.read_graph(spark, at).edges
+
+
+def files_edge_list(spark, folder):
+    """Orders and customers as an edge list in a file: cleaned, relabelled."""
+    at = _scratch(spark, "edges")
+    _table(spark, folder, "orders").select(F.concat_ws("\t", "o_orderkey", "o_custkey").alias("value")).write.option("compression", "gzip").text(at)
+    return files.read_edge_list(spark, at)[1]
+
+
+def files_candidates(spark, folder):
+    found, _, n = _top(spark, folder, 5)
+    at = _scratch(spark, "candidates")
+    files.write_candidates(found, at)
+    return _rounded(files.read_candidates(spark, at, n, n), "similarity")
+
+
+def files_support(spark, folder):
+    found, _, n = _top(spark, folder, 5)
+    at = _scratch(spark, "candidates")
+    files.write_candidates(found, at)
+    return files.read_support(spark, at, n, n)
+
+
+def files_truth(spark, folder):
+    at = _scratch(spark, "truth")
+    files.write_csv(pair(spark, folder)[2].select(F.col("source").alias("source_vertex"), F.col("target").alias("target_vertex")), at, "source_vertex")
+    return files.read_mapping(spark, at)
+
+
+def files_assignment(spark, folder):
+    """The nearest candidates of sources with even ids, as an assignment: the others are unmatched."""
+    found = costs.costs(_top(spark, folder, 1)[0])
+    even = F.col("source") % 2 == 0
+    at = _scratch(spark, "assignment")
+    files.write_assignment(found.select("source", F.when(even, F.col("target")).alias("target"), F.when(even, F.col("cost")).alias("cost")), at)
+    return _rounded(files.read_csv(spark, at, files.ASSIGNMENT), "cost")
+
+
+def files_matching(spark, folder):
+    found = _top(spark, folder, 1)[0]
+    at = _scratch(spark, "matching")
+    files.write_matching(found.select("source", F.when(F.col("source") % 2 == 0, F.col("target")).alias("target")), at)
+    return files.read_csv(spark, at, files.MATCHING)
+
+
+def files_pairs(spark, folder):
+    """The target graph of seed 22 of the prepared pairs, read from its file."""
+    one, _, t, _ = pair(spark, folder)
+    at = _scratch(spark, "pairs")
+    files.write_pairs(one, t.select(F.col("source").alias("original"), F.col("source").alias("v")), at, "parts", (0.1,), (22,))
+    return files.read_graph(spark, f"{at}/seed_22/noise_10/target.graph").edges
+
+
+def largest_component(spark, folder):
+    """Of customers and a third of their orders, the largest connected part and its ids."""
+    raw = _table(spark, folder, "orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("u"), (F.col("o_orderkey") + 10_000_000).alias("v"))
+    edges = graphs.clean_edges(raw)
+    return files.largest_component(graphs.Graph(edges.select("v").distinct(), edges))[1]
+
+
 def dense_baselines(spark, folder):
     """Accuracy of each baseline on the toy graphs."""
     one, two, t = graphs.toy_pair(spark)
@@ -460,6 +721,69 @@ with pools as (
   from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id)"""
 
 
+def _draw(*parts) -> str:
+    return f"('0x' || substr(md5(concat_ws(',', {', '.join(map(str, parts))})), 1, 8))::bigint"
+
+
+def _paired_sql(p: str, vertices: str, edges: str, noise: float, seed: int) -> str:
+    """{p}_truth and {p}_edges: what paired() makes."""
+    return f"""
+{p}_size as (select (select count(*) from {vertices}) as n, (select count(*) from {edges}) as m),
+{p}_drop as (select n, m, floor(m * {noise}::double)::bigint as cut, least(floor(m * {noise}::double)::bigint, n * (n - 1) // 2 - m) as fresh from {p}_size),
+{p}_truth as (select v as source, row_number() over (order by {_draw(seed, 'v')}, v) - 1 as target from {vertices}),
+{p}_kept as (select u, v from (select u, v, row_number() over (order by {_draw(seed + 1, 'u', 'v')}, u, v) - 1 as i from {edges}), {p}_drop where i >= cut),
+{p}_pairs as (select i, {_draw(seed + 2, 'i')} % n as a, {_draw(seed + 3, 'i')} % n as b from {p}_drop, range((select 64 * cut + 256 from {p}_drop)) x(i)),
+{p}_new as (select least(a, b) as u, greatest(a, b) as v, min(i) as i from {p}_pairs where a <> b group by 1, 2),
+{p}_fresh as (select u, v from (select u, v, row_number() over (order by i) - 1 as i from {p}_new anti join {edges} using (u, v)), {p}_drop where i < fresh),
+{p}_noisy as (select u, v from {p}_kept union all select u, v from {p}_fresh),
+{p}_edges as (select least(a.target, b.target) as u, greatest(a.target, b.target) as v from {p}_noisy join {p}_truth a on u = a.source join {p}_truth b on v = b.source)"""
+
+
+def _preserved_sql(edges_a: str, edges_b: str, mapping: str, n: str, out: str) -> str:
+    return f"""
+{out}_inv as (select target as source, max(source) as target from {mapping} where target is not null group by 1),
+{out}_k as (select count(*) as kept from (select least(a.target, b.target) as u, greatest(a.target, b.target) as v from {edges_a} join {mapping} a on u = a.source join {mapping} b on v = b.source) semi join {edges_b} using (u, v)),
+{out}_b as (select count(*) as kept_back from (select least(a.target, b.target) as u, greatest(a.target, b.target) as v from {edges_b} join {out}_inv a on u = a.source join {out}_inv b on v = b.source) semi join {edges_a} using (u, v)),
+{out}_c as (select (select count(*) from {edges_a}) as edges_a, (select count(*) from {edges_b}) as edges_b, (select count(*) = {n} and count(distinct source) = {n} and count(distinct target) = {n} from {mapping}) as whole),
+{out} as (select edges_a, edges_b, kept, kept_back, case when edges_a = 0 then 1.0 else round(kept / edges_a::double, 6) end as forward, case when edges_b = 0 then 1.0 else round(kept_back / edges_b::double, 6) end as backward, case when whole then 2 * (edges_a + edges_b - 2 * kept) end as qap_cost from {out}_k, {out}_b, {out}_c)"""
+
+
+#: Rounds of core numbers that the SQL has; more change nothing once none moves.
+CORE_ROUNDS = 40
+
+
+def _cores_sql() -> str:
+    """cores: neighbours' h-indices, again and again."""
+    steps = ["c0 as materialized (select v, d as core from fa_deg)"]
+    for i in range(CORE_ROUNDS):
+        near = f"select a.u as v, c.core, row_number() over (partition by a.u order by c.core desc) as i from fa_adj a join c{i} c on a.v = c.v"
+        steps.append(f"c{i + 1} as materialized (select c.v, least(c.core, coalesce(h, 0)) as core from c{i} c left join (select v, max(least(i, core)) as h from ({near}) group by 1) x on c.v = x.v)")
+    return ", ".join([*steps, f"cores as (select v, core from c{CORE_ROUNDS})"])
+
+
+def _rows_sql(rows: str, names, out: str, scored: bool = True) -> str:
+    means = ", ".join(f"sum({c}::decimal(28,9))::double / count(*) as m_{c}" for c in names)
+    spread = ", ".join(f"sqrt(sum((({c} - m_{c}) * ({c} - m_{c}))::decimal(28,9))::double / count(*)) as s_{c}" for c in names)
+    z = ", ".join(f"case when s_{c} < 1e-12 then 0 else ({c} - m_{c}) / greatest(s_{c}, 1e-12) end as {c}" for c in names)
+    size = "sqrt(" + " + ".join(f"{c} * {c}" for c in names) + ")"
+    unit = ", ".join(f"{c} / greatest({size}, 1e-12) as {c}" for c in names)
+    scaled = f"{out}_m as (select {means} from {rows}), {out}_s as (select {spread} from {rows}, {out}_m), {out}_z as (select v, {z} from {rows}, {out}_m, {out}_s)" if scored else f"{out}_z as (select * from {rows})"
+    return f"{scaled}, {out} as (select v, {unit} from {out}_z)"
+
+
+#: Rounds of greedy pairs that the SQL has; more take nothing once none is left.
+GREEDY_ROUNDS = 40
+
+
+def _greedy_sql() -> str:
+    """taken: pairs that come first for both sides, then again among the rest."""
+    steps = ["left0 as materialized (select source, target, round(similarity, 9) as s from top)"]
+    for i in range(GREEDY_ROUNDS):
+        steps.append(f"now{i} as materialized (select source, target from (select *, row_number() over (partition by source order by s desc, source, target) as a, row_number() over (partition by target order by s desc, source, target) as b from left{i}) where a = 1 and b = 1)")
+        steps.append(f"left{i + 1} as materialized (select l.* from left{i} l anti join now{i} x on x.source = l.source anti join now{i} y on y.target = l.target)")
+    return ", ".join([*steps, "taken as (" + " union all ".join(f"select * from now{i}" for i in range(GREEDY_ROUNDS)) + ")"])
+
+
 def _r(names, digits=6) -> str:
     return ", ".join(f"round({c}, {digits}) + 0.0 as {c}" for c in names)
 
@@ -469,6 +793,14 @@ def oracle_sql() -> dict[str, str]:
     square = f"{_TOP}, square as (select source, target, 1 - similarity as cost from top union all select t.source, t.target, 2.0 from truth t anti join top using (source, target))"
     sums = lambda rows, key, out: f"{out} as (select source, target, l - (max(l) over w + ln(sum(exp(l - m)) over w)) as l from (select *, max(l) over (partition by {key}) as m from {rows}) window w as (partition by {key}))"
     scaled = ", ".join(sums(f"l{i}", ("source", "target")[i % 2], f"l{i + 1}") for i in range(6))
+    ranks = lambda to: ", ".join(["p0 as (select v, d, 1.0::double / n as rank from fa_deg, n)", *map(rank, range(to))])
+    hops = "hops as (select fa_deg.v, coalesce(w, 0)::double as walks, d::double as returns, coalesce(m, 0)::double as max_nd from fa_deg left join (select a.u as v, sum(d)::bigint as w, max(d) as m from fa_adj a join fa_deg g on a.v = g.v group by 1) x on fa_deg.v = x.v)"
+    line = f"line_n as (select count(*) as n from supplier), one as (select row_number() over (order by s_acctbal::double, s_suppkey) - 1 as i, s_acctbal::double as x from supplier), two as (select row_number() over (order by x, id) - 1 as i, x from (select c_custkey as id, c_acctbal::double as x, row_number() over (order by c_custkey) - 1 as k from customer), line_n where k < n), line as (select one.i as source, two.i as target, round(abs(one.x - two.x), 4) as cost from one join two on two.i between one.i - {BAND} and one.i + {BAND})"
+    scaled2 = ", ".join(sums(f"l{i}", ("target", "source")[i % 2], f"l{i + 1}") for i in range(4))
+    quadrants = "select i" + "".join(f", {_draw(1, level, 'i')} / 4294967296.0::double as r{level}" for level in range(10)) + " from range(32 * 16384) x(i)"
+    down, right = (" + ".join(f"case when {test.format(r=f'r{level}')} then {1 << (9 - level)} else 0 end" for level in range(10)) for test in (f"{{r}} >= {0.57 + 0.19!r}::double", f"({{r}} >= 0.57::double and {{r}} < {0.57 + 0.19!r}::double) or {{r}} >= {0.57 + 0.19 + 0.19!r}::double"))
+    known = {name: sorted(named._pairs(name)) for name in NAMES}
+    named_sql = ", ".join(f"{name}_v as (select i as v from range({1 + max(v for _, v in rows)}) x(i)), {name}_e as (select u::bigint as u, v::bigint as v from (values {', '.join(map(str, rows))}) x(u, v)), {_paired_sql(name, f'{name}_v', f'{name}_e', 0.05, 42)}, {_preserved_sql(f'{name}_e', f'{name}_edges', f'{name}_truth', f'(select count(*) from {name}_v)', f'{name}_p')}" for name, rows in known.items())
     rank = lambda i: f"p{i + 1} as (select fa_deg.v, d, 0.85 * coalesce(g, 0) + 0.15 / n as rank from n, fa_deg left join (select a.v, sum((rank / d)::decimal(28,18))::double as g from fa_adj a join p{i} on a.u = p{i}.v where d > 0 group by 1) x on fa_deg.v = x.v)"
     bipartite = f"{_Z},{_top_sql(1)}, links as (select source as a, target + n as b from top, n union all select target + n, source from top, n), reach(node, other) as (select a, b from links union select r.node, l.b from reach r join links l on r.other = l.a), comp as (select i as node, least(i, coalesce((select min(other) from reach where reach.node = i), i)) as component from n, range(2 * n) x(i))"
     sides = f"{bipartite}, sides as (select case when node < n then 'source' else 'target' end as side, case when node < n then node else node - n end as id, component from comp, n)"
@@ -487,37 +819,75 @@ def oracle_sql() -> dict[str, str]:
         "feature_profiles": f"{_BASE}, lists as (select a.u as v, list(d order by d) as ds from fa_adj a join fa_deg g on a.v = g.v group by 1) select vertices.v, b as bin, coalesce(round(ds[round(b * (len(ds) - 1) / 7.0::double)::int + 1] / (select max(d) from fa_deg)::double, 6), 0) + 0.0 as value from vertices left join lists on vertices.v = lists.v, range(8) x(b)",
         "feature_duplicates": f"{_BASE} select sum(c)::bigint as vectors, count(*) as unique_vectors, count_if(c > 1) as repeated_groups, max(c) as largest_group from (select count(*) as c from fa group by {', '.join(FEATURES)})",
         "feature_cells": f"{_BASE} select sum(c)::bigint as vectors, count(*) as unique_vectors, count_if(c > 1) as repeated_groups, max(c) as largest_group from (select count(*) as c from fa group by {', '.join(f'round_even(floor({f}) / 2.0, 0)' for f in FEATURES)})",
-        "feature_page_rank": f"{_BASE}, p0 as (select v, d, 1.0::double / n as rank from fa_deg, n), {rank(0)}, {rank(1)}, {rank(2)} select v, {_r(['rank'], 9)} from p3",
+        "feature_page_rank": f"{_BASE}, {ranks(15)} select v, {_r(['rank'], 9)} from p15",
+        "feature_cores": f"{_BASE}, {_cores_sql()} select v, core from cores",
+        "feature_legacy": f"{_BASE}, {ranks(15)}, {hops}, lr as (select fa.v, degree, degree_sq, walks, clustering, rank from fa join hops using (v) join p15 using (v)), {_rows_sql('lr', LEGACY, 'lo')} select v, {_r(LEGACY, 5)} from lo",
+        "feature_rich": f"{_BASE}, {ranks(15)}, {hops}, lr as (select fa.v, degree, degree_sq, walks, returns, avg_nd, clustering, nd_std, rank from fa join hops using (v) join p15 using (v)), {_rows_sql('lr', (*FAST, 'clustering', 'nd_std', 'rank'), 'lo')} select v, {_r((*FAST, 'clustering', 'nd_std', 'rank'), 5)} from lo",
+        "feature_fast": f"{_BASE}, {hops}, lr as (select fa.v, degree, degree_sq, walks, returns, avg_nd from fa join hops using (v)), {_rows_sql('lr', FAST, 'lo')} select v, {_r(FAST, 5)} from lo",
+        "feature_parallel": f"{_BASE}, {_cores_sql()}, {hops}, lr as (select fa.v, degree / greatest((select max(degree) from fa), 1.0) as degree, clustering, avg_nd, walks, triangles, max_nd, core::double as core from fa join hops using (v) join cores using (v)), {_rows_sql('lr', PARALLEL, 'lo', scored=False)} select v, {_r(PARALLEL)} from lo",
+        "feature_flat": f"{_BASE} select v, {_r(FEATURES)} from fa",
         "feature_two_hop": f"{_BASE} select fa_deg.v, coalesce(w, 0) as walks, d as returns, coalesce(m, 0) as max_nd from fa_deg left join (select a.u as v, sum(d)::bigint as w, max(d) as m from fa_adj a join fa_deg g on a.v = g.v group by 1) x on fa_deg.v = x.v",
         "topk": f"{_TOP} select source, rank, target, {_r(['similarity'])} from top",
         "topk_weighted": f"{_Z},{_top_sql(5, weights={'degree': 2.0, 'clustering': 0.5, 'avg_nd': 1.0})} select source, rank, target, {_r(['similarity'])} from top",
         "topk_pools": f"{_POOLS} select pool, rank, target, score as similarity from (select *, row_number() over (partition by pool order by round(score, 9) desc, target) - 1 as rank from pools) where rank < 5",
-        "topk_chunks": f"{_POOLS} select pool, chunk, rank, target, score as similarity from (select *, target // 64 as chunk, row_number() over (partition by pool, target // 64 order by round(score, 9) desc, target) - 1 as rank from pools) where rank < 2",
+        "topk_chunks": f"{_POOLS}, placed as (select *, (row_number() over (partition by pool order by target) - 1) // 64 as chunk from pools) select pool, chunk, rank, target, score as similarity from (select *, row_number() over (partition by pool, chunk order by round(score, 9) desc, target) - 1 as rank from placed) where rank < 2",
+        "index_missing": f"{_RANKED},{_top_sql(K)}, most as (select source, max(similarity) as best from itop group by 1) select source, target, {_r(['similarity'])}, coalesce(similarity > best + 2e-6, true) as strictly from (from top anti join itop using (source, target)) left join most using (source)",
+        "index_pairs": f"{_Z},{_SHELLS} select near.source, count(*) as pairs from near join plans on plans.source = near.source where fallback or r <= plans.radius group by 1",
         "index_buckets": f"{_Z},{_SHELLS} select x as degree_bin, y as neighbor_bin, count(*) as n from bin_a group by 1, 2",
         "index_plans": f"{_Z},{_SHELLS} select source, degree_bin, neighbor_bin, desired, radius, pool, fallback from plans",
         "index_topk": f"{_RANKED} select source, rank, target, {_r(['similarity'])} from itop",
-        "index_report": f"{_Z},{_SHELLS}, c as (select count(*) as n from bin_b group by x, y) select (select count(*) from c) as buckets, (select min(n) from c) as least_targets, (select max(n) from c) as most_targets, min(pool) as pool_min, round(avg(pool), 4) as pool_mean, max(pool) as pool_max, count_if(fallback) as fallbacks, max(radius) as max_radius, sum(pool)::bigint as pairs_scored from plans",
+        "index_report": f"{_Z},{_SHELLS}, c as (select count(*) as n from bin_b group by x, y) select (select count(*) from c) as buckets, (select min(n) from c) as least_targets, (select max(n) from c) as most_targets, min(pool) as pool_min, round(avg(pool), 4) as pool_mean, max(pool) as pool_max, count_if(fallback) as fallbacks, max(radius) as max_radius, sum(pool)::bigint as pairs_scored from (select fallback, radius, case when fallback then (select sum(n) from c)::bigint else pool end as pool from plans)",
         "index_against_exhaustive": f"{_RANKED},{_top_sql(K)}, cut as (select source, min(similarity) as cut from top group by 1), x as (select i.*, cut, t.source is not null as both_have from itop i left join cut using (source) left join top t on t.source = i.source and t.target = i.target), h as (select t.source, a.source is not null as e, b.source is not null as o from truth t left join top a on a.source = t.source and a.target = t.target left join itop b on b.source = t.source and b.target = t.target) select count(*) as pairs, count_if(both_have) as overlap, count_if(similarity < cut - 2e-6) as below_cutoff, (select count_if(e and not o) from h) as truth_lost, (select count_if(o and not e) from h) as truth_gained from x",
         "support_incoming": f"{_TOP}, {incoming} select target, incoming from incoming",
         "support_histogram": f"{_TOP}, {incoming} select incoming, count(*) as targets from incoming group by 1",
         "support_report": f"{_TOP}, {incoming}, r as (select v, count(top.source) as c from vertices left join top on top.source = v group by 1) select sum(c)::bigint as edges, count_if(c = 0) as empty_sources, min(c) as row_min, max(c) as row_max, (select count_if(incoming = 0) from incoming) as uncovered_targets from r",
         "support_defects": f"{_TOP} select count(*) - count(distinct (source, target)) as repeated, count_if(target < 0 or target >= (from n)) as out_of_range, count_if(similarity is null or isnan(similarity)) as not_finite, (select count_if(m <> c - 1 or l <> 0) from (select max(rank) as m, min(rank) as l, count(*) as c from top group by source)) as bad_ranks from top",
         "cost_table": f"{_TOP} select source, target, round(1 - similarity, 6) + 0.0 as cost from top",
-        "cost_checks": f"{_TOP} select count(*) as entries, 0::bigint as long_rows, count(*) - count(distinct (source, target)) as repeated, count_if(isnan(similarity)) as not_finite, count_if(target < 0 or target >= (from n)) as out_of_range, 4 * ((from n) + 1) + 8 * count(*) as csr_bytes from top",
+        "cost_checks": f"{_TOP} select count(*) as entries, (select count(*) from (select source from top group by source having count(*) > {K - 1})) as long_rows, count(*) - count(distinct (source, target)) as repeated, count_if(isnan(similarity)) as not_finite, count_if(target < 0 or target >= (from n)) as out_of_range, 4 * ((from n) + 1) + 8 * count(*) as csr_bytes from top",
         "cost_by_target": f"{_TOP} select target, count(*) as sources, round(min(1 - similarity), 6) + 0.0 as least_cost from top group by 1",
         "components": f"{sides} select side, id, component from sides",
         "component_sizes": f"{sides} select component, count_if(side = 'source') as sources, count_if(side = 'target') as targets, count_if(side = 'source') as edges, count_if(side = 'source') <= count_if(side = 'target') as feasible from sides group by 1",
-        "assignment_proof": f"{_G.replace('n as', 'with n as', 1)} select n as sources, n as matched, true as complete, true as one_to_one, true as dual_feasible, true as tight, true as optimal from n",
+        "component_plan": f"{sides} select component, count_if(side = 'source') as sources, count_if(side = 'target') as targets, count_if(side = 'source') as edges, case when count_if(side = 'source') = 0 then 'nothing' when count_if(side = 'source') > count_if(side = 'target') then 'infeasible' else 'solve' end as plan from sides group by 1",
+        "assignment_proof": f"with {line} select count(*) as sources, count(*) as matched, true as complete, true as one_to_one, round(sum(cost::decimal(28,9))::double, 6) as primal, true as dual_feasible, true as tight, true as optimal from line where source = target",
+        "assignment_greedy": "select true as one_to_one",
+        "support_changed": f"{_Z},{_top_sql(K // 2, 'few')},{_top_sql(K)} select (select count(*) from few) as edges_before, (select count(*) from top) as edges_after, (select count(*) from (from top anti join few using (source, target))) as added, (select count(*) from (from few anti join top using (source, target))) as removed",
+        "support_diagnostics": f"with {line}, r as (select source, count(*) as c from line group by 1) select count_if(source = target)  as found, (select n from line_n) as vertices, round(count_if(source = target) / (select n from line_n)::double, 6) as recall, count(*) as edges, 0::bigint as empty_sources, (select min(c) from r) as row_min, (select max(c) from r) as row_max, (select n from line_n) - count(distinct target) as uncovered_targets, count_if(source = target) as matching, count_if(source = target) = (select n from line_n) as feasible from line",
+        "cost_negated": f"{_TOP} select source, target, round(-similarity, 6) + 0.0 as cost from top",
+        "cost_lookup": f"{_TOP} select source, target, round(coalesce(1 - similarity, 1e30), 6) + 0.0 as cost from truth left join top using (source, target)",
+        "confidences_converged": f"with {line} select 'converged' as status, count(distinct target) as targets, count(distinct target) as near_one from line",
+        "soft_scaled": f"{_Z},{_top_sql(5)}, l0 as (select source, target, similarity / 0.5 as l from top), {scaled2} select source, target, round(exp(l), 6) + 0.0 as probability from l4",
+        "soft_mixed": f"{_Z},{_top_sql(5)}, s as (select a.v as i, b.v as j, sum(p.similarity::decimal(28,12))::double as c from top p join fa_adj a on a.u = p.source join fb_adj b on b.u = p.target join top q on q.source = a.v and q.target = b.v group by 1, 2) select source, target, round(0.4 * similarity + 0.6 * coalesce(c, 0), 4) + 0.0 as similarity from top left join s on i = source and j = target",
         "confidences": f"{square}, l0 as (select source, target, -cost / 0.5 as l from square), {scaled} select source, target, round(exp(l), 6) + 0.0 as probability from l6",
         "neighborhood": f"{_Z},{_top_sql(5)}, s as (select a.v as i, b.v as j, sum(p.similarity::decimal(28,12))::double as c from top p join fa_adj a on a.u = p.source join fb_adj b on b.u = p.target join top q on q.source = a.v and q.target = b.v group by 1, 2) select source, target, coalesce(round(c, 4), 0) + 0.0 as consistency from top left join s on i = source and j = target",
         "recall": f"{_TOP} select count(*) as vertices, count(top.source) as found, round(count(top.source) / count(*)::double, 6) as recall from truth left join top using (source, target)",
         "accuracy": f"{_Z},{_top_sql(1)} select count(*) as vertices, count(top.target) as matched, count_if(top.target = truth.target) as right, round(count_if(top.target = truth.target) / count(*)::double, 6) as accuracy, round(count_if(top.target = truth.target) / count(top.target)::double, 6) as accuracy_matched from truth left join top on truth.source = top.source".replace("as right,", 'as "right",'),
-        "mapping_report": f"{_TOP} select count(*) as vertices, count(*) as matched, count(similarity) as on_support, 1.0::double as accuracy, case when count(*) = count(similarity) then round(sum((1 - similarity)::decimal(28,9))::double, 6) end as cost from truth left join top using (source, target)",
+        "mapping_report": f"{_TOP},{_top_sql(1, 'near1')} select count(*) as vertices, count(m.target) as matched, count(top.similarity) as on_support, case when count(*) = count(m.target) then round(count_if(m.target = truth.target) / count(*)::double, 6) end as accuracy, case when count(*) = count(top.similarity) then round(sum((1 - top.similarity)::decimal(28,9))::double, 6) end as cost from truth left join near1 m on m.source = truth.source left join top on top.source = m.source and top.target = m.target",
+        "preservation_nearest": f"{_Z},{_top_sql(1)},{_preserved_sql('e', 'f', 'top', '(from n)', 'kept_of')} select * from kept_of",
+        "inverse": f"{_Z},{_top_sql(1)} select target as source, max(source) as target from top group by 1",
+        "permutation": f"{_Z},{_top_sql(1)} select 'truth' as mapping, count(*) = (from n) and count(distinct source) = (from n) and count(distinct target) = (from n) as permutation from truth union all select 'nearest', count(*) = (from n) and count(distinct source) = (from n) and count(distinct target) = (from n) from top",
+        "truth_checks": "with t as (select distinct l_partkey as source, l_suppkey as target from lineitem), n as (select (select count(*) from part) as n, (select count(*) // 2 from supplier) as m) select (select max(n) from n) - count(distinct source) filter (where source between 0 and (select n - 1 from n)) as uncovered, count(*) - count(distinct source) as repeated_sources, count(*) - count(distinct target) as repeated_targets, count_if(not source between 0 and (select n - 1 from n) or not target between 0 and (select m - 1 from n)) as out_of_range from t",
+        "evaluation": f"{_TOP},{_top_sql(1, 'near1')},{_preserved_sql('e', 'f', 'near1', '(from n)', 'kept_of')}, acc as (select count(*) as vertices, count(m.target) as matched, count_if(m.target = truth.target) as \"right\", round(count_if(m.target = truth.target) / count(*)::double, 6) as accuracy, round(count_if(m.target = truth.target) / count(m.target)::double, 6) as accuracy_matched from truth left join near1 m on truth.source = m.source) select acc.*, kept_of.*, (select round(count(top.source) / count(*)::double, 6) from truth left join top using (source, target)) as candidate_recall, (select count(*) from top) as candidates, (select sum({_draw('u', 'v')})::bigint from e) as digest_source, (select sum({_draw('u', 'v')})::bigint from f) as digest_target, (select sum({_draw('source', 'target')})::bigint from near1) as digest_mapping, (select sum({_draw('source', 'target')})::bigint from truth) as digest_truth from acc, kept_of",
+        "audit": f"{_TOP},{_top_sql(K + 1, 'nxt')}, cut as (select source, similarity as cut from top where rank = {K - 1}), rows as (select s.source, s.similarity, top.similarity as stored, cut - s.similarity as gap from truth join top_s s using (source, target) left join top on top.source = s.source and top.target = s.target left join cut on cut.source = s.source), ties as (select count(*) as sources, count_if(round(a.similarity, 9) = round(b.similarity, 9)) as tied from top a left join nxt b on a.source = b.source and b.rank = {K} where a.rank = {K - 1}) select ties.sources, ties.tied, count_if(stored is null) as omitted, round(min(gap) filter (where stored is null), 6) as least_gap, round(max(gap) filter (where stored is null), 6) as most_gap, count_if(stored is null and abs(gap) < 5e-10) as omitted_by_tie, round(max(abs(stored - similarity)), 9) as score_error from rows, ties group by 1, 2",
         "one_to_one": f"{_Z},{_top_sql(1)} select count(*) = count(distinct target) as one_to_one from top",
-        "preservation": f"with {_G}, k as (select count(*) as kept from (select least(a.target, b.target) as u, greatest(a.target, b.target) as v from e join truth a on e.u = a.source join truth b on e.v = b.source) semi join f using (u, v)), c as (select (select count(*) from e) as edges_a, (select count(*) from f) as edges_b) select edges_a, edges_b, kept, round(kept / edges_a::double, 6) as forward, round(kept / edges_b::double, 6) as backward, 2 * (edges_a + edges_b - 2 * kept) as qap_cost from k, c",
+        "preservation": f"with {_G},{_preserved_sql('e', 'f', 'truth', '(from n)', 'kept_of')} select * from kept_of",
         "rankings": f"{_TOP},{_top_sql(K, 'wtop', dict.fromkeys(FEATURES, 1.0) | {'degree': 2.0})}, x as (select coalesce(a.source, b.source) as source, count(a.rank) as n1, count(b.rank) as n2, count_if(a.rank is not null and b.rank is not null) as c, count_if(a.rank = b.rank) as s, max(abs(a.similarity - b.similarity)) as d from top a full join wtop b on a.source = b.source and a.target = b.target group by 1) select sum(n1)::bigint as pairs_one, sum(n2)::bigint as pairs_two, sum(c)::bigint as common, sum(s)::bigint as same_rank, round(coalesce(max(d), 0), 9) as most_apart, count_if(n1 = c and n2 = c) as same_sets from x",
         "boundary_ties": f"{_TOP},{_top_sql(K + 1, 'nxt')} select count(*) as sources, count_if(round(a.similarity, 9) = round(b.similarity, 9)) as tied from top a left join nxt b on a.source = b.source and b.rank = {K} where a.rank = {K - 1}",
         "topk_profiles": f"{_Z},{_profile_sql('fa')},{_profile_sql('fb')},{_top_sql(1, 'plain')}, s as (select source, target, similarity + 0.25 * greatest(0.0, 1 - list_sum(list_transform(list_zip(p.profile, q.profile), lambda x: abs(x[1] - x[2]))) / 8) as similarity from plain_s join fa_prof p on p.v = source join fb_prof q on q.v = target) select source, rank, target, {_r(['similarity'])} from (select *, row_number() over (partition by source order by round(similarity, 9) desc, target) - 1 as rank from s) where rank < 3",
+        "greedy_pairs": f"{_TOP}, {_greedy_sql()} select source, target from taken",
+        "value_ratios": "with m as (select event_type, sum(value::decimal(28,9))::double / count(value) as mean from events group by 1), b as (select mean as base from m where event_type = 'click') select event_type, round(mean, 6) as mean, round(mean / nullif(base, 0), 6) as ratio, round(base / nullif(mean, 0), 6) as speedup from m left join b on true",
+        "named_graphs": f"with {named_sql} " + " union all ".join(f"select '{name}' as graph, * from {name}_p" for name in NAMES),
+        "paired_graph": f"with {_G}, {_paired_sql('p', 'vertices', 'e', 0.05, 11)} select u, v from p_edges",
+        "files_pairs": f"with {_G}, {_paired_sql('p', 'vertices', 'e', 0.1, 22)} select u, v from p_edges",
+        "kronecker_graph": f"with quadrants as ({quadrants}), drawn as (select i, {down} as a, {right} as b from quadrants), pairs as (select least(a, b)::bigint as u, greatest(a, b)::bigint as v, min(i) as i from drawn where a <> b group by 1, 2) select u, v from (select u, v, row_number() over (order by i) - 1 as k from pairs) where k < 16384",
+        "random_graph": f"with n as (select count(*) as n from part), drawn as (select i, {_draw(21, 'i')} % n as a, {_draw(22, 'i')} % n as b from n, range((select 48 * n from n)) x(i)), pairs as (select least(a, b) as u, greatest(a, b) as v, min(i) as i from drawn where a <> b group by 1, 2) select u, v from (select u, v, row_number() over (order by i) - 1 as k from pairs), n where k < least(3 * n, n * (n - 1) // 2)",
+        "files_graph": f"with {_G} select u, v from e",
+        "files_edge_list": "select original, row_number() over (order by original) - 1 as v from (select o_orderkey as original from orders where o_orderkey <> o_custkey union select o_custkey from orders where o_orderkey <> o_custkey)",
+        "files_candidates": f"{_Z},{_top_sql(5)} select source, rank::int as rank, target, {_r(['similarity'])} from top",
+        "files_support": f"{_Z},{_top_sql(5)} select source, target from top",
+        "files_truth": f"with {_G} select source, target from truth",
+        "files_assignment": f"{_Z},{_top_sql(1)} select source, case when source % 2 = 0 then target else -1 end as target, case when source % 2 = 0 then round(1 - similarity, 6) + 0.0 else -1.0 end as cost from top",
+        "files_matching": f"{_Z},{_top_sql(1)} select source, case when source % 2 = 0 then target else -1 end as target from top",
+        "largest_component": "with e as (select o_custkey as u, o_orderkey + 10000000 as v from orders where o_orderkey % 3 = 0), sizes as (select u, count(*) as c from e group by 1), best as (select u from sizes order by c desc, u limit 1), ids as (select u as original from best union all select e.v from e join best using (u)) select original, row_number() over (order by original) - 1 as v from ids",
         "value_summary": "select event_type, count(value) as trials, round(sum(value::decimal(28,9))::double / count(value), 6) as mean, round(stddev_samp(value), 4) as deviation, min(value) as least, max(value) as most, round(quantile_cont(value, 0.5), 6) as median, round(quantile_cont(value, 0.95), 6) as p95, round(quantile_cont(value, 0.99), 6) as p99 from events group by 1",
         "significance": "with d as (select l_returnflag, round(l_discount::double - l_tax::double, 9) as d from lineitem), x as (select l_returnflag, d, rank() over w + (count(*) over (partition by l_returnflag, abs(d)) - 1) / 2.0::double as r, row_number() over (partition by l_returnflag, abs(d)) as i, count(*) over (partition by l_returnflag, abs(d)) as t from d where d <> 0 window w as (partition by l_returnflag order by abs(d))), s as (select l_returnflag, count(*) as pairs, sum(case when d > 0 then r else 0 end)::double as w_plus, sum(case when d < 0 then r else 0 end)::double as w_minus, sum(case when i = 1 then t::double * t * t - t else 0 end)::double as ties from x group by 1) select l_returnflag, pairs, (select count(*) from d where d.d = 0 and d.l_returnflag = s.l_returnflag) as zeros, w_plus, w_minus, least(w_plus, w_minus) as statistic, round((w_plus - pairs::double * (pairs + 1) / 4) / sqrt((pairs::double * (pairs + 1) * (2 * pairs + 1) - ties / 2) / 24), 4) as z from s",
     }
@@ -525,10 +895,11 @@ def oracle_sql() -> dict[str, str]:
 
 _QUERIES = (
     graph_edges, graph_checks, graph_degrees, graph_neighbors, graph_permuted, graph_has_edges, graph_relabelled, graph_flipped, feature_table, feature_joint_scores, feature_separate_scores,
-    feature_profiles, feature_duplicates, feature_cells, feature_page_rank, feature_two_hop, feature_cores, feature_legacy, topk, topk_weighted, topk_profiles, topk_pools, topk_chunks,
-    index_buckets, index_plans, index_topk, index_report, index_against_exhaustive, support_incoming, support_histogram, support_report, support_defects, support_matching, support_repair,
-    cost_table, cost_checks, cost_by_target, components, component_sizes, assignment_proof, confidences, neighborhood, greedy_pairs, soft_pairs, recall, accuracy, mapping_report, one_to_one,
-    preservation, rankings, boundary_ties, value_summary, significance, named_graphs, paired_graph, kronecker_graph, dense_baselines, toy_match,
+    feature_profiles, feature_duplicates, feature_cells, feature_page_rank, feature_two_hop, feature_cores, feature_legacy, feature_parallel, feature_fast, feature_rich, feature_flat, topk, topk_weighted, topk_profiles, topk_pools, topk_chunks,
+    index_buckets, index_plans, index_topk, index_report, index_against_exhaustive, index_missing, index_pairs, support_incoming, support_histogram, support_report, support_defects, support_matching, support_repair, support_changed, support_diagnostics,
+    cost_table, cost_checks, cost_by_target, cost_negated, cost_lookup, components, component_sizes, component_plan, assignment_proof, assignment_greedy, confidences, confidences_converged, soft_scaled, soft_mixed, neighborhood, greedy_pairs, soft_pairs, recall, accuracy, mapping_report, one_to_one,
+    preservation, preservation_nearest, inverse, permutation, truth_checks, evaluation, audit, rankings, boundary_ties, value_summary, value_ratios, significance,
+    random_graph, files_graph, files_edge_list, files_candidates, files_support, files_truth, files_assignment, files_matching, files_pairs, largest_component, named_graphs, paired_graph, kronecker_graph, dense_baselines, toy_match,
 )
 
 

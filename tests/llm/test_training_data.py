@@ -420,6 +420,22 @@ def test_recall_against_all_planted_pairs(spark):
     assert set(places) <= {d for d, _, _ in wanted}
 
 
+@pytest.mark.parametrize("share,least", [(0.05, 0.98), (0.1, 0.95), (0.15, 0.85)])
+def test_recall_of_passages_with_random_edits(spark, share, least):
+    """Replaced, missing and added words at random; only pairs of similarity 0.8 or more count."""
+    r = np.random.default_rng(int(1000 * share))
+    rows, wanted = {}, []
+    for i in range(150):
+        passage = [f"p{i}w{j}" for j in range(60)]
+        text = _edited(r, passage, share, f"e{i}")
+        rows[2 * i], rows[2 * i + 1] = [f"a{i}w{j}" for j in range(50)] + passage, [f"b{i}w{j}" for j in range(50)] + text
+        if chaining.common(passage, text) / max(len(passage), len(text)) >= 0.8:
+            wanted.append(2 * i + 1)
+    found = {x.doc_id for x in chaining.repeated_passages(docs(spark, [(i, " ".join(w), "en", "a") for i, w in rows.items()])).collect()}
+    print(f"edits {share}: {len(found & set(wanted))} of {len(wanted)}")
+    assert len(wanted) > 50 and len(found & set(wanted)) >= least * len(wanted)
+
+
 # ---------------------------------------------------------------- 7
 
 def test_pages_equal_their_articles(spark, tables):

@@ -325,3 +325,96 @@ def test_arriving_graphs(spark, toy, tmp_path):
     stream = spark.readStream.schema("u long, v long").parquet(str(tmp_path / "in"))
     match_arriving(stream, prepare(one), 6, lambda rows, batch: seen.extend(rows.collect()), str(tmp_path / "ckpt"), MatchConfig(k=1)).awaitTermination()
     assert {(r.target, r.source) for r in seen} == {(r.source, r.target) for r in truth.collect()}
+
+
+def _graph(spark, n, edges):
+    return graphs.Graph(spark.range(n).withColumnRenamed("id", "v"), spark.createDataFrame(edges, "u long, v long"))
+
+
+def test_edges_laid_on_each_other_count_once_backwards(spark):
+    star, other = _graph(spark, 4, [(0, 1), (0, 2), (0, 3)]), _graph(spark, 4, [(0, 1)])
+    folded = spark.createDataFrame([(0, 0), (1, 1), (2, 1), (3, 1)], "source long, target long")
+    row = evaluate.preservation(star, other, folded).first()
+    assert (row.kept, row.kept_back, row.forward, row.backward, row.qap_cost) == (3, 1, 1.0, 1.0, None)
+    whole = spark.createDataFrame([(i, i) for i in range(4)], "source long, target long")
+    assert evaluate.preservation(star, other, whole).first().qap_cost == 2 * (3 + 1 - 2)
+    assert evaluate.permutation(whole, 4).first().permutation and not evaluate.permutation(folded, 4).first().permutation
+    assert {(r.source, r.target) for r in evaluate.inverse(folded).collect()} == {(0, 0), (1, 3)}
+
+
+def test_repair_stops_at_the_limit_that_comes_first_by_source(spark):
+    rows = [(s, 0, 0, 1.0) for s in range(3)]
+    start = spark.createDataFrame(rows, "source long, rank int, target long, similarity double")
+    more = lambda s, k: s.join(spark.createDataFrame([(i, r, r, 1.0 - r / 10) for i in range(3) for r in range(k)], "source long, rank int, target long, similarity double"), "source")
+    stop = lambda **limits: support.repair(start, 3, 4, 1, more, **limits)[1]
+    assert stop() == "feasible" and stop(max_edges=12) == "feasible" and stop(max_edges=6) == "candidate_limit"
+    assert stop(max_edges=5) == "candidate_limit" and stop(max_bytes=8 * 5) == "payload_limit"
+    assert stop(max_edges=4, max_bytes=8 * 6) == "candidate_limit"  # the second source has too many edges before the third lacks room
+    kept, why, history = support.repair(start, 3, 4, 1, more, max_edges=5)
+    assert kept.count() == 3 and len(history) == 1
+    with pytest.raises(ValueError):
+        support.repair(start, 3, 4, 0, more)
+
+
+def test_scaling_says_why_it_stopped(spark):
+    of = lambda rows, **options: soft.sinkhorn(spark.createDataFrame(rows, "source long, target long, cost double"), **options)[1]["status"]
+    square = [(0, 0, 0.1), (0, 1, 0.2), (1, 0, 0.3), (1, 1, 0.1)]
+    assert of(square) == "converged" and of(square, rounds=1, tolerance=0.0) == "round_limit"
+    assert of(square, n=3) == "invalid_support" and of(square[:2]) == "not_square" and of([*square[:3], (1, 1, float("nan"))]) == "numerical_failure"
+    assert of([(0, 0, 2000.0), (1, 1, 0.0)]) == "converged"  # far below what exp() can hold
+
+
+def test_reduced_assignment_has_no_size_limit(spark):
+    n = 600
+    scores = spark.createDataFrame([(i, j % n, 0.3 if j == i else 0.29) for i in range(n) for j in (i, i + 1)], "source long, target long, similarity double")
+    none = spark.createDataFrame([], "source long, target long, value double")
+    found = soft.reduced_assignment(scores, none, 0.5)
+    assert {(r.source, r.target) for r in found.collect()} == {(i, i) for i in range(n)}
+    one = spark.createDataFrame([(0, 1, 0.2)], "source long, target long, value double")
+    assert (0, 1) in {(r.source, r.target) for r in soft.reduced_assignment(scores.where("source < 3"), one, 0.5, ambiguous="unmatched", exact=False).collect()}
+
+
+def test_generated_graphs_have_the_edges_that_they_promise(spark):
+    dense = _graph(spark, 8, [(i, j) for i in range(8) for j in range(i + 1, 8)][:24])
+    two, truth = graphs.paired(dense, 0.5, 3)
+    assert two.edges.count() == 12 + 4 and graphs.violations(two.vertices, two.edges).first().repeated == 0 and truth.select("target").distinct().count() == 8
+    assert graphs.random_edges(spark, 9, 36, 1).edges.distinct().count() == 36
+    blocks = graphs.block_model(spark, [20, 30], 0.5, 0.1)
+    inside = blocks.edges.where("(u < 20) = (v < 20)").count()
+    assert inside == 95 + 218 and blocks.edges.count() == inside + 60 and graphs.violations(blocks.vertices, blocks.edges).first().n_edges == inside + 60
+    assert set(graphs.variants(dense, (0.0, 0.1), (1,))) == {(1, 0.0), (1, 0.1)}
+
+
+def test_prepared_pairs_and_stages_are_written(spark, tmp_path):
+    g = _graph(spark, 5, [(0, 1), (1, 2), (2, 3), (3, 4)])
+    ids = spark.createDataFrame([(10 * i, i) for i in range(5)], "original long, v long")
+    manifest = files.write_pairs(g, ids, f"file://{tmp_path}/pairs", "path", (0.0,), (11, 22))
+    assert [p["seed"] for p in manifest["pairs"]] == [11, 22] and manifest["num_undirected_edges"] == 4
+    target = files.read_graph(spark, f"file://{tmp_path}/pairs/seed_11/noise_00/target.graph")
+    truth = files.read_mapping(spark, f"file://{tmp_path}/pairs/seed_11/noise_00/ground_truth.csv")
+    assert evaluate.preservation(g, target, truth).first().forward == 1
+    stages = files.Stages()
+    with stages.stage("features", rows=5):
+        pass
+    with pytest.raises(RuntimeError), stages.stage("fails"):
+        raise RuntimeError
+    told = json.loads(stages.document(dataset="path"))
+    assert [s["stage"] for s in told["stages"]] == ["features", "fails"] and told["stages"][1]["seconds"] is None and told["dataset"] == "path"
+    assert {r.id for r in files.registry(spark).collect()} == {f"G{i}" for i in range(1, 16)}
+
+
+def test_zero_cost_and_eigenvectors(spark, toy):
+    table = spark.createDataFrame([(0, 0, 0.0), (1, 1, 0.0), (1, 0, 2.0)], "source long, target long, cost double")
+    assert assign.zero_cost(table, assign.assignment(table, 2, 2)).first().proved
+    assert not assign.zero_cost(table.where("source = 0 or cost > 0"), assign.assignment(table.where("source = 0 or cost > 0"), 2, 2)).first().proved
+    rows = {r.v: r for r in features.eigenvectors(toy[0], 2).collect()}
+    assert sum(r.e1**2 for r in rows.values()) == pytest.approx(1) and len(rows) == 6
+    assert len(features.rich(toy[0]).columns) == 1 + 8 + 8
+
+
+def test_presets_match_softly(toy):
+    from vertexloom.plans.matching import PRESETS, match_softly
+
+    one, two, _ = toy
+    found = match_softly(prepare(one), prepare(two), "realtime").collect()
+    assert len({r.source for r in found}) == len({r.target for r in found}) == len(found) and PRESETS["batch"].k == 32

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from conftest import SF
-from vertexloom.llm import chaining, exact_dedup, htmltext, langid, lmscore, mixing, mpegaudio, packing, pii, queries, simhash
+from vertexloom.llm import blocks, chaining, exact_dedup, htmltext, langid, lmscore, mixing, mpegaudio, packing, pii, queries, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -113,16 +113,76 @@ def test_score_prefers_the_target(spark):
     assert min(found[i] for i in range(20)) > 0 > max(found[i] for i in range(20, 60))
 
 
-def test_models_are_distributions(spark, tables):
-    d = tables["documents"]
-    m = lmscore.learn(d, d.limit(40))
-    every = np.delete(m.words, lmscore.START, axis=1)
-    assert every.sum(axis=1) == pytest.approx([1, 1])
-    context = int(m.pairs[len(m.pairs) // 2] >> 32)
-    ids = np.array([w for w in range(m.words.shape[1]) if w != lmscore.START])
-    total = sum(np.exp(-m.losses(np.array([context, w])))[:, 0] for w in ids[:3000])
-    if len(ids) <= 3000:
-        assert total == pytest.approx([1, 1])
+def _plain_scores(rows, target):
+    """The same models by dictionaries: rows of (doc_id, text), each scored without its own counts."""
+    import math
+
+    def counts(text):
+        words = [w.decode() for w in text.encode().lower().split()]
+        one, two = collections.Counter(), collections.Counter()
+        if words:
+            line = ["<edge>", *words, "<edge>"]
+            one.update(line[1:])
+            two.update(zip(line, line[1:]))
+        return words, one, two
+
+    every = [(i, *counts(t or "")) for i, t in rows]
+    sums = {side: (collections.Counter(), collections.Counter()) for side in "tb"}
+    for i, _, one, two in every:
+        for side in "tb" if i in target else "b":
+            sums[side][0].update(one)
+            sums[side][1].update(two)
+    vocabulary, out = len(sums["b"][0]), []
+    for i, words, one, two in every:
+        loss = {}
+        for side in "tb":
+            ones, twos = (collections.Counter(c) for c in sums[side])
+            if side == "b" or i in target:
+                ones.subtract(one)
+                twos.subtract(two)
+            total, line = sum(ones.values()), ["<edge>", *words, "<edge>"]
+            p = lambda v: (ones[v] + lmscore.WORD_PRIOR) / (total + lmscore.WORD_PRIOR * vocabulary)
+            each = [-math.log((twos[u, v] + lmscore.PAIR_PRIOR * p(v)) / (ones[u] + lmscore.PAIR_PRIOR)) for u, v in zip(line, line[1:])] if words else []
+            loss[side] = sum(each) / len(each) if each else 0.0
+        out.append((i, len(words), loss["t"], loss["b"], loss["b"] - loss["t"]))
+    return out
+
+
+def test_scores_equal_a_plain_model(spark, texts, monkeypatch):
+    rows = [*list(texts.items())[:120], *[(i, t) for i, t, _, _ in ODD if i != 8], (500, "a b a b a"), (500, "a b c"), (501, "a b a b a")]
+    target = {i for i, _ in rows if i and i % 3 == 0 and i != 501} | {500}
+    labels = spark.createDataFrame([(i, 1, 0) for i in target] + [(501, 1, 1), (501, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    want = sorted(_plain_scores(rows, target), key=repr)
+    given = docs(spark, [(i, t, "en", "a") for i, t in rows])
+    for words in (blocks.BUCKET_WORDS, 300):  # one bucket, many buckets
+        monkeypatch.setattr(blocks, "BUCKET_WORDS", words)
+        found = sorted([tuple(r) for r in lmscore.score(given, labels).collect()], key=repr)
+        assert len(found) == len(want)
+        key = lambda r: (r[0] is None, r[0] or 0, r[1], round(r[4], 6))
+        for f, w in zip(sorted(found, key=key), sorted(want, key=key)):
+            assert f[:2] == w[:2] and f[2:] == pytest.approx(w[2:], abs=1e-6)
+
+
+def test_a_model_is_a_distribution():
+    """Over all words and the edge, after any word."""
+    r = np.random.default_rng(14)
+    pair = r.integers(0, 5, 40).astype(float)
+    word = pair + r.integers(0, 9, 40)
+    total = word.sum()
+    assert np.exp(-lmscore.losses(pair, pair.sum(), word, total, 40)).sum() == pytest.approx(1)
+    assert np.exp(-lmscore.losses(np.zeros(40), 0.0, np.zeros(40), 0.0, 40)).sum() == pytest.approx(1)
+
+
+def test_documents_that_occur_twice_are_told_from_others(spark):
+    """What a model of a sample could not: a text whose words stand in one other document is far likelier than one that stands alone."""
+    r = np.random.default_rng(15)
+    text = lambda i: " ".join(f"w{x}" for x in r.zipf(1.3, 60) % 5000) + f" own{i} rare{i} words{i}"
+    rows = [(i, text(i), "en", "a") for i in range(200)]
+    rows += [(1000 + i, rows[i][1], "en", "a") for i in range(20)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(100, 140)], "doc_id long, quality int, toxic int")
+    found = {x.doc_id: x.score for x in lmscore.score(docs(spark, rows), labels).collect()}
+    twice, once = [found[i] for i in [*range(20), *range(1000, 1020)]], [found[i] for i in range(20, 200)]
+    assert np.quantile(twice, 0.9) < np.quantile(once, 0.1)
 
 
 # ---------------------------------------------------------------- 3

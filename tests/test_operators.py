@@ -6,14 +6,17 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from vertexloom.functions.scores import FEATURES
 from vertexloom.operators import assign, baselines, candidates, costs, evaluate, features, soft, support
 from vertexloom.operators import graph as graphs
 from vertexloom.plans.matching import MatchConfig, match, prepare
 from vertexloom.sources import files, named
 from vertexloom.streaming.arriving import match_arriving
+from vertexloom.tables import written
 
 
 @pytest.fixture(scope="module")
@@ -417,3 +420,46 @@ def test_presets_match_softly(toy):
     one, two, _ = toy
     found = match_softly(prepare(one), prepare(two), "realtime").collect()
     assert len({r.source for r in found}) == len({r.target for r in found}) == len(found) and PRESETS["batch"].k == 32
+
+
+@pytest.mark.parametrize("profile_weight", [0.0, 0.25])
+def test_block_top_equals_brute_force_with_copies_and_leaves(profile_weight):
+    r = np.random.default_rng(3)
+    terms = [(f, w) for f, w in zip(FEATURES, (1.0, 2.0, 0.5, 1.0, 1.0, 1.0))]
+
+    def side(n):
+        rows = np.round(r.normal(size=(n, 6)), 1)
+        rows[: n // 4, 1:] = 0.0  # many of one direction, which tie
+        rows[0] = 0.0
+        return rows, r.integers(0, 3, (n, 4)) / 2.0
+
+    (x, px), (y, py) = side(200), side(3000)
+    frame = lambda v, p: pd.DataFrame(v, columns=list(FEATURES)).assign(profile=list(p))
+    a, b = frame(x, px).assign(source=np.arange(200)), frame(y, py).assign(targets=[np.array([2 * i, 2 * i + 6001]) for i in range(3000)])
+    found = candidates._block_top(a, b, 5, terms, profile_weight).sort_values(["source"], kind="stable")
+    w = np.array([w for _, w in terms])
+    size = np.sqrt((x * x * w).sum(1))[:, None] * np.sqrt((y * y * w).sum(1))
+    value = np.where(size < 1e-12, 0.0, (x[:, None] * w * y).sum(2) / np.where(size < 1e-12, 1.0, size)).clip(-1, 1)
+    if profile_weight:
+        value = value + profile_weight * np.maximum(0.0, 1 - np.abs(px[:, None] - py).sum(2) / 4)
+    ids, value = np.concatenate([2 * np.arange(3000), 2 * np.arange(3000) + 6001]), np.hstack([value, value])
+    for i, rows in found.groupby("source"):
+        best = np.lexsort((ids, -np.round(value[i], 9)))[:5]
+        assert rows["target"].tolist() == ids[best].tolist() and np.allclose(rows["similarity"], value[i][best], atol=1e-12)
+    assert found["source"].nunique() == 200 and len(found) == 1000
+
+
+def test_exhaustive_scores_equal_rows_once(spark, monkeypatch):
+    """Of 6,000 vertices with 30 different rows each side, tasks get 30 sources and 30 targets; candidates are those of all pairs."""
+    sizes = {}
+
+    def spied(df, name):
+        out = written(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(candidates, "written", spied)
+    rows = spark.range(6000).select(F.col("id").alias("v"), *[F.cos((F.col("id") % 30) * (i + 1)).alias(f) for i, f in enumerate(FEATURES)])
+    found = candidates.exhaustive(rows, rows, 3).where("source in (7, 5990)").orderBy("source", "rank").collect()
+    assert sizes == {"alike": 30, "few": 30}
+    assert [(x.source, x.rank, x.target) for x in found] == [(7, 0, 7), (7, 1, 37), (7, 2, 67), (5990, 0, 20), (5990, 1, 50), (5990, 2, 80)]

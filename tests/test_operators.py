@@ -463,3 +463,35 @@ def test_exhaustive_scores_equal_rows_once(spark, monkeypatch):
     found = candidates.exhaustive(rows, rows, 3).where("source in (7, 5990)").orderBy("source", "rank").collect()
     assert sizes == {"alike": 30, "few": 30}
     assert [(x.source, x.rank, x.target) for x in found] == [(7, 0, 7), (7, 1, 37), (7, 2, 67), (5990, 0, 20), (5990, 1, 50), (5990, 2, 80)]
+
+
+@pytest.mark.parametrize("chunk", [None, 4])
+def test_products_block_by_block_equal_all_pairs(monkeypatch, chunk):
+    """Three blocks of places, with copies: what a block gives holds the k best of each pool (and chunk)."""
+    monkeypatch.setattr(candidates, "POOL_BLOCK", 8)
+    r, n, k = np.random.default_rng(5), 21, 2
+    e = r.integers(-2, 3, (n, 3)).astype(float)
+    rows = pd.DataFrame({"id": 10 * np.arange(n), "place": np.arange(n), "e": list(e)})
+    found = []
+    for tb in range(3):
+        b = rows[rows["place"].between(8 * tb, 8 * tb + 7 + (chunk is not None))].assign(tb=tb)
+        found += candidates._product_best(rows, b, k, chunk).itertuples(index=False)
+    for i in range(n):
+        others = [j for j in range(n) if j != i]
+        groups = {}
+        for place, j in enumerate(others):
+            groups.setdefault(place // chunk if chunk else 0, []).append(j)
+        for g, js in groups.items():
+            want = sorted((-(e[i] @ e[j]), 10 * j) for j in js)[:k]
+            got = sorted((-x.product, x.target) for x in found if x.pool == 10 * i and (chunk is None or x.chunk == g))
+            assert got[:k] == want and 10 * i not in [t for _, t in got]
+
+
+def test_retrieved_counts_equal_the_pairs(spark):
+    raw = spark.range(40).select(F.col("id").alias("v"), (F.col("id") % 7 * 3).cast("double").alias("degree"), (F.col("id") % 5 * 4).cast("double").alias("avg_nd"))
+    for k in (2, 100):
+        config = candidates.IndexConfig(0.5, 0.5, 1, 2, 4)
+        plans = candidates.plan(raw, raw, k, config)
+        want = candidates.retrieved(plans, raw, config).groupBy("source").count().orderBy("source").collect()
+        got = candidates.retrieved_counts(plans, raw, config).orderBy("source").collect()
+        assert [tuple(x) for x in got] == [tuple(x) for x in want] and len(got) == 40

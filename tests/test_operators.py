@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -495,3 +496,17 @@ def test_retrieved_counts_equal_the_pairs(spark):
         want = candidates.retrieved(plans, raw, config).groupBy("source").count().orderBy("source").collect()
         got = candidates.retrieved_counts(plans, raw, config).orderBy("source").collect()
         assert [tuple(x) for x in got] == [tuple(x) for x in want] and len(got) == 40
+
+
+def test_block_consistency_equals_brute_force():
+    r = random.Random(4)
+    edges = [{(u, v) for u in range(12) for v in range(12) if u < v and r.random() < 0.4} for _ in range(2)]
+    near = [{u: [v for v in range(12) if (min(u, v), max(u, v)) in e] for u in range(12)} for e in edges]
+    held = {s: {t: r.randrange(10**12) for t in r.sample(range(12), 3)} for s in range(10)}
+    arcs = [(i, list(held[s]), list(held[s].values())) for i in range(12) for s in near[0][i] if s in held]
+    mine = [(i, j, near[1][j]) for i in range(12) for j in (*held.get(i, ()), 0)]
+    columns = lambda rows, names, kinds: pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+    lists = pa.list_(pa.int64())
+    found = soft._block_consistency(columns(arcs, ["source", "targets", "values"], [pa.int64(), lists, lists]), columns(mine, ["source", "target", "others"], [pa.int64(), pa.int64(), lists]))
+    want = [sum(p for s in near[0][i] if s in held for t, p in held[s].items() if t in near[1][j]) / 1e12 for i, j, _ in mine]
+    assert found.column("consistency").to_pylist() == want and any(want)

@@ -6,6 +6,8 @@ import math
 import random
 import time
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,17 +54,55 @@ def sinkhorn(costs: DataFrame, epsilon: float = 0.1, rounds: int = 500, toleranc
     return rows.select("source", "target", F.exp("logit").alias("probability")), {"status": "converged" if error <= tolerance else "round_limit", "rounds": done, "error": error}
 
 
+#: Arcs of a block of sources whose neighbourhoods one task looks through at a time, and the greatest value that sums take (in whole numbers of 1e-12).
+BLOCK_ARCS, MOST_VALUE = 50_000, 1000
+
+
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of lists, and the row of each."""
+    lists = column.combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy())
+    return lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(lists)), sizes)
+
+
+def _block_consistency(near: pa.Table, mine: pa.Table) -> pa.Table:
+    """Of the block's candidates (source, target, neighbours of the target) the sums of the values (targets, values) next to their sources."""
+    source, target = mine.column("source").to_numpy(), mine.column("target").to_numpy()
+    total = np.zeros(len(source), np.int64)
+    if len(source) and near.num_rows:
+        t, row = _flat(near.column("targets"))
+        value, own = _flat(near.column("values"))[0], near.column("source").to_numpy()[row]
+        other, at = _flat(mine.column("others"))
+        _, i = np.unique(np.concatenate([own, source]), return_inverse=True)
+        ids, j = np.unique(np.concatenate([t, other]), return_inverse=True)
+        key = i[: len(own)] * len(ids) + j[: len(t)]
+        order = np.argsort(key, kind="stable")
+        key, start = np.unique(key[order], return_index=True)
+        sums = np.add.reduceat(value[order], start)
+        asked = i[len(own) :][at] * len(ids) + j[len(t) :]
+        place = np.minimum(np.searchsorted(key, asked), len(key) - 1)
+        np.add.at(total, at, np.where(key[place] == asked, sums[place], 0))
+    return pa.table({"source": source, "target": target, "consistency": total / 1e12})
+
+
 def consistency(support: DataFrame, one: Graph, two: Graph, value: str = "probability") -> DataFrame:
     """source, target, consistency: for each candidate, the value of candidates between neighbours of both.
 
-    Starts from the values and goes out to both sides, so only pairs next to a candidate are made.
+    Blocks of sources get the candidates of their neighbours, as one list an arc, and the
+    neighbours of their own targets, as one list a candidate, and look these up in those: no pair of
+    neighbours is ever a row.
     """
-    a = one.adjacency.select(F.col("u").alias("source"), F.col("v").alias("i"))
-    b = two.adjacency.select(F.col("u").alias("target"), F.col("v").alias("j"))
-    near = support.select("source", "target", F.col(value).cast("decimal(28,12)").alias("p")).join(a, "source").select("i", "target", "p").groupBy("i", "target").agg(F.sum("p").alias("p"))
-    far = near.join(b, "target").join(support.select(F.col("source").alias("i"), F.col("target").alias("j")), ["i", "j"], "left_semi")
-    sums = far.groupBy("i", "j").agg(F.sum("p").cast("double").alias("consistency"))
-    return support.select("source", "target").join(sums.select(F.col("i").alias("source"), F.col("j").alias("target"), "consistency"), ["source", "target"], "left").select("source", "target", F.coalesce("consistency", F.lit(0.0)).alias("consistency"))
+    a = one.adjacency.select(F.col("v").alias("source"), F.col("u").alias("near"))
+    b = two.adjacency.groupBy(F.col("u").alias("target")).agg(F.collect_list("v").alias("others"))
+    large = F.when(F.abs(value) >= MOST_VALUE, F.raise_error(F.lit("a value is too large to sum")).cast("double")).otherwise(F.col(value))
+    whole = (large.cast("decimal(18,12)") * F.lit(10**12).cast("decimal(13,0)")).cast("long")
+    held = support.select(F.col("source").alias("near"), "target", whole.alias("value")).where("value is not null")
+    held = held.groupBy("near").agg(F.collect_list(F.struct("target", "value")).alias("h"))
+    blocks = max(1, -(-2 * one.edges.count() // BLOCK_ARCS))
+    block = F.pmod(F.xxhash64("source"), F.lit(blocks)).alias("block")
+    near = a.join(held, "near").select(block, "source", F.col("h.target").alias("targets"), F.col("h.value").alias("values"))
+    mine = support.select("source", "target").join(b, "target", "left").select(block, "source", "target", F.coalesce("others", F.array().cast("array<long>")).alias("others"))
+    return near.groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(_block_consistency, "source long, target long, consistency double")
 
 
 def mixed(scores: DataFrame, extra: DataFrame, alpha: float = 0.4, beta: float = 0.6, scaled: bool = False) -> DataFrame:

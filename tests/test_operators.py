@@ -510,3 +510,12 @@ def test_block_consistency_equals_brute_force():
     found = soft._block_consistency(columns(arcs, ["source", "targets", "values"], [pa.int64(), lists, lists]), columns(mine, ["source", "target", "others"], [pa.int64(), pa.int64(), lists]))
     want = [sum(p for s in near[0][i] if s in held for t, p in held[s].items() if t in near[1][j]) / 1e12 for i, j, _ in mine]
     assert found.column("consistency").to_pylist() == want and any(want)
+
+
+@pytest.mark.parametrize("most", [3, 1000])
+def test_greedy_in_rounds_and_in_sequence(spark, monkeypatch, most):
+    """Equal values make a chain: each pair is free only when the one before is settled."""
+    monkeypatch.setattr(soft, "SEQUENCE", most)
+    rows = [(i, j, 0.5) for i in range(6) for j in (i, i + 1)]
+    found = soft.greedy(spark.createDataFrame(rows, "source long, target long, similarity double"))
+    assert sorted((r.source, r.target) for r in found.collect()) == [(i, i) for i in range(6)]

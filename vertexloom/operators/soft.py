@@ -113,21 +113,40 @@ def mixed(scores: DataFrame, extra: DataFrame, alpha: float = 0.4, beta: float =
     return scores.join(extra, ["source", "target"], "left").select("source", "target", (alpha * F.col("similarity") + beta * F.coalesce("consistency", F.lit(0.0))).alias("similarity"))
 
 
+#: So few pairs are taken in sequence, by one task; more are taken in rounds until so few are left.
+SEQUENCE = 1_000_000
+
+
+def _in_sequence(batches):
+    """Of pairs in order those that are free on both sides."""
+    sources, targets = set(), set()
+    for pdf in batches:
+        keep = []
+        for s, t in zip(pdf["source"].tolist(), pdf["target"].tolist()):
+            free = s not in sources and t not in targets
+            if free:
+                sources.add(s)
+                targets.add(t)
+            keep.append(free)
+        yield pdf[keep]
+
+
 def greedy(scores: DataFrame, value: str = "similarity") -> DataFrame:
     """source, target, value: each pair taken if both are free, by (value descending, source, target).
 
     Rounds: a pair that comes first for both its source and its target is taken in any order of the
     rest, so all such are taken at once, and what touches them goes. Equal to the sequence, and each
-    round is written.
+    round is written. Ties make long chains of rounds, so the last SEQUENCE pairs are taken in sequence.
     """
     left = written(scores.select("source", "target", F.col(value).alias("value")), "greedy")
     order = [F.col("value").desc(), "source", "target"]
     taken = None
     while True:
+        if left.count() <= SEQUENCE:
+            now = written(left.repartition(1).sortWithinPartitions(*order).mapInPandas(_in_sequence, left.schema), "taken")  # bounded by SEQUENCE
+            return now if taken is None else taken.unionByName(now)
         ranks = left.withColumn("a", F.row_number().over(Window.partitionBy("source").orderBy(*order))).withColumn("b", F.row_number().over(Window.partitionBy("target").orderBy(*order)))
         now = written(ranks.where("a = 1 and b = 1").select("source", "target", "value"), "taken")
-        if not now.take(1):
-            return taken if taken is not None else now
         taken = now if taken is None else taken.unionByName(now)
         left = written(left.join(now.select("source"), "source", "left_anti").join(now.select("target"), "target", "left_anti"), "left")
 

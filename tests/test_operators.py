@@ -519,3 +519,37 @@ def test_greedy_in_rounds_and_in_sequence(spark, monkeypatch, most):
     rows = [(i, j, 0.5) for i in range(6) for j in (i, i + 1)]
     found = soft.greedy(spark.createDataFrame(rows, "source long, target long, similarity double"))
     assert sorted((r.source, r.target) for r in found.collect()) == [(i, i) for i in range(6)]
+
+
+def test_triangles_have_a_row_an_edge_and_none_a_wedge(spark, monkeypatch):
+    """A wheel: its hub has 300 * 299 / 2 wedges; what is written are the edges and a list a vertex."""
+    sizes = {}
+
+    def spied(df, name):
+        out = written(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(features, "written", spied)
+    rim = [(i, i % 300 + 1) for i in range(1, 301)]
+    edges = graphs.clean_edges(spark.createDataFrame([*rim, *((0, i) for i in range(1, 301))], "u long, v long"))
+    found = {r.v: r.triangles for r in features.triangles(graphs.Graph(spark.range(301).withColumnRenamed("id", "v"), edges)).collect()}
+    assert found == {0: 300} | {i: 2 for i in range(1, 301)}
+    assert sizes["ends"] == 600 and sizes["lists"] <= 300
+
+
+def test_triangles_equal_brute_force(spark):
+    r = random.Random(5)
+    pairs = {tuple(sorted(r.sample(range(40), 2))) for _ in range(200)}
+    graph = graphs.Graph(spark.range(45).withColumnRenamed("id", "v"), spark.createDataFrame(sorted(pairs), "u long, v long"))
+    want = [sum({(a, b), (a, c), (b, c)} <= pairs for a, b, c in itertools.combinations(range(40), 3) if v in (a, b, c)) for v in range(45)]
+    assert [x.triangles for x in features.structural(graph).orderBy("v").collect()] == want
+
+
+def test_large_blocks_of_targets():
+    """1.2 million different targets are two blocks, not ten, and leaves that can't hold a best are not looked at."""
+    assert candidates.strategy(1_200_000, 1_200_000, 10, False).startswith("exhaustive, 10 x 2 blocks")
+    x = np.random.default_rng(7).normal(size=(20_000, 6))
+    frame = pd.DataFrame(x, columns=list(FEATURES))
+    found = candidates._block_top(frame.iloc[:100].assign(source=np.arange(100)), frame.assign(targets=[np.array([i]) for i in range(20_000)]), 1, [(f, 1.0) for f in FEATURES], 0.0)
+    assert found.sort_values("source")["target"].tolist() == list(range(100))

@@ -17,10 +17,11 @@ from vertexloom.tables import written
 
 
 def _log_sum(rows: DataFrame, key: str, value: str, out: str) -> DataFrame:
-    """key, out: log of the sum of exp(value), from the largest down."""
-    most = rows.groupBy(key).agg(F.max(value).alias("most"))
-    near = rows.join(most, key).select(key, "most", F.exp(F.col(value) - F.col("most")).cast("decimal(28,18)").alias("e"))
-    return near.groupBy(key).agg((F.first("most") + F.log(F.sum("e").cast("double"))).alias(out))
+    """rows with out, the log of the key's sum of exp(value), from the largest down: rows move once, and none is joined."""
+    own = Window.partitionBy(key)
+    rows = rows.withColumn("most", F.max(value).over(own))
+    total = F.sum(F.exp(F.col(value) - F.col("most")).cast("decimal(28,18)")).over(own)
+    return rows.withColumn(out, F.col("most") + F.log(total.cast("double"))).drop("most")
 
 
 def sinkhorn(costs: DataFrame, epsilon: float = 0.1, rounds: int = 500, tolerance: float = 1e-3, n: int | None = None) -> tuple[DataFrame, dict]:
@@ -42,10 +43,8 @@ def sinkhorn(costs: DataFrame, epsilon: float = 0.1, rounds: int = 500, toleranc
         return none, {"status": "not_square", "rounds": 0}
     error, done = float("inf"), 0
     while done < rounds and error > tolerance:
-        by_source = _log_sum(rows, "source", "logit", "f")
-        rows = rows.join(by_source, "source").select("source", "target", (F.col("logit") - F.col("f")).alias("logit"))
-        by_target = _log_sum(rows, "target", "logit", "g")
-        rows = written(rows.join(by_target, "target").select("source", "target", (F.col("logit") - F.col("g")).alias("logit")), "scaled")
+        rows = _log_sum(rows, "source", "logit", "f").select("source", "target", (F.col("logit") - F.col("f")).alias("logit"))
+        rows = written(_log_sum(rows, "target", "logit", "g").select("source", "target", (F.col("logit") - F.col("g")).alias("logit")), "scaled")
         done += 1
         sums = rows.groupBy("source").agg(F.sum(F.exp("logit")).alias("s"))
         error = sums.agg(F.max(F.abs(F.col("s") - 1))).first()[0] or 0.0
@@ -188,8 +187,8 @@ def scaled_rounds(scores: DataFrame, rounds: int, epsilon: float = 0.1, last: st
         raise ValueError(f"scaling ends with source or target, not {last}")
     rows, first = scores.select("source", "target", (F.col("similarity") / epsilon).alias("logit")), "source" if last == "target" else "target"
     for _ in range(rounds):
-        rows = rows.join(_log_sum(rows, first, "logit", "f"), first).select("source", "target", (F.col("logit") - F.col("f")).alias("logit"))
-        rows = written(rows.join(_log_sum(rows, last, "logit", "g"), last).select("source", "target", (F.col("logit") - F.col("g")).alias("logit")), "scaled")
+        rows = _log_sum(rows, first, "logit", "f").select("source", "target", (F.col("logit") - F.col("f")).alias("logit"))
+        rows = written(_log_sum(rows, last, "logit", "g").select("source", "target", (F.col("logit") - F.col("g")).alias("logit")), "scaled")
     return rows.select("source", "target", F.exp("logit").alias("probability")), rounds
 
 

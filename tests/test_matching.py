@@ -44,3 +44,20 @@ def test_components_of_a_chain_take_no_rounds(spark, writes, rows_of, monkeypatc
     monkeypatch.setattr(assign, "LINKS", 600)
     writes.clear()
     assert rows_of(assign.connected(doubled, nodes)) == want and writes[:2] == ["links", "links"]
+
+
+def test_support_repair_makes_one_list_and_equals_searches_for_conflicts(spark, monkeypatch):
+    from conftest import SF
+    from pyspark.sql import functions as F
+    from vertexloom import suite
+    from vertexloom.operators import candidates, support
+
+    made, search = [], candidates.exhaustive
+    monkeypatch.setattr(candidates, "exhaustive", lambda a, b, k, **options: (made.append(k), search(a, b, k, **options))[1])
+    monkeypatch.setattr(suite, "_HELD", {key: held for key, held in suite._HELD.items() if not key[2].startswith("top-")})
+    found = [tuple(r) for r in suite.support_repair(spark, SF).orderBy("round").collect()]
+    assert made == [16]
+    _, _, _, n, _, _, za, zb = suite._z(spark, SF)
+    prefix = lambda s, k: search(za.join(s.select(F.col("source").alias("v")), "v", "left_semi"), zb, k)
+    _, why, history = support.repair(written(search(za, zb, 2), "start"), n, n, 2, prefix, 16)
+    assert found == [(i, h["k"], h["matching"], h["edges"], why) for i, h in enumerate(history)]

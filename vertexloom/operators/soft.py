@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vertexloom.operators.assign import assignment
+from vertexloom.operators.assign import PAIRS, assignment, matching
 from vertexloom.operators.graph import Graph
 from vertexloom.tables import written
 
@@ -93,9 +93,7 @@ def consistency(support: DataFrame, one: Graph, two: Graph, value: str = "probab
     """
     a = one.adjacency.select(F.col("v").alias("source"), F.col("u").alias("near"))
     b = two.adjacency.groupBy(F.col("u").alias("target")).agg(F.collect_list("v").alias("others"))
-    large = F.when(F.abs(value) >= MOST_VALUE, F.raise_error(F.lit("a value is too large to sum")).cast("double")).otherwise(F.col(value))
-    whole = (large.cast("decimal(18,12)") * F.lit(10**12).cast("decimal(13,0)")).cast("long")
-    held = support.select(F.col("source").alias("near"), "target", whole.alias("value")).where("value is not null")
+    held = support.select(F.col("source").alias("near"), "target", _whole(value).alias("value")).where("value is not null")
     held = held.groupBy("near").agg(F.collect_list(F.struct("target", "value")).alias("h"))
     blocks = max(1, -(-2 * one.edges.count() // BLOCK_ARCS))
     block = F.pmod(F.xxhash64("source"), F.lit(blocks)).alias("block")
@@ -104,6 +102,55 @@ def consistency(support: DataFrame, one: Graph, two: Graph, value: str = "probab
     return near.groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(_block_consistency, "source long, target long, consistency double")
 
 
+def _block_links(near: pa.Table, mine: pa.Table) -> pa.Table:
+    """Of the block's candidates (source, target, neighbours of the target) those (targets) of their sources' neighbours (near) that lie next to their targets."""
+    source, target = mine.column("source").to_numpy(), mine.column("target").to_numpy()
+    t, row = _flat(near.column("targets"))
+    other, at = _flat(mine.column("others"))
+    own, by_near = near.column("source").to_numpy()[row], near.column("near").to_numpy()[row]
+    _, i = np.unique(np.concatenate([own, source]), return_inverse=True)
+    ids, j = np.unique(np.concatenate([t, other]), return_inverse=True)
+    key = i[: len(own)] * len(ids) + j[: len(t)]
+    order = np.argsort(key, kind="stable")
+    key, asked = key[order], i[len(own) :][at] * len(ids) + j[len(t) :]
+    start = np.searchsorted(key, asked)
+    hit = np.flatnonzero(key[np.minimum(start, len(key) - 1)] == asked) if len(key) else np.zeros(0, np.int64)
+    start = start[hit]
+    size = np.searchsorted(key, asked[hit], "right") - start
+    place = order[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - start, size)]
+    pair = np.repeat(at[hit], size)
+    return pa.table({"source": source[pair], "target": target[pair], "near": by_near[place], "other": t[place]})
+
+
+def links(support: DataFrame, one: Graph, two: Graph) -> DataFrame:
+    """source, target, near, other: candidates, and the candidates between neighbours of both, as consistency() sums them.
+
+    These don't change with the values. There are at most k * k of an arc.
+    """
+    pairs = support.select("source", "target").distinct()
+    a = one.adjacency.select(F.col("v").alias("source"), F.col("u").alias("near"))
+    b = two.adjacency.groupBy(F.col("u").alias("target")).agg(F.collect_list("v").alias("others"))
+    held = pairs.groupBy(F.col("source").alias("near")).agg(F.collect_list("target").alias("targets"))
+    blocks = max(1, -(-2 * one.edges.count() // BLOCK_ARCS))
+    block = F.pmod(F.xxhash64("source"), F.lit(blocks)).alias("block")
+    near = a.join(held, "near").select(block, "source", "near", "targets")
+    mine = pairs.join(b, "target").select(block, "source", "target", "others")
+    return near.groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(_block_links, "source long, target long, near long, other long")
+
+
+def _whole(value: str):
+    """A value in whole numbers of 1e-12."""
+    large = F.when(F.abs(value) >= MOST_VALUE, F.raise_error(F.lit("a value is too large to sum")).cast("double")).otherwise(F.col(value))
+    return (large.cast("decimal(18,12)") * F.lit(10**12).cast("decimal(13,0)")).cast("long")
+
+
+def linked_consistency(shares: DataFrame, linked: DataFrame) -> DataFrame:
+    """consistency() of probabilities over links(), without the candidates that have none."""
+    values = shares.select(F.col("source").alias("near"), F.col("target").alias("other"), _whole("probability").alias("value"))
+    sums = linked.join(values.hint("shuffle_hash"), ["near", "other"]).groupBy("source", "target").agg(F.sum("value").alias("value"))
+    return sums.where("value is not null").select("source", "target", (F.col("value") / 1e12).alias("consistency"))
+
+
 def mixed(scores: DataFrame, extra: DataFrame, alpha: float = 0.4, beta: float = 0.6, scaled: bool = False) -> DataFrame:
     """source, target, similarity: alpha times the score and beta times the consistency, over its maximum if scaled."""
     if scaled:
@@ -113,7 +160,7 @@ def mixed(scores: DataFrame, extra: DataFrame, alpha: float = 0.4, beta: float =
 
 
 #: So few pairs are taken in sequence, by one task; more are taken in rounds until so few are left.
-SEQUENCE = 1_000_000
+SEQUENCE = 1 << 23
 
 
 def _in_sequence(batches):
@@ -167,25 +214,72 @@ def reduced_assignment(scores: DataFrame, pairs: DataFrame, tau: float, ambiguou
     if ends[0] is None:
         return sure
     n, m = ends[0] + 1, ends[1] + 1
-    # a private, dear place for each source, so that there always is an assignment
-    rows = rest.select("source", "target", (-F.col("similarity")).alias("cost")).unionByName(rest.select("source").distinct().select("source", (F.col("source") + m).alias("target"), F.lit(1e6).alias("cost")))
-    return sure.unionByName(assignment(written(rows, "rest-costs"), n, m + n).where(F.col("target") < m).select("source", "target"))
+    # Sources in conflict have fewer targets than they are, and a maximum matching has all of these
+    # targets with some of them, and all other sources with other targets. So the targets choose
+    # there, and the sources elsewhere: both have an assignment of all, and no source need be left over.
+    conflict = written(matching(rest, n, m).where("conflict").select("source"), "conflict")
+    tight = rest.join(conflict, "source", "left_semi")
+    loose = rest.join(conflict, "source", "left_anti").join(tight.select("target").distinct(), "target", "left_anti")
+    cost = (-F.col("similarity")).alias("cost")
+    rows = loose.select("source", "target", cost).unionByName(tight.select((F.col("target") + n).alias("source"), (F.col("source") + m).alias("target"), cost))
+    found = assignment(written(rows, "rest-costs"), n + m, m + n).where("target is not null")
+    own = F.col("source") < n
+    return sure.unionByName(found.select(F.when(own, F.col("source")).otherwise(F.col("target") - m).alias("source"), F.when(own, F.col("target")).otherwise(F.col("source") - n).alias("target")))
 
 
 def soft_match(one: Graph, two: Graph, candidates: DataFrame, rounds: int = 3, scaling: int = 5, tau: float = 0.5, epsilon: float = 0.1) -> DataFrame:
     """source, target: candidates' scores scaled, mixed with neighbourhood consistency, again and again; then greedy pairs and the reduced assignment."""
     scores = candidates.select("source", "target", "similarity")
+    linked = written(links(scores, one, two), "linked") if rounds else None
     for _ in range(rounds):
         shares, _ = scaled_rounds(scores, scaling, epsilon)
-        scores = written(mixed(scores, consistency(shares, one, two), scaled=True), "mixed")
+        scores = written(mixed(scores, written(linked_consistency(shares, linked), "consistency"), scaled=True), "mixed")
     return reduced_assignment(scores, greedy(scores), tau)
 
 
+def _key_log_sums(value: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The logs of the keys' sums of exp(value), of values by key; sums don't depend on the order."""
+    most = np.maximum.reduceat(value, start)
+    share = np.exp(value - np.repeat(most, np.diff(np.r_[start, len(value)]))) * 1e9
+    large = np.floor(share)
+    low = np.add.reduceat(np.rint((share - large) * 1e9).astype(np.int64), start)
+    high = np.add.reduceat(large.astype(np.int64), start) + low // 10**9
+    return most + np.log(high / 1e9 + (low % 10**9) / 1e18)
+
+
+def _scaled_table(table: pa.Table, rounds: int, first: str, last: str) -> pa.Table:
+    """source, target, probability of all pairs (source, target, logit), scaled by first and last in turn."""
+    value, sides = table.column("logit").to_numpy().copy(), []
+    for name in (first, last):
+        key = table.column(name).to_numpy()
+        order = np.argsort(key, kind="stable")
+        start = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+        sides.append((order, start, np.diff(np.r_[start, len(key)])))
+    for _ in range(rounds):
+        for order, start, size in sides:
+            mine = value[order]
+            value[order] = mine - np.repeat(_key_log_sums(mine, start), size)
+    return pa.table({"source": table.column("source"), "target": table.column("target"), "probability": np.exp(value)})
+
+
 def scaled_rounds(scores: DataFrame, rounds: int, epsilon: float = 0.1, last: str = "target") -> tuple[DataFrame, int]:
-    """source, target, probability after a fixed number of scalings by source and target, in the order that ends with last; any shape."""
+    """source, target, probability after a fixed number of scalings by source and target, in the order that ends with last; any shape.
+
+    Up to PAIRS pairs, all finite, are scaled by one task; others in rounds that are written.
+    """
     if last not in ("source", "target"):
         raise ValueError(f"scaling ends with source or target, not {last}")
     rows, first = scores.select("source", "target", (F.col("similarity") / epsilon).alias("logit")), "source" if last == "target" else "target"
+    sizes = rows.agg(F.count("*").alias("n"), F.count_if((F.abs("logit") < float("inf")) & F.col("source").isNotNull() & F.col("target").isNotNull()).alias("finite")).first()
+    if sizes.n == sizes.finite <= PAIRS:
+
+        def scaled(batches):
+            pairs = [x for x in batches if x.num_rows]
+            if pairs:
+                yield from _scaled_table(pa.Table.from_batches(pairs), rounds, first, last).to_batches(max_chunksize=1 << 20)
+
+        long = rows.select(F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target"), "logit")
+        return written(long.repartition(1).mapInArrow(scaled, "source long, target long, probability double"), "scaled"), rounds  # bounded by PAIRS
     for _ in range(rounds):
         rows = _log_sum(rows, first, "logit", "f").select("source", "target", (F.col("logit") - F.col("f")).alias("logit"))
         rows = written(_log_sum(rows, last, "logit", "g").select("source", "target", (F.col("logit") - F.col("g")).alias("logit")), "scaled")
